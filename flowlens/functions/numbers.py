@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from flowlens.functions.common import as_column, is_numeric, quoted, strip
 
 _DIGITS = r"[0-9]+(_[0-9]+)*"
-_NUMBER = rf"^[+-]?({_DIGITS}([.]({_DIGITS})?)?|[.]{_DIGITS})([eE][+-]?{_DIGITS})?$"
+_NUMBER = (
+    rf"(?i)^[+-]?({_DIGITS}([.]({_DIGITS})?)?([e][+-]?{_DIGITS})?|[.]{_DIGITS}([e][+-]?{_DIGITS})?"
+    r"|inf|infinity|nan)$"
+)
 
 
 def parse_number(c: Column | str) -> Column:
@@ -19,16 +22,7 @@ def parse_number(c: Column | str) -> Column:
     NULL for anything else. Suffixed forms such as ``1.0d`` are not numbers.
     """
     text = strip(c)
-    word = F.lower(text)
-    number = F.when(
-        text.rlike(_NUMBER), F.regexp_replace(text, "_", "").try_cast("double")
-    )
-    return (
-        F.when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-        .when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
-        .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-        .otherwise(number)
-    )
+    return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def safe_double(c: Column | str, default: float = 0.0, rule: str = "plain") -> Column:
@@ -41,9 +35,8 @@ def safe_double(c: Column | str, default: float = 0.0, rule: str = "plain") -> C
     if rule not in ("plain", "comma", "clean"):
         raise ValueError(f"unknown rule: {rule}")
     text = strip(c)
-    value = parse_number(text)
-    if rule != "plain":
-        value = F.coalesce(value, parse_number(F.replace(text, F.lit(","), F.lit(""))))
+    # A readable number has no comma, so one attempt without commas covers both.
+    value = parse_number(text if rule == "plain" else F.replace(text, F.lit(","), F.lit("")))
     if rule == "clean":
         value = F.when(~F.lower(text).isin("nan", "inf", "-inf"), value)
     return F.coalesce(value, F.lit(float(default)))

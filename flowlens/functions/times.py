@@ -24,8 +24,6 @@ def parse_ts(c: Column | str, iso_fallback: bool = True, day_first: bool = False
     only tried on text of a matching shape, so rows do not pay for failing parses.
     """
     text = strip(F.replace(as_column(c), F.lit("T"), F.lit(" ")))
-    epoch = parse_number(text)
-    finite = ~F.isnan(epoch) & (F.abs(epoch) < F.lit(1e13))
     dashed = [p for p in TIMESTAMP_PATTERNS if p.startswith("yyyy")]
     slashed = [p for p in TIMESTAMP_PATTERNS if not p.startswith("yyyy")]
     if day_first:
@@ -33,15 +31,13 @@ def parse_ts(c: Column | str, iso_fallback: bool = True, day_first: bool = False
     by_dash = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in dashed])
     by_slash = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in slashed])
     value = (
-        F.when(epoch.isNotNull(), F.when(finite, F.timestamp_seconds(epoch)))
-        .when(text.rlike(r"^[0-9]{4}-"), by_dash)
+        F.when(text.rlike(r"^[0-9]{4}-"), by_dash)
         .when(text.rlike(r"^[0-9]{1,2}/"), by_slash)
+        .otherwise(F.timestamp_seconds(parse_number(text)))
     )
     if iso_fallback:
         iso = F.replace(text, F.lit("/"), F.lit("-"))
-        value = F.coalesce(
-            value, F.when(epoch.isNull() & iso.rlike(_ISO), iso.try_cast("timestamp"))
-        )
+        value = F.coalesce(value, F.when(iso.rlike(_ISO), iso.try_cast("timestamp")))
     return value
 
 

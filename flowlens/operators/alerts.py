@@ -17,7 +17,8 @@ from flowlens.functions import alerts as A
 from flowlens.functions.common import quoted, round_half_up
 from flowlens.functions.times import latency_ms, range_start
 
-_COUNT = F.count(F.lit(1))
+def _count() -> Column:
+    return F.count(F.lit(1))
 
 
 # --- filters -------------------------------------------------------------------
@@ -128,7 +129,7 @@ def page_alerts(df: DataFrame, filters: AlertFilters) -> tuple[DataFrame, DataFr
     kept = filter_alerts(df, filters)
     start = (filters.page - 1) * filters.page_size
     items = sort_alerts(kept, filters.sort).offset(start).limit(filters.page_size)
-    return items, kept.agg(_COUNT.alias("total"))
+    return items, kept.agg(_count().alias("total"))
 
 
 def page_after(df: DataFrame, filters: AlertFilters, last_ts: datetime | None,
@@ -179,12 +180,12 @@ def attack_distribution(df: DataFrame, since: datetime | None = None,
                         until: datetime | None = None) -> DataFrame:
     kind = F.coalesce(F.nullif("attack_type", F.lit("")), F.lit("UNKNOWN"))
     counts = time_window(df, since, until).groupBy(kind.alias("attack_type"))
-    return counts.agg(_COUNT.alias("count")).orderBy(F.desc("count"), "attack_type")
+    return counts.agg(_count().alias("count")).orderBy(F.desc("count"), "attack_type")
 
 
 def count_between(df: DataFrame, since: datetime | None = None,
                   until: datetime | None = None) -> DataFrame:
-    return time_window(df, since, until).agg(_COUNT.alias("total"))
+    return time_window(df, since, until).agg(_count().alias("total"))
 
 
 def midnight(as_of: datetime) -> datetime:
@@ -198,7 +199,7 @@ def avg_score(df: DataFrame) -> DataFrame:
 def malicious_ratio(df: DataFrame) -> DataFrame:
     """Malicious count and its share of all alerts in percent."""
     counts = df.agg(
-        F.count_if(F.col("model_label") == "malicious").alias("malicious"), _COUNT.alias("total")
+        F.count_if(F.col("model_label") == "malicious").alias("malicious"), _count().alias("total")
     )
     share = F.coalesce(F.try_divide(F.col("malicious"), F.col("total")) * F.lit(100.0), F.lit(0.0))
     return counts.withColumn("ratio", share)
@@ -215,12 +216,12 @@ def latest_ts(df: DataFrame) -> DataFrame:
 
 def top_rules(df: DataFrame, n: int = 5, since: datetime | None = None,
               until: datetime | None = None) -> DataFrame:
-    counts = time_window(df, since, until).groupBy("rule_name").agg(_COUNT.alias("count"))
+    counts = time_window(df, since, until).groupBy("rule_name").agg(_count().alias("count"))
     return counts.orderBy(F.desc("count"), "rule_name").limit(n)
 
 
 def class_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(quoted(column)).agg(_COUNT.alias("count"))
+    return df.groupBy(quoted(column)).agg(_count().alias("count"))
 
 
 def prediction_counts(df: DataFrame, column: str = "attack_type", by_count: bool = False) -> DataFrame:
@@ -230,7 +231,7 @@ def prediction_counts(df: DataFrame, column: str = "attack_type", by_count: bool
 
 def summary_counts(df: DataFrame) -> DataFrame:
     """Total, per severity and per attack type in one pass."""
-    small = df.groupBy("severity", "attack_type").agg(_COUNT.alias("n"))
+    small = df.groupBy("severity", "attack_type").agg(_count().alias("n"))
     entries = F.explode(F.array(
         _entry("total", F.lit(""), F.col("n")),
         _entry("severity", F.col("severity"), F.col("n")),
@@ -261,7 +262,7 @@ def hourly_series(df: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
     last = _hour_floor(as_of) + timedelta(hours=1)
     kept = df.filter((F.col("timestamp") >= F.lit(first)) & (F.col("timestamp") < F.lit(last)))
     counts = kept.groupBy(F.date_trunc("hour", "timestamp").alias("bucket")).agg(
-        _COUNT.alias("count")
+        _count().alias("count")
     )
     # At most one row per bucket of the range, so this side has no more than `hours` rows.
     series = spine.join(F.broadcast(counts), "bucket", "left")
@@ -309,7 +310,7 @@ def _by_hour(df: DataFrame, as_of: datetime, *keys: str) -> DataFrame:
         recent_day.alias("recent"),
         (F.col("timestamp") >= F.lit(midnight(as_of))).alias("today"),
         F.when(recent_day & shown, _hour_text(bucket)).alias("hour"),
-    ).agg(_COUNT.alias("n"), F.max("timestamp").alias("last"))
+    ).agg(_count().alias("n"), F.max("timestamp").alias("last"))
 
 
 def metrics_overview(df: DataFrame, as_of: datetime) -> DataFrame:
@@ -353,8 +354,8 @@ def model_performance(df: DataFrame, as_of: datetime, hours: int = 24) -> DataFr
     """Count, average score and latency of the last hours: overall, per attack type and
     per dataset. ``hours`` is held between 1 and 168.
 
-    The frame is reduced once to (attack, source, label); the three views are grouping
-    sets over that small result.
+    The frame is reduced once to (attack, source, label); the views are sums over that
+    small result.
     """
     hours = max(1, min(hours, 168))
     kept = df.filter(F.col("timestamp") >= F.lit(as_of - timedelta(hours=hours)))
@@ -363,23 +364,22 @@ def model_performance(df: DataFrame, as_of: datetime, hours: int = 24) -> DataFr
         F.coalesce("attack_type", F.lit("UNKNOWN")).alias("attack_type"),
         A.meta_field("meta", "dataset_source").alias("source"),
         A.meta_field("meta", "dataset_label").alias("label"),
-    ).agg(_COUNT.alias("n"), F.sum("model_score").alias("score"), F.sum(latency).alias("latency"))
-    sets = [[], [F.col("attack_type")], [F.col("source"), F.col("label")]]
-    sums = small.groupingSets(sets, F.col("attack_type"), F.col("source"), F.col("label")).agg(
-        F.grouping_id().alias("gid"), F.sum("n").alias("count"),
-        F.sum("score").alias("score"), F.sum("latency").alias("latency"),
-    )
-    section = (
-        F.when(F.col("gid") == 7, "total").when(F.col("gid") == 3, "attack_type")
-        .otherwise("dataset")
-    )
-
-    def mean(total: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(total), F.col("count")), F.lit(0.0))
-
-    return sums.select(
-        section.alias("section"), "attack_type", "source", "label",
-        F.coalesce("count", F.lit(0)).alias("count"),
+    ).agg(_count().alias("n"), F.sum("model_score").alias("score"), F.sum(latency).alias("latency"))
+    sums = [F.sum(c).alias(c) for c in ("n", "score", "latency")]
+    both = [F.col("attack_type")], [F.col("source"), F.col("label")]
+    groups = small.groupingSets(both, F.col("attack_type"), F.col("source"), F.col("label"))
+    views = groups.agg(F.grouping("attack_type").alias("of_dataset"), *sums)
+    section = F.when(F.col("of_dataset") == 0, "attack_type").otherwise("dataset")
+    views = views.withColumn("section", section).drop("of_dataset")
+    # The overall line exists even when there is no alert.
+    total = small.agg(*sums).withColumn("section", F.lit("total"))
+
+    def mean(of: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(of), F.col("n")), F.lit(0.0))
+
+    return views.unionByName(total, allowMissingColumns=True).select(
+        "section", "attack_type", "source", "label",
+        F.coalesce("n", F.lit(0)).alias("count"),
         mean("score").alias("avg_model_score"),
         mean("latency").alias("avg_latency_ms"),
     )
@@ -394,7 +394,7 @@ def reports_summary(df: DataFrame, from_ts: datetime | None = None,
     """
     kept = time_window(df, from_ts, to_ts)
     small = kept.groupBy("severity", "attack_type", "rule_name").agg(
-        _COUNT.alias("n"),
+        _count().alias("n"),
         F.sum("model_score").alias("score"),
         F.count_if(F.col("model_label") == "malicious").alias("bad"),
     )

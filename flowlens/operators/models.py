@@ -30,7 +30,7 @@ from flowlens.operators import evaluation as E
 from flowlens.operators import features as X
 from flowlens.operators.sampling import mark_split, rank_features
 from flowlens.operators.smote import smote
-from flowlens.session import materialize
+from flowlens.session import materialize, path_exists
 
 
 @dataclass
@@ -135,11 +135,8 @@ def load_model(spark: SparkSession, path: str) -> Bundle:
 
 def load_or_train(spark: SparkSession, path: str, train) -> tuple[Bundle, bool]:
     """Saved model if there is one (flag true), else ``train()`` saved to ``path``."""
-    try:
+    if path_exists(spark, f"{path}/sidecar/_SUCCESS"):
         return load_model(spark, path), True
-    except Exception as error:  # missing or unreadable: train again
-        if "exist" not in str(error).lower() and "PATH_NOT_FOUND" not in str(error):
-            raise
     bundle = train()
     save_model(spark, bundle, path)
     return bundle, False

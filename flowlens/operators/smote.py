@@ -18,12 +18,12 @@ def synthesize(df: DataFrame, column: str, features: Sequence[str], plan: DataFr
                seed: int = 42, row_key: Sequence[str] = ("uid",), max_cell: int = 4096) -> DataFrame:
     """Synthetic rows ``column, features...`` that lift every class to its ``target``.
 
-    ``plan`` has one row per class with ``n`` and ``target``. A synthetic row lies at a
+    ``plan`` has one row per class: ``cls, n, target``. A synthetic row lies at a
     random point between a random row of its class and one of that row's ``k`` nearest
     neighbours. All draws come from hashes of the draw number: reruns give the same rows.
     """
     spark = df.sparkSession
-    sizes = {r[column]: (r["n"], r["target"]) for r in plan.filter("target > n").collect()}
+    sizes = {r["cls"]: (r["n"], r["target"]) for r in plan.filter("target > n").collect()}
     single = [c for c, (n, _) in sizes.items() if n < 2]
     if single:
         raise ValueError(f"classes with a single row cannot be oversampled: {single}")
@@ -73,7 +73,7 @@ def synthesize(df: DataFrame, column: str, features: Sequence[str], plan: DataFr
 def smote(df: DataFrame, column: str, features: Sequence[str], mode: str, seed: int = 42,
           row_key: Sequence[str] = ("uid",), max_cell: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Real and synthetic rows (``synthetic`` tells which) and the plan that was used."""
-    counts = df.groupBy(quoted(column)).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(quoted(column).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     plan = materialize(smote_plan(counts, mode), "plan")
     real = df.select(column, *[quoted(f).cast("double").alias(f) for f in features])
     real = real.withColumn("synthetic", F.lit(False))

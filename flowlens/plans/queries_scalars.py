@@ -464,12 +464,12 @@ WITH a AS (SELECT event_id, greatest(duration, 0.000001::DOUBLE) AS dur, CAST(or
 m AS (SELECT *, CASE WHEN fp <= 0 THEN fb ELSE fb / fp END AS fm, CASE WHEN bp <= 0 THEN bb ELSE bb / bp END AS bm,
   CASE WHEN fp + bp <= 0 THEN fb + bb ELSE (fb + bb) / (fp + bp) END AS am,
   greatest(dur - least(dur, (fp + bp) * 0.001::DOUBLE), 0) AS idle FROM a)
-SELECT event_id, {', '.join(f'round(CAST({_FLOW_SQL.get(n, "0")} AS DOUBLE), 3) AS "{n}"' for n in S.CIC_FEATURES)} FROM m"""
+SELECT event_id, {', '.join(f'round(CAST({_FLOW_SQL.get(n, "0")} AS DOUBLE), 8) AS "{n}"' for n in S.CIC_FEATURES)} FROM m"""
 
 
 @query("t3_cic_features78", "conn", _CIC_SQL)
 def t3(t: Tables) -> DataFrame:
-    return _rounded(X.cic_features78(t.conn(), keep=["event_id"]), S.CIC_FEATURES, digits=3)
+    return _rounded(X.cic_features78(t.conn(), keep=["event_id"]), S.CIC_FEATURES, digits=8)
 
 
 @query("t4_cicflow_top20", "conn", """

@@ -67,3 +67,10 @@ def join_small(df: DataFrame, side: DataFrame, on, how: str = "inner",
     """Join a summary to ``df``: broadcast when its size was checked, shuffled otherwise."""
     table = small_table(side, max_rows)
     return df.join(side if table is None else table, on, how)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or directory exists, on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

@@ -59,20 +59,35 @@ def preview(df: DataFrame, n: int = 5) -> tuple[list[str], DataFrame]:
     return df.columns, df.limit(n)
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """Add the logical flow columns as text (``_src_ip`` ...), the parsed time and ports,
+    and why a row cannot be converted. Parsed once, used by all later steps."""
+    texts = {f"_{k}": first_present(df, names) for k, names in S.FLOW_COLUMNS.items()}
+    parsed = df.withColumns(texts).withColumns({
+        "_time": parse_ts("_timestamp"),
+        "_sport": parse_number("_src_port").try_cast("int"),
+        "_dport": parse_number("_dst_port").try_cast("int"),
+    })
+    blank = F.lit(False)
+    for name in ("_src_ip", "_dst_ip", "_src_port", "_dst_port"):
+        blank = blank | (F.col(name) == "")
+    reason = (
+        F.when(F.col("_time").isNull(), "timestamp")
+        .when(blank, "endpoint")
+        .when(F.col("_sport").isNull() | F.col("_dport").isNull(), "port")
+    )
+    return parsed.withColumn("reject_reason", reason)
+
+
+_STAGED = [f"_{k}" for k in S.FLOW_COLUMNS] + ["_time", "_sport", "_dport"]
+
+
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flow rows that can be converted, and the others with ``reject_reason``.
 
     Rejected: no readable timestamp, no endpoint, or a port that is not a number.
     """
-    named = {k: first_present(df, S.FLOW_COLUMNS[k]) for k in S.ESSENTIAL_FLOW_COLUMNS}
-    ports = [named["src_port"], named["dst_port"]]
-    readable = [parse_number(p).try_cast("int").isNotNull() for p in ports]
-    reason = (
-        F.when(parse_ts(named["timestamp"]).isNull(), "timestamp")
-        .when((named["src_ip"] == "") | (named["dst_ip"] == "") | (ports[0] == "") | (ports[1] == ""), "endpoint")
-        .when(~(readable[0] & readable[1]), "port")
-    )
-    marked = df.withColumn("reject_reason", reason)
+    marked = _staged(df).drop(*_STAGED)
     good = marked.filter("reject_reason is null").drop("reject_reason")
     return good, marked.filter("reject_reason is not null")
 
@@ -82,49 +97,47 @@ def convert_cic_to_conn(df: DataFrame, dataset_name: str) -> tuple[DataFrame, Da
     missing = missing_flow_columns(df.columns)
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    good, rejected = split_valid(df)
-
-    def text(name: str):
-        return first_present(good, S.FLOW_COLUMNS[name])
-
-    seconds = F.format_string("%.6f", epoch_seconds(parse_ts(text("timestamp"))))
-    proto = L.norm_protocol(text("protocol"))
-    label = L.norm_label(text("label"))
+    staged = _staged(df)
+    rejected = staged.filter("reject_reason is not null").drop(*_STAGED)
+    good = staged.filter("reject_reason is null")
     source = F.col("source_file") if "source_file" in good.columns else F.lit("")
-
-    def count(name: str):
-        return safe_int(text(name), 0, "clean").cast("string")
-
-    sport = safe_int(text("src_port"), 0).cast("string")
-    dport = safe_int(text("dst_port"), 0).cast("string")
-    silent = (safe_int(text("resp_pkts"), 0, "clean") == 0) & (safe_double(text("resp_bytes"), 0.0, "clean") == 0)
-    duration = safe_double(text("flow_duration"), 0.0, "clean") / F.lit(1e6)
+    good = good.withColumns({
+        "_ts": F.format_string("%.6f", epoch_seconds("_time")),
+        "_proto": L.norm_protocol("_protocol"),
+        "_class": L.norm_label("_label"),
+        "_up": safe_int("_orig_bytes", 0, "clean").cast("string"),
+        "_down": safe_double("_resp_bytes", 0.0, "clean"),
+        "_down_pkts": safe_int("_resp_pkts", 0, "clean"),
+    })
+    silent = (F.col("_down_pkts") == 0) & (F.col("_down") == 0)
+    down = F.col("_down").cast("bigint").cast("string")
+    duration = safe_double("_flow_duration", 0.0, "clean") / F.lit(1e6)
     columns = {
-        "ts": seconds,
-        "uid": L.hashed_uid(seconds, text("src_ip"), sport, text("dst_ip"), dport, text("flow_id"), source),
-        "id_orig_h": text("src_ip"),
-        "id_orig_p": sport,
-        "id_resp_h": text("dst_ip"),
-        "id_resp_p": dport,
-        "proto": proto["name"],
-        "service": L.guess_service(dport),
+        "ts": F.col("_ts"),
+        "uid": L.hashed_uid("_ts", "_src_ip", "_sport", "_dst_ip", "_dport", "_flow_id", source),
+        "id_orig_h": F.col("_src_ip"),
+        "id_orig_p": F.col("_sport").cast("string"),
+        "id_resp_h": F.col("_dst_ip"),
+        "id_resp_p": F.col("_dport").cast("string"),
+        "proto": F.col("_proto.name"),
+        "service": L.guess_service("_dport"),
         "duration": F.format_string("%.6f", duration),
-        "orig_bytes": count("orig_bytes"),
-        "resp_bytes": count("resp_bytes"),
+        "orig_bytes": F.col("_up"),
+        "resp_bytes": down,
         "conn_state": F.when(silent, "S0").otherwise("SF"),
         "local_orig": F.lit("T"),
         "local_resp": F.lit("T"),
         "missed_bytes": F.lit("0"),
-        "history": F.when(proto["name"] == "tcp", "S").otherwise("-"),
-        "orig_pkts": count("orig_pkts"),
-        "orig_ip_bytes": count("orig_bytes"),
-        "resp_pkts": count("resp_pkts"),
-        "resp_ip_bytes": count("resp_bytes"),
+        "history": F.when(F.col("_proto.name") == "tcp", "S").otherwise("-"),
+        "orig_pkts": safe_int("_orig_pkts", 0, "clean").cast("string"),
+        "orig_ip_bytes": F.col("_up"),
+        "resp_pkts": F.col("_down_pkts").cast("string"),
+        "resp_ip_bytes": down,
         "tunnel_parents": F.lit("-"),
-        "ip_proto": proto["number"],
-        "cicids_label": label["label"],
-        "cicids_attack": label["class"],
-        "flow_id": text("flow_id"),
+        "ip_proto": F.col("_proto.number"),
+        "cicids_label": F.col("_class.label"),
+        "cicids_attack": F.col("_class.class"),
+        "flow_id": F.col("_flow_id"),
         "source_file": source,
         "dataset_name": F.lit(dataset_name[:50]),
     }

@@ -68,12 +68,12 @@ def clean_name(name: str) -> str:
 
 
 def unique_names(names: Iterable[str]) -> list[str]:
-    """Repeated names get ``.1``, ``.2`` and so on."""
+    """Repeated names get ``.1``, ``.2`` and so on; case does not tell names apart."""
     seen: dict[str, int] = {}
     out = []
     for name in names:
-        n = seen.get(name, 0)
-        seen[name] = n + 1
+        n = seen.get(name.lower(), 0)
+        seen[name.lower()] = n + 1
         out.append(f"{name}.{n}" if n else name)
     return out
 

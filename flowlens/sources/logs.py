@@ -107,7 +107,7 @@ def _read_csv(spark: SparkSession, paths: Sequence[str], encoding: str, sep: str
     for line, members in header_groups(spark, paths, encoding).items():
         names = header_columns(line, sep)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        reader = spark.read.schema(schema).option("header", "true").option("sep", sep)
+        reader = spark.read.schema(schema).option("header", "true").option("sep", sep).option("escape", '"')
         part = reader.option("encoding", encoding).csv(list(members))
         part = part.select("*", F.col("_metadata.file_name").alias("source_file"))
         result = part if result is None else result.unionByName(part, allowMissingColumns=True)

@@ -15,6 +15,10 @@ from flowlens.operators.features import conn_features
 from flowlens.operators.sampling import sample_per_class
 from flowlens.sources.checks import convert_cic_to_conn
 
+# Quotes inside a quoted cell are doubled and blanks around values are kept.
+_CSV_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_CSV = {"header": "true", **_CSV_TEXT}
+
 # Row number within a partition is the low part of the generated id.
 _FIRST_IN_PARTITION = (1 << 33) - 1
 
@@ -46,7 +50,7 @@ def export_columns(df: DataFrame) -> DataFrame:
 def export_alerts_csv(df: DataFrame, filters: AlertFilters, path: str) -> None:
     """Filtered and sorted alerts as CSV; part files follow the sort order."""
     ordered = sort_alerts(filter_alerts(df, filters), filters.sort)
-    export_columns(ordered).write.csv(path, header=True)
+    export_columns(ordered).write.options(**_CSV).csv(path)
 
 
 def with_header_lines(df: DataFrame, header: str, value: Column) -> DataFrame:
@@ -64,7 +68,7 @@ def write_conn_csv(df: DataFrame, path: str) -> None:
     columns = [c for c in S.CONN_COLUMNS if c.replace(".", "_") in df.columns]
     row = F.struct(*[quoted(c.replace(".", "_")).cast("string").alias(c) for c in columns])
     header = ",".join(["#fields", *columns])
-    with_header_lines(df, header, F.to_csv(row)).write.text(path)
+    with_header_lines(df, header, F.to_csv(row, _CSV_TEXT)).write.text(path)
 
 
 def write_zeek_log(df: DataFrame, path: str, columns: Sequence[str]) -> None:
@@ -105,7 +109,7 @@ def alert_ready(df: DataFrame, mapped: bool = False) -> DataFrame:
 
 
 def export_alert_ready(df: DataFrame, path: str, mapped: bool = False) -> None:
-    alert_ready(df, mapped).write.csv(path, header=True)
+    alert_ready(df, mapped).write.options(**_CSV).csv(path)
 
 
 def labeled_rows(df: DataFrame) -> DataFrame:
@@ -120,22 +124,22 @@ def ml_rows(df: DataFrame) -> DataFrame:
 
 
 def export_labeled(df: DataFrame, path: str) -> None:
-    labeled_rows(df).write.csv(path, header=True)
+    labeled_rows(df).write.options(**_CSV).csv(path)
 
 
 def export_ml(df: DataFrame, path: str) -> None:
-    ml_rows(df).write.csv(path, header=True)
+    ml_rows(df).write.options(**_CSV).csv(path)
 
 
 def export_correct_samples(df: DataFrame, path: str, truth: str = "Label_mapped",
                            prediction: str = "predicted", n: int = 50) -> None:
     """Up to ``n`` correctly classified rows per class, one folder per class."""
     correct = df.filter(quoted(truth) == quoted(prediction))
-    sample_per_class(correct, truth, n).write.partitionBy(truth).csv(path, header=True)
+    sample_per_class(correct, truth, n).write.options(**_CSV).partitionBy(truth).csv(path)
 
 
 def save_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def feature_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -148,4 +152,4 @@ def feature_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def export_features(df: DataFrame, path: str, limit: int | None = None) -> None:
-    feature_rows(df, limit).write.csv(path, header=True)
+    feature_rows(df, limit).write.options(**_CSV).csv(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.common import is_numeric, quoted
 from flowlens.functions.numbers import parse_number
+from flowlens.session import path_exists
 
 STATE_SCHEMA = "last_ts double, uid string"
 
@@ -62,12 +63,9 @@ def incremental_delta(df: DataFrame, state: DataFrame, ts: str = "ts",
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Latest written checkpoint and its number; empty and 0 at the first run."""
-    try:
-        written = spark.read.schema(STATE_SCHEMA + ", version int").parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if not path_exists(spark, path):
         return empty_state(spark), 0
+    written = spark.read.schema(STATE_SCHEMA + ", version int").parquet(path)
     version = written.agg(F.max("version")).first()[0]
     if version is None:
         return empty_state(spark), 0

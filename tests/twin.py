@@ -51,9 +51,17 @@ def compare(spark, con, run, sql: str, folder: str) -> list[str]:
     if len(got) != len(want):
         problems.append(f"{len(got)} rows, twin has {len(want)}")
     if got != want:
-        only = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
-        problems.append(f"values differ: {names} spark {only} twin {missing}")
+        have, wanted = set(got), set(want)
+        extra = [r for r in got if r not in wanted]
+        missing = [r for r in want if r not in have]
+        key = next((names.index(k) for k in ("event_id", "id", "uid") if k in names), None)
+        if key is not None and len(extra) == len(missing):
+            other = {r[key]: r for r in missing}
+            pairs = [(r, other.get(r[key])) for r in extra[:3]]
+            cells = [(names[i], x, y[i]) for r, y in pairs if y for i, x in enumerate(r) if x != y[i]]
+            problems.append(f"{len(extra)} rows differ: {cells[:12]}")
+        else:
+            problems.append(f"values differ: {names} spark {extra[:3]} twin {missing[:3]}")
     if not got:
         problems.append("no rows")
     return problems
