@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.common import quoted
 from flowlens.operators.skew import prefix_sums
+from flowlens.session import materialize
 
 
 def confusion_pairs(df: DataFrame, truth: str, prediction: str) -> DataFrame:
@@ -110,7 +111,7 @@ def class_auc(df: DataFrame, truth: str, probabilities: str) -> DataFrame:
 
     Rows are first reduced to distinct scores; ties count one half.
     """
-    scores = _one_vs_rest(df, truth, probabilities)
+    scores = materialize(_one_vs_rest(df, truth, probabilities), "scores")
     below = prefix_sums(scores, ["class"], "score", {"neg": "neg_below"})
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
@@ -140,6 +141,7 @@ def roc_points(df: DataFrame, truth: str, probabilities: str | None, binary: boo
     if binary:
         scores = scores.filter(F.col("class") == 1)
     scores = scores.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    scores = materialize(scores, "scores")
     total = scores.agg(F.sum("pos"), F.sum("neg")).first()
     above = prefix_sums(scores, [], "score", {"pos": "pos_above", "neg": "neg_above"}, descending=True)
     points = above.select(

@@ -91,11 +91,51 @@ def _with_cell(df: DataFrame, cells: Cells) -> DataFrame:
     return df.withColumn("cell", cell("cls", "vec"))
 
 
-def build_cells(points: DataFrame, max_cell: int = 4096, sample: int = 4096,
-                max_rounds: int = 8) -> tuple[Cells, DataFrame]:
+def _boxes(located: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest corner of the points of every cell, by cell number."""
+    sample = located.select("vec").first()
+    width = len(sample.vec) if sample else 0
+    corners = located.groupBy("cell").agg(
+        *[F.min(F.get("vec", F.lit(i))).alias(f"lo{i}") for i in range(width)],
+        *[F.max(F.get("vec", F.lit(i))).alias(f"hi{i}") for i in range(width)],
+    )
+    low, high = np.full((nodes, width), np.inf), np.full((nodes, width), -np.inf)
+    for row in corners.toLocalIterator():
+        low[row.cell], high[row.cell] = row[1:1 + width], row[1 + width:]
+    return low, high
+
+
+def _reached(tree: dict, names: np.ndarray, points: np.ndarray, own: np.ndarray,
+             radius: np.ndarray) -> list[list[int]]:
+    """Other cells within the radius of each query: queries walk down the tree together
+    and take both sides of a cut only when their ball crosses it."""
+    out: list[list[int]] = [[] for _ in range(len(points))]
+    stack = [(tree["roots"][n], np.flatnonzero(names == n)) for n in set(names)]
+    while stack:
+        node, who = stack.pop()
+        if not len(who):
+            continue
+        axis = tree["axis"][node]
+        if axis < 0:
+            outside = np.maximum(np.maximum(tree["low"][node] - points[who], points[who] - tree["high"][node]), 0.0)
+            near = ((outside ** 2).sum(axis=1) <= radius[who]) & (own[who] != node)
+            for i in who[near]:
+                out[i].append(int(node))
+            continue
+        gap = points[who, axis] - tree["cut"][node]
+        crosses = gap ** 2 <= radius[who]
+        left, right = tree["child"][node]
+        stack.append((left, who[(gap <= 0) | crosses]))
+        stack.append((right, who[(gap > 0) | crosses]))
+    return out
+
+
+def build_cells(points: DataFrame, max_cell: int = 4096, budget: int = 200_000,
+                max_rounds: int = 64) -> tuple[Cells, DataFrame]:
     """Cells of at most ``max_cell`` points and the points with their cell.
 
-    Every round samples each oversized cell and cuts it further.
+    Every round samples oversized cells, the largest first, and cuts them further. At
+    most ``budget`` sampled vectors reach the driver per round.
     """
     cells = Cells()
     for row in points.select("cls").distinct().collect():
@@ -103,17 +143,23 @@ def build_cells(points: DataFrame, max_cell: int = 4096, sample: int = 4096,
     for _ in range(max_rounds):
         located = _with_cell(points, cells)
         sizes = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        big = {r.cell: r.n for r in sizes.filter(F.col("n") > max_cell).collect()}
+        big = sizes.filter(F.col("n") > max_cell).orderBy(F.desc("n")).limit(budget // 64).collect()
         if not big:
             break
-        chosen = located.filter(F.col("cell").isin(list(big)))
-        chosen = take_first(chosen, ["cell"], F.lit(sample), F.col("key"), ["key"])
+        size = {r.cell: r.n for r in big}
+        each = max(64, min(4096, budget // len(big)))
+        chosen = located.join(F.broadcast(points.sparkSession.createDataFrame(
+            [(c,) for c in size], "cell long")), "cell", "left_semi")
+        chosen = take_first(chosen, ["cell"], F.lit(each), F.col("key"), ["key"])
         drawn: dict[int, list] = {}
         for row in chosen.select("cell", "vec").toLocalIterator():
             drawn.setdefault(row.cell, []).append(row.vec)
+        before = len(cells.axis)
         for node, vectors in drawn.items():
-            pieces = min(-(-2 * big[node] // max_cell), max(2, len(vectors) // 8))
+            pieces = min(-(-2 * size[node] // max_cell), max(2, len(vectors) // 8))
             cells.split(node, np.array(vectors), pieces)
+        if len(cells.axis) == before:
+            break
     return cells, _with_cell(points, cells)
 
 
@@ -164,20 +210,9 @@ def nearest_in_class(rows: DataFrame, k: int, queries: DataFrame | None = None,
             F.md5(F.concat_ws("|", "cls", F.to_json("vec"))).alias("key")).distinct()
         wanted = located.join(asked, "key", "left_semi")
 
-    width = len(located.select("vec").first().vec)
-    boxes = located.groupBy("cls", "cell").agg(
-        *[F.min(F.get("vec", F.lit(i))).alias(f"lo{i}") for i in range(width)],
-        *[F.max(F.get("vec", F.lit(i))).alias(f"hi{i}") for i in range(width)],
-    ).collect()
-    by_class: dict[str, tuple] = {}
-    for name in {b.cls for b in boxes}:
-        mine = [b for b in boxes if b.cls == name]
-        by_class[name] = (
-            np.array([b.cell for b in mine]),
-            np.array([[b[f"lo{i}"] for i in range(width)] for b in mine]),
-            np.array([[b[f"hi{i}"] for i in range(width)] for b in mine]),
-        )
-    shared = rows.sparkSession.sparkContext.broadcast(by_class)
+    tree = cells.arrays()
+    tree["low"], tree["high"] = _boxes(located, len(cells.axis))
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     # 1. Search the own cell. The radius is infinite when the cell holds too few rows.
     def own_cell(points_pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,20 +236,16 @@ def nearest_in_class(rows: DataFrame, k: int, queries: DataFrame | None = None,
     local = marked.groupBy("cls", "cell").applyInPandas(
         own_cell, f"cls string, vec array<double>, key string, cell long, radius double, found {_FOUND}"
     )
-    if all(len(c[0]) == 1 for c in by_class.values()):
+    if all(x < 0 for x in cells.axis):
+        # Every class is a single cell: nothing lies elsewhere.
         return _merged(local.select("cls", "vec", "key", "found"), k)
     local = materialize(local, "local")
 
     # 2. Send each query to the other cells its radius reaches.
     @F.pandas_udf("array<long>")
     def reached(names: pd.Series, vectors: pd.Series, own: pd.Series, radius: pd.Series) -> pd.Series:
-        out = []
-        for name, vec, cell, r in zip(names, vectors, own, radius):
-            ids, low, high = shared.value[name]
-            outside = np.maximum(np.maximum(low - vec, vec - high), 0.0)
-            near = (outside ** 2).sum(axis=1) <= r
-            out.append(ids[near & (ids != cell)].tolist())
-        return pd.Series(out)
+        return pd.Series(_reached(shared.value, names.to_numpy(), np.vstack(vectors.to_numpy()),
+                                  own.to_numpy(), radius.to_numpy()))
 
     trips = local.select(
         "cls", F.col("key").alias("qkey"), F.col("vec").alias("qvec"),

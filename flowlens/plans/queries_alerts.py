@@ -107,16 +107,10 @@ def p11_bucket(t: Tables) -> DataFrame:
 # --- sorting and paging --------------------------------------------------------------
 
 
-@query("l1_sort_by_severity", "alerts", f"""
-SELECT id, severity, CAST(row_number() OVER (ORDER BY {case_sql(S.SEVERITY_RANK, 'severity')} DESC, id) AS INTEGER) AS place
-FROM alerts ORDER BY place LIMIT 500""")
+@query("l1_sort_alerts", "alerts", f"""
+SELECT {_SHOWN} FROM alerts ORDER BY {case_sql(S.SEVERITY_RANK, 'severity')} DESC, id""")
 def l1(t: Tables) -> DataFrame:
-    top = Q.sort_alerts(t.alerts(), "-severity").limit(500).select("id", "severity")
-    from pyspark.sql import Window
-
-    # The window only numbers the 500 rows of the report.
-    order = Window.orderBy(A.severity_rank("severity").desc(), "id")
-    return top.withColumn("place", F.row_number().over(order))
+    return _shown(Q.sort_alerts(t.alerts(), "-severity"))
 
 
 @query("l2_page_alerts", "alerts", f"""

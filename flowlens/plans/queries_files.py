@@ -38,12 +38,12 @@ def _log_rows(t: Tables) -> DataFrame:
 @query("s1_read_zeek_log", "conn", """
 SELECT uid, id_orig_h, CAST(id_orig_p AS DOUBLE) AS id_orig_p, proto, round(duration, 6) AS duration,
   CAST(orig_bytes AS DOUBLE) AS orig_bytes, coalesce(CASE WHEN event_id % 4 <> 0 THEN CAST(resp_bytes AS DOUBLE) END, -1) AS resp_bytes
-FROM conn WHERE event_id % 5 <> 0""")
+FROM conn WHERE k >= 10""")
 def s1(t: Tables) -> DataFrame:
     n = F.col("event_id")
     rows = _log_rows(t).withColumns({
         # A tab inside a field gives the row one field too many: it is dropped.
-        "service": F.when(n % 5 == 0, F.lit("a\tb")).otherwise(F.col("service")),
+        "service": F.when(F.col("k") < 10, F.lit("a\tb")).otherwise(F.col("service")),
         "resp_bytes": F.when(n % 4 != 0, F.col("resp_bytes")),
     })
     path = scratch_dir(t.spark, "zeek")
@@ -74,7 +74,7 @@ def _write_flows(t: Tables, sep: str = ",", encoding: str = "UTF-8") -> str:
 
 
 @query("s3_read_cic", "conn dirty", """
-SELECT label_text AS label, count(*) AS n, count(*) FILTER (event_id % 11 = 0) AS without_target FROM dirty GROUP BY 1""")
+SELECT label_text AS label, count(*) AS n, count(*) FILTER (k = 11) AS without_target FROM dirty GROUP BY 1""")
 def s3(t: Tables) -> DataFrame:
     rows = logs.read_cic(t.spark, _write_flows(t), encoding="UTF-8")
     target = F.coalesce(F.col("`Destination IP`"), F.lit(""))
@@ -144,12 +144,12 @@ def s8(t: Tables) -> DataFrame:
 
 
 @query("s9_read_ragged", "conn", f"""
-SELECT 'pad' AS policy, uid, CASE WHEN event_id % 4 = 0 THEN '' ELSE proto END AS proto FROM conn UNION ALL
-SELECT 'skip', uid, proto FROM conn WHERE event_id % 4 <> 0""")
+SELECT 'pad' AS policy, uid, CASE WHEN k < 25 THEN '' ELSE proto END AS proto FROM conn UNION ALL
+SELECT 'skip', uid, proto FROM conn WHERE k >= 25""")
 def s9(t: Tables) -> DataFrame:
-    n = F.col("event_id")
-    line = F.when(n % 4 == 0, F.concat_ws(";", "uid", "label")).when(
-        n % 4 == 1, F.concat_ws(";", "uid", "label", "proto", F.lit("extra"))).otherwise(F.concat_ws(";", "uid", "label", "proto"))
+    k = F.col("k")
+    line = F.when(k < 25, F.concat_ws(";", "uid", "label")).when(
+        k < 50, F.concat_ws(";", "uid", "label", "proto", F.lit("extra"))).otherwise(F.concat_ws(";", "uid", "label", "proto"))
     path = _text_lines(t.conn(), "uid;label;proto", line, scratch_dir(t.spark, "ragged"))
     padded = files.read_ragged(t.spark, path, short="pad").select(F.lit("pad").alias("policy"), "uid", "proto")
     skipped = files.read_ragged(t.spark, path, short="skip").select(F.lit("skip").alias("policy"), "uid", "proto")
@@ -205,10 +205,9 @@ def s12(t: Tables) -> DataFrame:
 
 
 @query("s13_with_provenance", "conn", """
-SELECT 'monday' AS day, 'lab' AS dataset_name, count(*) AS n FROM conn WHERE event_id % 2 = 0 UNION ALL
-SELECT 'tuesday', 'lab', count(*) FROM conn WHERE event_id % 2 = 1""")
+SELECT CASE WHEN proto = 'tcp' THEN 'monday' ELSE 'tuesday' END AS day, 'lab' AS dataset_name, count(*) AS n FROM conn GROUP BY 1""")
 def s13(t: Tables) -> DataFrame:
-    names = F.when(F.col("event_id") % 2 == 0, "Monday-WorkingHours.csv").otherwise("Tuesday-WorkingHours.csv")
+    names = F.when(F.col("proto") == "tcp", "Monday-WorkingHours.csv").otherwise("Tuesday-WorkingHours.csv")
     rows = t.conn().select("uid", names.alias("source_file"))
     tagged = files.with_provenance(rows, "flow", dataset="lab")
     return tagged.groupBy("day", "dataset_name").agg(F.count(F.lit(1)).alias("n"))
@@ -245,13 +244,13 @@ def v3(t: Tables) -> DataFrame:
 
 _PROTO_NUM = """CASE event_id % 9 WHEN 1 THEN '17' WHEN 2 THEN '1' WHEN 4 THEN '17' WHEN 6 THEN '17' ELSE '6' END"""
 _CONVERTED = f"""
-WITH r AS (SELECT c.*, d.label_text, {TIME_MEANING_SQL.replace('event_id', 'd.event_id').replace('(ts)', '(d.ts)').replace(', ts)', ', d.ts)')} AS micros
+WITH r AS (SELECT c.*, d.label_text, d.ts_text, {TIME_MEANING_SQL.replace('event_id', 'd.event_id').replace('(ts)', '(d.ts)').replace(', ts)', ', d.ts)')} AS micros
   FROM conn c JOIN dirty d USING (event_id))
 SELECT printf('%.6f', micros / CAST(1000000 AS DOUBLE)) AS ts, id_orig_h, CAST(id_orig_p AS VARCHAR) AS id_orig_p,
   {case_sql(S.SERVICE_BY_PORT, 'id_resp_p', "'-'")} AS service, printf('%.6f', floor(duration * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE)) AS duration,
   CAST(orig_bytes AS VARCHAR) AS orig_bytes, CASE WHEN resp_pkts = 0 AND resp_bytes = 0 THEN 'S0' ELSE 'SF' END AS conn_state,
   {_PROTO_NUM} AS ip_proto, {case_sql(S.LABEL_CLASSES, "upper(trim(regexp_replace(replace(replace(replace(label_text, '–', '-'), '—', '-'), '�', ' '), '\\s+', ' ', 'g')))", "'?'")} AS cicids_attack,
-  {FLOW_ID_SQL} AS flow_id, 'lab' AS dataset_name FROM r WHERE micros IS NOT NULL AND event_id % 11 <> 0 AND event_id % 13 <> 0"""
+  {FLOW_ID_SQL} AS flow_id, 'lab' AS dataset_name FROM r WHERE micros IS NOT NULL AND k NOT IN (11, 13)"""
 _CONVERTED_COLUMNS = ["ts", "id_orig_h", "id_orig_p", "service", "duration", "orig_bytes", "conn_state", "ip_proto",
                       "cicids_attack", "flow_id", "dataset_name"]
 
@@ -297,7 +296,7 @@ def k3(t: Tables) -> DataFrame:
 
 
 @query("a21_conversion_stats", "conn dirty", f"""
-WITH x AS (SELECT {TIME_MEANING_SQL} IS NOT NULL AND event_id % 11 <> 0 AND event_id % 13 <> 0 AS good FROM dirty)
+WITH x AS (SELECT {TIME_MEANING_SQL} IS NOT NULL AND k NOT IN (11, 13) AS good FROM dirty)
 SELECT count(*) FILTER (good) AS written, count(*) FILTER (NOT good) AS skipped, count(*) AS input FROM x""")
 def a21(t: Tables) -> DataFrame:
     counts = sinks.convert_and_write(t.raw_flows(), scratch_dir(t.spark, "stats"), "lab")

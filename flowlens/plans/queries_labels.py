@@ -76,22 +76,21 @@ def j5(t: Tables) -> DataFrame:
 
 _SECONDS = "floor(ts_epoch / 3600) * 3600"
 _STATE_SQL = f"""
-WITH h AS (SELECT uid, event_id, {_SECONDS} AS ts FROM conn),
-s AS (SELECT (SELECT ts FROM h WHERE event_id = 5000 LIMIT 1) AS last_ts),
-seen AS (SELECT uid FROM h, s WHERE h.ts = s.last_ts AND event_id % 2 = 0)"""
+WITH h AS (SELECT uid, k, {_SECONDS} AS ts FROM conn),
+s AS (SELECT max(ts) AS last_ts FROM h WHERE ts <= (SELECT (min(ts) + max(ts)) / 2 FROM h)),
+seen AS (SELECT uid FROM h, s WHERE h.ts = s.last_ts AND k >= 50)"""
 
 
 def _hourly(t: Tables) -> DataFrame:
     """Connections with whole-hour timestamps: many share one."""
-    return t.conn().select("uid", "event_id", (F.floor(F.col("ts_epoch") / 3600) * 3600).cast("double").alias("ts"))
+    return t.conn().select("uid", "k", (F.floor(F.col("ts_epoch") / 3600) * 3600).cast("double").alias("ts"))
 
 
 def _state(rows: DataFrame) -> DataFrame:
-    """Checkpoint at the hour of one event, with half of its uids seen."""
-    last = rows.filter("event_id = 5000").agg(F.max("ts")).first()[0]
-    if last is None:
-        last = rows.agg(F.percentile_approx("ts", 0.5)).first()[0]
-    return rows.filter((F.col("ts") == F.lit(last)) & (F.col("event_id") % 2 == 0)).select(
+    """Checkpoint at an hour in the middle, with some of its uids seen."""
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    last = rows.filter(F.col("ts") <= F.lit((low + high) / 2)).agg(F.max("ts")).first()[0]
+    return rows.filter((F.col("ts") == F.lit(last)) & (F.col("k") >= 50)).select(
         F.col("ts").alias("last_ts"), "uid")
 
 
@@ -194,8 +193,8 @@ def p8_correct(t: Tables) -> DataFrame:
 
 
 @query("p9_split_valid", "dirty", f"""
-SELECT event_id, CASE WHEN {TIME_MEANING_SQL} IS NULL THEN 'timestamp' WHEN event_id % 11 = 0 THEN 'endpoint'
-  WHEN event_id % 13 = 0 THEN 'port' ELSE 'ok' END AS outcome FROM dirty""")
+SELECT event_id, CASE WHEN {TIME_MEANING_SQL} IS NULL THEN 'timestamp' WHEN k = 11 THEN 'endpoint'
+  WHEN k = 13 THEN 'port' ELSE 'ok' END AS outcome FROM dirty""")
 def p9(t: Tables) -> DataFrame:
     good, bad = checks.split_valid(t.raw_flows())
     return good.select("event_id", F.lit("ok").alias("outcome")).unionByName(
@@ -239,7 +238,7 @@ def w4(t: Tables) -> DataFrame:
     return sampling.sample_per_class(rows, "y_true", 50)
 
 
-_PLAN_COUNTS = """WITH c AS (SELECT label, count(*) * 4 AS n FROM conn WHERE label <> 'DDoS' OR event_id % 20 = 0 GROUP BY label)"""
+_PLAN_COUNTS = """WITH c AS (SELECT label, count(*) * 4 AS n FROM conn WHERE label <> 'DDoS' OR duration >= 60 GROUP BY label)"""
 
 
 @query("w6_smote_plan", "conn", f"""{_PLAN_COUNTS},
@@ -247,7 +246,7 @@ b AS (SELECT max(n) AS m, min(n) AS lo, count(*) AS k, least(max(n), greatest(50
 SELECT label, n, m AS full_target, CAST(CASE WHEN k > 1 AND lo >= 2 AND n < base THEN least(base, least(m, base * 3)) ELSE n END AS BIGINT) AS dynamic_target,
   CASE WHEN n >= 300 AND n < 15000 THEN 15000 ELSE n END AS threshold_target, n AS none_target FROM c, b""")
 def w6(t: Tables) -> DataFrame:
-    rows = t.conn().filter((F.col("label") != "DDoS") | (F.col("event_id") % 20 == 0))
+    rows = t.conn().filter((F.col("label") != "DDoS") | (F.col("duration") >= 60))
     plan = rows.groupBy("label").agg((F.count(F.lit(1)) * 4).alias("n"))
     for mode in ("full", "dynamic", "threshold", "none"):
         plan = sampling.smote_plan(plan, mode).withColumnRenamed("target", f"{mode}_target")
@@ -258,10 +257,10 @@ _SMOTE_FEATURES = ["duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pk
 
 
 @query("w7_smote", "conn", """
-WITH c AS (SELECT label, count(*) AS n FROM conn WHERE label IN ('DDoS', 'PortScan') GROUP BY label)
+WITH c AS (SELECT label, count(*) AS n FROM conn GROUP BY label)
 SELECT label, n AS real_rows, (SELECT max(n) FROM c) - n AS synthetic_rows, 0 AS outside FROM c""")
 def w7(t: Tables) -> DataFrame:
-    rows = t.conn().filter(F.col("label").isin("DDoS", "PortScan")).select("uid", "label", *_SMOTE_FEATURES)
+    rows = t.conn().select("uid", "label", *_SMOTE_FEATURES)
     both, _ = smote.smote(rows, "label", _SMOTE_FEATURES, "full")
     # Synthetic points lie between two rows, so inside the range of their class.
     ranges = rows.groupBy("label").agg(
@@ -287,12 +286,12 @@ def a19(t: Tables) -> DataFrame:
 
 
 @query("u1_union_by_name", "conn", """
-SELECT uid, label, proto FROM conn WHERE event_id % 2 = 0 UNION ALL SELECT uid, label, '?' FROM conn WHERE event_id % 2 = 1""")
+SELECT uid, label, CASE WHEN proto = 'tcp' THEN proto ELSE '?' END AS proto FROM conn""")
 def u1(t: Tables) -> DataFrame:
     conn = t.conn()
-    even = conn.filter("event_id % 2 = 0").select("uid", "label", "proto")
-    odd = conn.filter("event_id % 2 = 1").select("label", "uid")
-    return even.unionByName(odd, allowMissingColumns=True).withColumn("proto", F.coalesce("proto", F.lit("?")))
+    tcp = conn.filter("proto = 'tcp'").select("uid", "label", "proto")
+    other = conn.filter("proto <> 'tcp'").select("label", "uid")
+    return tcp.unionByName(other, allowMissingColumns=True).withColumn("proto", F.coalesce("proto", F.lit("?")))
 
 
 @query("u2_distinct_rows", "cic", 'SELECT DISTINCT flow_id, "Label", CAST(day AS VARCHAR) AS day FROM cic')

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions import labels as L
 from flowlens.operators import features as X
 from flowlens.operators import models as M
 from flowlens.plans.queries_labels import FLOWS_SQL, shown_flows
 from flowlens.plans.registry import query
 from flowlens.plans.views import Tables
-from flowlens.schemas import ALERT_SCHEMA, CONN_FEATURES
+from flowlens.schemas import ALERT_SCHEMA, CLASS_NAMES, CONN_FEATURES
 from flowlens.session import scratch_dir
 from flowlens.sources import sinks
 from flowlens.streaming import live, packets, sync
@@ -40,12 +41,14 @@ def st1(t: Tables) -> DataFrame:
 
 
 @query("st2_sync_once", "conn", """
-SELECT 1 AS run, count(*) AS n FROM conn WHERE event_id % 3 <> 2 UNION ALL SELECT 2, count(*) FROM conn
-  WHERE event_id % 3 = 2 AND ts_epoch > (SELECT max(ts_epoch) FROM conn WHERE event_id % 3 <> 2) UNION ALL SELECT 3, 0""")
+WITH m AS (SELECT (min(ts_epoch) + max(ts_epoch)) / 2 AS middle FROM conn)
+SELECT 1 AS run, count(*) AS n FROM conn, m WHERE ts_epoch <= middle UNION ALL
+SELECT 2, count(*) FROM conn, m WHERE ts_epoch > middle UNION ALL SELECT 3, 0""")
 def st2_sync(t: Tables) -> DataFrame:
-    rows = t.conn().select("uid", "event_id", F.col("ts_epoch").alias("ts"))
+    rows = t.conn().select("uid", F.col("ts_epoch").alias("ts"))
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
     state, out = scratch_dir(t.spark, "state"), scratch_dir(t.spark, "synced")
-    first = sync.sync_once(rows.filter("event_id % 3 <> 2"), state, out)
+    first = sync.sync_once(rows.filter(F.col("ts") <= F.lit((low + high) / 2)), state, out)
     second = sync.sync_once(rows, state, out)
     third = sync.sync_once(rows, state, out)
     return t.spark.createDataFrame([(1, first), (2, second), (3, third)], "run int, n bigint")
@@ -61,11 +64,13 @@ def st2_dedup(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("uid", F.unix_micros("ts").alias("micros"))
 
 
-@query("st3_score_stream")
+@query("st3_score_stream", "alerts", """
+SELECT attack_type, CASE attack_type WHEN 'BENIGN' THEN 'Low' ELSE 'Critical' END AS severity, count(*) AS n FROM alerts GROUP BY 1, 2""")
 def st3(t: Tables) -> DataFrame:
     rows = t.conn().drop("ts").withColumnRenamed("ts_epoch", "ts")
-    training = X.conn_features(t.conn(), "serve").withColumn("cls", F.when(F.col("label") == "BENIGN", "BENIGN").otherwise("DOS"))
-    bundle = M.train_dt(training, CONN_FEATURES, "cls", ["BENIGN", "DOS"], depth=6)
+    # The port decides the class: a tree that sees it must score every row right.
+    training = X.conn_features(t.conn(), "serve").withColumn("cls", L.label_to_attack("label"))
+    bundle = M.train_dt(training, [*CONN_FEATURES, "id_resp_p"], "cls", CLASS_NAMES, depth=6)
     feed, out = scratch_dir(t.spark, "logs"), scratch_dir(t.spark, "scored")
     sinks.write_zeek_log(rows, feed, _LOG_COLUMNS)
     _run(live.score_stream(t.spark, feed, _LOG_COLUMNS, bundle, max_files=1), live.batch_writer(out))

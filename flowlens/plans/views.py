@@ -126,16 +126,15 @@ class Tables:
         )
 
     def cic(self) -> DataFrame:
-        """Flow labels of every third connection, some twice."""
-        n = F.col("event_id")
-        rows = self.conn().filter(n % 3 == 0).select(
-            n,
+        """Flow labels of the longer connections; the very long ones are listed twice."""
+        rows = self.conn().filter("duration >= 5").select(
+            "duration",
             L.flow_id("id_orig_h", "id_resp_h", "id_orig_p", "id_resp_p", "proto").alias("flow_id"),
             F.col("label").alias("Label"),
             F.to_date("ts").alias("day"),
         )
-        copies = F.when(n % 9 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-        return rows.withColumn("copy", F.explode(copies)).drop("copy", "event_id")
+        copies = F.when(F.col("duration") >= 50, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+        return rows.withColumn("copy", F.explode(copies)).drop("copy", "duration")
 
     def packets(self) -> DataFrame:
         return self.table("lineitem").select(
@@ -202,8 +201,8 @@ class Tables:
             n,
             L.flow_id("id_orig_h", "id_resp_h", "id_orig_p", "id_resp_p", "proto").alias("Flow ID"),
             F.col("id_orig_h").alias("Source IP"),
-            F.when(n % 13 == 0, "n/a").otherwise(F.col("id_orig_p").cast("string")).alias("Source Port"),
-            F.when(n % 11 == 0, "").otherwise(F.col("id_resp_h")).alias("Destination IP"),
+            F.when(F.col("k") == 13, "n/a").otherwise(F.col("id_orig_p").cast("string")).alias("Source Port"),
+            F.when(F.col("k") == 11, "").otherwise(F.col("id_resp_h")).alias("Destination IP"),
             F.col("id_resp_p").cast("string").alias("Destination Port"),
             pick(PROTO_TEXTS, n).alias("Protocol"),
             F.col("ts_text").alias("Timestamp"),
@@ -271,7 +270,7 @@ alerts AS (SELECT md5(uid) AS id, ts AS timestamp, ts + to_milliseconds(k) AS in
   {pick_sql(_SOURCES, 'event_id')} AS dataset_source,
   CASE WHEN event_id % 4 <> 0 THEN label END AS dataset_label, k, event_id FROM alerts0)""",
     "cic": f"""cic AS (SELECT {FLOW_ID_SQL} AS flow_id, label AS "Label", CAST(ts AS DATE) AS day
-  FROM conn, range(CASE WHEN event_id % 9 = 0 THEN 2 ELSE 1 END) WHERE event_id % 3 = 0)""",
+  FROM conn, range(CASE WHEN duration >= 50 THEN 2 ELSE 1 END) WHERE duration >= 5)""",
     "packets": """packets AS (SELECT CAST(l_orderkey AS VARCHAR) AS uid, l_shipdate AS ts,
   l_linenumber % 2 = 1 AS is_orig, CASE WHEN l_returnflag = 'R' THEN 'PA' ELSE 'A' END AS flags,
   CAST(floor(l_quantity) AS BIGINT) AS len FROM lineitem)""",

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.common import BOM, quoted, strip
 
-# Headers are looked up file by file; larger sets of files need the columns given.
-MAX_HEADER_FILES = 1000
+# Up to this many files have their headers looked up one by one; larger sets must share one.
+MAX_HEADER_FILES = 200
 
 
 def list_files(spark: SparkSession, target: str | Sequence[str], pattern: str | None = None) -> DataFrame:
@@ -108,9 +108,18 @@ def split_cells(line: Column, sep: str) -> Column:
 
 
 def header_groups(spark: SparkSession, paths: Sequence[str], encoding: str) -> dict[str, list[str]]:
-    """Files grouped by their first line."""
+    """Files grouped by their first line.
+
+    A large set is not read file by file: one distributed pass checks that every file
+    has the header line of the first one.
+    """
     if len(paths) > MAX_HEADER_FILES:
-        raise ValueError(f"more than {MAX_HEADER_FILES} files: pass the columns")
+        header = first_line(spark, paths[0], encoding)
+        lines = spark.read.option("encoding", encoding).text(list(paths))
+        with_header = lines.filter(F.col("value") == F.lit(header)).select("_metadata.file_path").distinct().count()
+        if with_header < len(set(paths)):
+            raise ValueError(f"{len(paths)} files with different headers: pass the columns")
+        return {header: list(paths)}
     groups: dict[str, list[str]] = {}
     for path in paths:
         groups.setdefault(first_line(spark, path, encoding), []).append(path)

@@ -14,8 +14,9 @@ from flowlens.functions.numbers import parse_number, safe_double, safe_int
 from flowlens.functions.times import parse_ts
 from flowlens.operators.features import column_named
 from flowlens.sources.files import (
-    header_groups,
+    MAX_HEADER_FILES,
     header_columns,
+    header_groups,
     normalize_columns,
     plain_names,
     read_ragged,
@@ -44,15 +45,23 @@ def _numeric_conn(df: DataFrame) -> DataFrame:
 
 
 def zeek_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Log files grouped by their ``#fields`` line; a file without one is an error."""
+    """Log files grouped by their ``#fields`` line; no such line at all is an error.
+
+    One distributed pass finds the distinct lines. File names are only collected when
+    there are several.
+    """
     lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
-    marks = lines.filter(F.startswith(F.col("value"), F.lit("#fields")))
-    pairs = marks.select(strip("value").alias("value"), "file").distinct()
+    marks = lines.filter(F.startswith(F.col("value"), F.lit("#fields"))).select(strip("value").alias("value"), "file")
+    headers = [r.value for r in marks.select("value").distinct().limit(MAX_HEADER_FILES + 1).collect()]
+    if not headers:
+        raise ValueError(f"no #fields line in {paths}")
+    if len(headers) > MAX_HEADER_FILES:
+        raise ValueError(f"more than {MAX_HEADER_FILES} different headers")
+    if len(headers) == 1:
+        return {headers[0]: list(paths)}
     groups: dict[str, list[str]] = {}
-    for row in pairs.toLocalIterator():
+    for row in marks.distinct().toLocalIterator():
         groups.setdefault(row.value, []).append(row.file)
-    if not groups:
-        raise ValueError(f"no #fields line in {paths}")
     return groups
 
 
@@ -68,8 +77,6 @@ def read_zeek_log(spark: SparkSession, paths: str | Sequence[str], columns: Sequ
         groups = {"\t".join(["#fields", *columns]): files}
     else:
         groups = zeek_headers(spark, files)
-        if len(groups) == 1:
-            groups = {next(iter(groups)): files}
     result = None
     for line, members in groups.items():
         lines = spark.read.text(members)
