@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.common import as_column, strip
 from flowlens.functions.numbers import parse_number
-from flowlens.schemas import REPORT_RANGES, TIMESTAMP_PATTERNS
+from flowlens.schemas import REPORT_RANGES
 
 _ISO = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -18,21 +18,32 @@ _ISO = (
 
 
 def parse_ts(c: Column | str, iso_fallback: bool = True, day_first: bool = False) -> Column:
-    """Text to timestamp: epoch seconds first, then the patterns in order, else NULL.
+    """Text to timestamp: epoch seconds, the known patterns, then ISO forms; else NULL.
 
-    Month-first patterns win over day-first ones unless ``day_first`` is set. Patterns are
-    only tried on text of a matching shape, so rows do not pay for failing parses.
+    A slashed date is read month first when that is possible, else day first
+    (``day_first`` turns this round). The shape of the text selects the one pattern that
+    can fit, so that no row pays for failing parses.
     """
     text = strip(F.replace(as_column(c), F.lit("T"), F.lit(" ")))
-    dashed = [p for p in TIMESTAMP_PATTERNS if p.startswith("yyyy")]
-    slashed = [p for p in TIMESTAMP_PATTERNS if not p.startswith("yyyy")]
-    if day_first:
-        slashed.sort(key=lambda p: not p.startswith("d"))
-    by_dash = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in dashed])
-    by_slash = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in slashed])
+
+    def read(value: Column, pattern: str) -> Column:
+        return F.try_to_timestamp(value, F.lit(pattern))
+
+    dashed = F.when(text.contains("."), read(text, "yyyy-M-d H:m:s.SSSSSS")).otherwise(
+        read(text, "yyyy-M-d H:m:s"))
+    one, two = (F.split_part(text, F.lit("/"), F.lit(i)) for i in (1, 2))
+    # A number above 12 cannot be the month.
+    swap = (two.try_cast("int") <= 12) if day_first else (one.try_cast("int") > 12)
+    tail = F.split_part(text, F.lit("/"), F.lit(3))
+    slashed = F.when(swap, F.concat_ws("/", two, one, tail)).otherwise(text)
+    by_slash = (
+        F.when(text.rlike("(?i)[ap]m$"), read(slashed, "M/d/yyyy h:m:s a"))
+        .when(text.rlike(":[0-9]+:"), read(slashed, "M/d/yyyy H:m:s"))
+        .otherwise(read(slashed, "M/d/yyyy H:m"))
+    )
     value = (
-        F.when(text.rlike(r"^[0-9]{4}-"), by_dash)
-        .when(text.rlike(r"^[0-9]{1,2}/"), by_slash)
+        F.when(text.rlike("^[0-9]{4}-"), dashed)
+        .when(text.rlike("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} "), by_slash)
         .otherwise(F.timestamp_seconds(parse_number(text)))
     )
     if iso_fallback:

@@ -283,7 +283,9 @@ def _entry(section: str, key: Column, value: Column, when: Column | None = None)
 
 
 def _fold(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("e.section", "e.key").agg(F.sum("e.value").alias("value"))
+    """Sum the entries per section and key; of ``latest`` the largest."""
+    value = F.when(F.col("key") == "latest", F.max("value")).otherwise(F.try_sum("value"))
+    return entries.select("e.*").groupBy("section", "key").agg(value.alias("value"))
 
 
 def _zeros(df: DataFrame, as_of: datetime, severity_sections: Sequence[str]) -> DataFrame:
@@ -335,16 +337,13 @@ def dashboard_metrics(df: DataFrame, as_of: datetime) -> DataFrame:
     entries = F.array(
         _entry("total", F.lit("alerts"), F.col("n")),
         _entry("total", F.lit("today"), F.col("n"), F.col("today")),
+        _entry("total", F.lit("latest"), F.unix_micros("last")),
         _entry("attack", F.col("attack_type"), F.col("n")),
         _entry("severity_24h", F.col("severity"), F.col("n"), F.col("recent")),
         _entry("series", F.col("hour"), F.col("n")),
     )
     kept = small.select(F.explode(entries).alias("e")).filter("e.key is not null")
-    counts = _fold(kept.unionByName(_zeros(df, as_of, ["severity_24h"])))
-    last = small.agg(F.unix_micros(F.max("last")).alias("value")).select(
-        F.lit("total").alias("section"), F.lit("latest").alias("key"), "value"
-    )
-    return counts.unionByName(last)
+    return _fold(kept.unionByName(_zeros(df, as_of, ["severity_24h"])))
 
 
 # --- reports -------------------------------------------------------------------
@@ -390,48 +389,46 @@ def reports_summary(df: DataFrame, from_ts: datetime | None = None,
     """Report of a time range in long form: ``section, key, value``.
 
     Sections: total (alerts, average_score, malicious_ratio, unique_sources), severity,
-    attack, rule (top five). One pass for all counts, one more for distinct sources.
+    attack, rule (top five). One pass for counts and averages, one for the rules and one
+    for the distinct sources.
     """
     kept = time_window(df, from_ts, to_ts)
-    small = kept.groupBy("severity", "attack_type", "rule_name").agg(
+    small = kept.groupBy("severity", F.coalesce("attack_type", F.lit("UNKNOWN")).alias("attack_type")).agg(
         _count().alias("n"),
         F.sum("model_score").alias("score"),
         F.count_if(F.col("model_label") == "malicious").alias("bad"),
     )
+    n, zero = F.col("n"), F.lit(0)
 
-    def entry(section: str, key: Column, value: Column) -> Column:
+    def entry(section: str, key: Column, value: Column, weight: Column | None = None) -> Column:
+        """A value to sum up; with a weight the sum is divided by the summed weight."""
+        weight = F.lit(None) if weight is None else weight
         return F.struct(F.lit(section).alias("section"), key.alias("key"),
-                        value.cast("double").alias("value"))
+                        value.cast("double").alias("value"), weight.cast("double").alias("weight"))
 
-    def entries(frame: DataFrame, *items: Column) -> DataFrame:
+    def entries(frame: DataFrame, items: list[Column]) -> DataFrame:
         return frame.select(F.explode(F.array(*items)).alias("e")).select("e.*")
 
-    totals = small.agg(F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("bad").alias("bad"))
-    share = F.coalesce(F.try_divide("bad", "n") * F.lit(100.0), F.lit(0.0))
-    mean = F.coalesce(F.try_divide("score", "n"), F.lit(0.0))
-    none = F.lit(0)
-    parts = entries(
-        totals,
-        entry("total", F.lit("alerts"), F.coalesce("n", none)),
-        entry("total", F.lit("average_score"), mean),
-        entry("total", F.lit("malicious_ratio"), share),
-    )
-    by_severity = small.agg(
-        *[F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(none)).alias(s) for s in S.SEVERITIES]
-    )
-    parts = parts.unionByName(entries(
-        by_severity, *[entry("severity", F.lit(s), F.coalesce(s, none)) for s in S.SEVERITIES]
-    ))
-    kind = F.coalesce("attack_type", F.lit("UNKNOWN")).alias("key")
-    attacks = small.groupBy(kind).agg(F.sum("n").cast("double").alias("value"))
-    rules = small.groupBy(F.col("rule_name").alias("key")).agg(F.sum("n").cast("double").alias("value"))
-    rules = rules.orderBy(F.desc("value"), "key").limit(5)
+    def totals(count: Column, score: Column, bad: Column) -> list[Column]:
+        return [
+            entry("total", F.lit("alerts"), count),
+            entry("total", F.lit("average_score"), score, count),
+            entry("total", F.lit("malicious_ratio"), bad * F.lit(100.0), count),
+        ]
+
+    rows = entries(small, [*totals(n, F.col("score"), F.col("bad")), entry("severity", F.col("severity"), n),
+                           entry("attack", F.col("attack_type"), n)])
+    # Totals and all four severities are reported even when there is no alert.
+    fixed = entries(df.sparkSession.range(1, numPartitions=1),
+                    [*totals(zero, zero, zero), *[entry("severity", F.lit(s), zero) for s in S.SEVERITIES]])
+    sums = rows.unionByName(fixed).groupBy("section", "key").agg(F.sum("value").alias("v"), F.sum("weight").alias("w"))
+    value = F.when(F.col("w").isNull(), F.col("v")).otherwise(F.coalesce(F.try_divide("v", "w"), F.lit(0.0)))
+    parts = sums.select("section", "key", value.alias("value"))
+    rules = top_rules(kept, 5).select(
+        F.lit("rule").alias("section"), F.col("rule_name").alias("key"), F.col("count").cast("double").alias("value"))
     sources = unique_sources(kept).select(
-        F.lit("unique_sources").alias("key"), F.col("unique_sources").cast("double").alias("value")
-    )
-    for section, frame in (("attack", attacks), ("rule", rules), ("total", sources)):
-        parts = parts.unionByName(frame.select(F.lit(section).alias("section"), "key", "value"))
-    return parts
+        F.lit("total").alias("section"), F.lit("unique_sources").alias("key"), F.col("unique_sources").cast("double").alias("value"))
+    return parts.unionByName(rules).unionByName(sources)
 
 
 def summary_long(report: DataFrame, range_label: str, generated: datetime) -> DataFrame:

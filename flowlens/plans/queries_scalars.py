@@ -395,16 +395,22 @@ def f37(t: Tables) -> DataFrame:
 
 
 def _rounded(df: DataFrame, names: list[str], key: str = "event_id", digits: int = 4) -> DataFrame:
-    return df.select(key, *[F.round(F.col(f"`{n}`").cast("double"), digits).alias(n) for n in names])
+    scale = F.lit(10.0 ** digits)
+    return df.select(key, *[
+        (F.floor(F.col(f"`{n}`").cast("double") * scale + 0.5) / scale).alias(n) for n in names])
+
+
+def _rounded_sql(expr: str, digits: int = 4) -> str:
+    return f"floor(CAST({expr} AS DOUBLE) * 1e{digits} + 0.5) / 1e{digits}"
 
 
 def _features_sql(ratio: str, http: str, source: str = "conn") -> str:
     return f"""
 WITH b AS (SELECT event_id, proto, service, id_resp_p, CAST(duration AS DOUBLE) AS duration, CAST(orig_bytes AS DOUBLE) AS orig_bytes,
   CAST(resp_bytes AS DOUBLE) AS resp_bytes, CAST(orig_pkts AS DOUBLE) AS orig_pkts, CAST(resp_pkts AS DOUBLE) AS resp_pkts FROM {source})
-SELECT event_id, round(duration, 4) AS duration, orig_bytes, resp_bytes, orig_pkts, resp_pkts,
-  orig_bytes + resp_bytes AS bytes_total, round({ratio.format('orig_bytes', 'resp_bytes')}, 4) AS bytes_ratio,
-  orig_pkts + resp_pkts AS pkts_total, round({ratio.format('orig_pkts', 'resp_pkts')}, 4) AS pkts_ratio,
+SELECT event_id, {_rounded_sql('duration')} AS duration, orig_bytes, resp_bytes, orig_pkts, resp_pkts,
+  orig_bytes + resp_bytes AS bytes_total, {_rounded_sql(ratio.format('orig_bytes', 'resp_bytes'))} AS bytes_ratio,
+  orig_pkts + resp_pkts AS pkts_total, {_rounded_sql(ratio.format('orig_pkts', 'resp_pkts'))} AS pkts_ratio,
   CASE WHEN proto = 'tcp' THEN CAST(1 AS DOUBLE) ELSE 0 END AS proto_tcp, CASE WHEN proto = 'udp' THEN CAST(1 AS DOUBLE) ELSE 0 END AS proto_udp,
   CASE WHEN proto = 'icmp' THEN CAST(1 AS DOUBLE) ELSE 0 END AS proto_icmp, CASE WHEN {http} THEN CAST(1 AS DOUBLE) ELSE 0 END AS is_http,
   CASE WHEN id_resp_p = 22 OR service = 'ssh' THEN CAST(1 AS DOUBLE) ELSE 0 END AS is_ssh FROM b"""
@@ -464,7 +470,7 @@ WITH a AS (SELECT event_id, greatest(duration, 0.000001::DOUBLE) AS dur, CAST(or
 m AS (SELECT *, CASE WHEN fp <= 0 THEN fb ELSE fb / fp END AS fm, CASE WHEN bp <= 0 THEN bb ELSE bb / bp END AS bm,
   CASE WHEN fp + bp <= 0 THEN fb + bb ELSE (fb + bb) / (fp + bp) END AS am,
   greatest(dur - least(dur, (fp + bp) * 0.001::DOUBLE), 0) AS idle FROM a)
-SELECT event_id, {', '.join(f'round(CAST({_FLOW_SQL.get(n, "0")} AS DOUBLE), 8) AS "{n}"' for n in S.CIC_FEATURES)} FROM m"""
+SELECT event_id, {', '.join(f'{_rounded_sql(_FLOW_SQL.get(n, "0"), 8)} AS "{n}"' for n in S.CIC_FEATURES)} FROM m"""
 
 
 @query("t3_cic_features78", "conn", _CIC_SQL)

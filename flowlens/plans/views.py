@@ -154,11 +154,10 @@ class Tables:
             n, k, truth.alias("y_true"), F.when(k < 80, truth).otherwise(wrong).alias("y_pred")
         )
         # Graded probabilities: ties and many distinct values both occur.
-        p = F.transform(
-            F.sequence(F.lit(0), F.lit(5)),
-            lambda i: F.when(i == F.col("y_pred"), F.lit(0.5) + F.col("k") / F.lit(400.0)).otherwise(
-                (F.lit(0.5) - F.col("k") / F.lit(400.0)) / F.lit(5.0)),
-        )
+        half, grade = F.lit(0.5), F.col("k") / F.lit(400.0)
+        p = F.array(*[
+            F.when(F.col("y_pred") == i, half + grade).otherwise((half - grade) / F.lit(5.0)) for i in range(6)
+        ])
         return rows.withColumn("probabilities", p)
 
     def dirty(self) -> DataFrame:

@@ -374,18 +374,6 @@ CIC_DAY_FILES = [
     "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX.csv",
 ]
 
-# Timestamp patterns tried in this order (month first before day first).
-TIMESTAMP_PATTERNS = [
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
-    "M/d/yyyy h:m:s a",
-    "d/M/yyyy H:m:s",
-    "d/M/yyyy H:m",
-    "d/M/yyyy h:m:s a",
-]
-
 # Class caps and oversampling bounds of the training recipes.
 CLASS_CAPS = {"BENIGN": 80_000, "DOS": 70_000, "DDOS": 50_000, "PORTSCAN": 20_000}
 SMOTE_THRESHOLD_TARGET = 15_000

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Larger generated methods are never compiled by the JVM; the split form is faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
