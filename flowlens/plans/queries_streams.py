@@ -11,7 +11,7 @@ from flowlens.operators import models as M
 from flowlens.plans.queries_labels import FLOWS_SQL, shown_flows
 from flowlens.plans.registry import query
 from flowlens.plans.views import Tables
-from flowlens.schemas import ALERT_SCHEMA, CLASS_NAMES, CONN_FEATURES
+from flowlens.schemas import CLASS_NAMES, CONN_FEATURES
 from flowlens.session import scratch_dir
 from flowlens.sources import sinks
 from flowlens.streaming import live, packets, sync
@@ -20,23 +20,35 @@ _LOG_COLUMNS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p",
                 "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts"]
 
 
-def _alert_files(t: Tables) -> str:
-    path = scratch_dir(t.spark, "feed")
-    t.alerts().repartitionByRange(4, "timestamp").write.parquet(path)
-    return path
-
-
-def _run(df: DataFrame, sink, mode: str = "append") -> int:
-    """Run a stream to its end; gives the number of its last batch."""
-    job = live.start(df, sink, scratch_dir(df.sparkSession, "checkpoint"), mode)
+def _run(df: DataFrame, sink, mode: str = "append", checkpoint: str | None = None) -> int:
+    """Run a stream over the files that are there; gives the number of its last batch."""
+    job = live.start(df, sink, checkpoint or scratch_dir(df.sparkSession, "checkpoint"), mode)
     job.awaitTermination()
     return max((p["batchId"] for p in job.recentProgress), default=0)
 
 
+def _feed(rows: DataFrame, time: str, steps: int, make_stream, sink, mode: str = "append") -> int:
+    """Deliver rows in steps of time: after each one the stream runs on what is new.
+
+    Gives the number of the last batch.
+    """
+    spark = rows.sparkSession
+    feed, checkpoint = scratch_dir(spark, "feed"), scratch_dir(spark, "checkpoint")
+    low, high = rows.agg(F.min(time), F.max(time)).first()
+    edges = [low + (high - low) * i / steps for i in range(1, steps)]
+    last = 0
+    for start, end in zip([None, *edges], [*edges, None]):
+        part = rows if start is None else rows.filter(F.col(time) >= F.lit(start))
+        part = part if end is None else part.filter(F.col(time) < F.lit(end))
+        part.write.mode("append").parquet(feed)
+        last = max(last, _run(make_stream(feed), sink, mode, checkpoint))
+    return last
+
+
 @query("st1_stream_alerts", "alerts", "SELECT id, epoch_us(timestamp) AS micros, severity, attack_type, model_score FROM alerts")
 def st1(t: Tables) -> DataFrame:
-    feed, out = _alert_files(t), scratch_dir(t.spark, "live")
-    _run(live.stream_alerts(t.spark, feed, max_files=1), live.batch_writer(out))
+    out = scratch_dir(t.spark, "live")
+    _feed(t.alerts(), "timestamp", 2, lambda feed: live.stream_alerts(t.spark, feed), live.batch_writer(out))
     return t.spark.read.parquet(out).select("id", F.unix_micros("timestamp").alias("micros"), "severity", "attack_type", "model_score")
 
 
@@ -73,29 +85,16 @@ def st3(t: Tables) -> DataFrame:
     bundle = M.train_dt(training, [*CONN_FEATURES, "id_resp_p"], "cls", CLASS_NAMES, depth=6)
     feed, out = scratch_dir(t.spark, "logs"), scratch_dir(t.spark, "scored")
     sinks.write_zeek_log(rows, feed, _LOG_COLUMNS)
-    _run(live.score_stream(t.spark, feed, _LOG_COLUMNS, bundle, max_files=1), live.batch_writer(out))
+    _run(live.score_stream(t.spark, feed, _LOG_COLUMNS, bundle), live.batch_writer(out))
     return t.spark.read.parquet(out).groupBy("attack_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _packet_files(t: Tables, path: str) -> int:
-    """Packets in three time steps, written one after the other; a flow is in one file per step."""
-    rows = t.packets()
-    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
-    step = (high - low) / 3
-    for i in range(3):
-        part = rows.filter((F.col("ts") >= F.lit(low + i * step)) & (F.lit(i == 2) | (F.col("ts") < F.lit(low + (i + 1) * step))))
-        part.repartition(2, "uid").write.mode("append").parquet(path)
-    return 2
-
-
 @query("st4_flows_from_packets", "packets", FLOWS_SQL.format(idle=", idle AS idle_min"))
 def st4(t: Tables) -> DataFrame:
-    feed, out = scratch_dir(t.spark, "packets"), scratch_dir(t.spark, "flows")
-    per_batch = _packet_files(t, feed)
-    stream = t.spark.readStream.schema(packets.PACKET_SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(feed)
     # No flow is closed by idleness here, so that flows equal those of the batch operator.
-    sink = packets.FlowSink(out, idle_seconds=1e9)
-    last = _run(stream, sink)
+    sink = packets.FlowSink(scratch_dir(t.spark, "flows"), idle_seconds=1e9)
+    schema = t.spark.createDataFrame([], packets.PACKET_SCHEMA).schema
+    last = _feed(t.packets(), "ts", 3, lambda feed: live.stream_alerts(t.spark, feed, schema), sink)
     return shown_flows(sink.flows(t.spark, last))
 
 
@@ -122,17 +121,15 @@ def st4_sessions(t: Tables) -> DataFrame:
 
 @query("st5_latest_page", "alerts", "SELECT id, epoch_us(timestamp) AS micros FROM alerts ORDER BY timestamp DESC, id LIMIT 25")
 def st5(t: Tables) -> DataFrame:
-    feed, out = _alert_files(t), scratch_dir(t.spark, "page")
-    _run(live.stream_alerts(t.spark, feed, max_files=1), live.latest_n(out, 25))
+    out = scratch_dir(t.spark, "page")
+    _feed(t.alerts(), "timestamp", 2, lambda feed: live.stream_alerts(t.spark, feed), live.latest_n(out, 25))
     return live.last_page(t.spark, out).select("id", F.unix_micros("timestamp").alias("micros"))
 
 
 @query("st6_counts_per_hour", "alerts", """
 SELECT epoch_us(date_trunc('hour', timestamp)) AS micros, severity, count(*) AS "count" FROM alerts GROUP BY 1, 2""")
 def st6(t: Tables) -> DataFrame:
-    feed, out = _alert_files(t), scratch_dir(t.spark, "counts")
-    stream = live.stream_alerts(t.spark, feed, ALERT_SCHEMA, max_files=2)
-    _run(live.counts_per_hour(stream, "60 days"), live.upsert_counts(out), mode="update")
+    out = scratch_dir(t.spark, "counts")
+    _feed(t.alerts(), "timestamp", 2, lambda feed: live.counts_per_hour(live.stream_alerts(t.spark, feed), "60 days"),
+          live.batch_writer(out), mode="update")
     return live.current_counts(t.spark, out).select(F.unix_micros("bucket").alias("micros"), "severity", "count")
-
-

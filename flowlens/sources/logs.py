@@ -12,7 +12,6 @@ from flowlens import schemas as S
 from flowlens.functions.common import quoted, strip
 from flowlens.functions.numbers import parse_number, safe_double, safe_int
 from flowlens.functions.times import parse_ts
-from flowlens.operators.features import column_named
 from flowlens.sources.files import (
     MAX_HEADER_FILES,
     header_columns,
@@ -21,7 +20,6 @@ from flowlens.sources.files import (
     plain_names,
     read_ragged,
     resolve_inputs,
-    split_cells,
 )
 
 
@@ -183,9 +181,3 @@ def replay_to_alerts(df: DataFrame, source_csv: str) -> DataFrame:
         F.to_json(F.struct(F.lit(source_csv).alias("source_csv"), raw.alias("raw_row"))).alias("meta"),
     )
 
-
-__all__ = [
-    "column_named", "detect_label_col", "parse_zeek_lines", "read_cic", "read_conn_csv",
-    "read_feature_csv", "read_kdd", "read_malmem", "read_packet_log", "read_zeek_log",
-    "replay_to_alerts", "split_cells", "zeek_headers",
-]

@@ -18,7 +18,7 @@ from flowlens.sources.logs import parse_zeek_lines
 
 def stream_alerts(spark: SparkSession, path: str, schema: StructType = ALERT_SCHEMA,
                   max_files: int = 1000) -> DataFrame:
-    """Every alert appended to the alert table, whoever wrote it."""
+    """Every row appended to a table, whoever wrote it; alerts unless another schema is given."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
@@ -73,11 +73,7 @@ def counts_per_hour(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
         F.count(F.lit(1)).alias("count")).select(F.col("window.start").alias("bucket"), "severity", "count")
 
 
-def upsert_counts(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink of updated counts: every batch is kept, the latest one wins per bucket."""
-    return batch_writer(path)
-
-
 def current_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts written by a query in update mode: the latest batch wins per bucket."""
     rows = spark.read.parquet(path)
     return rows.groupBy("bucket", "severity").agg(F.max_by("count", "batch").alias("count"))
