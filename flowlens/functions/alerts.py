@@ -55,6 +55,18 @@ def label_of_class(cls: Column | str) -> Column:
     return F.when(as_column(cls) == "BENIGN", F.lit("benign")).otherwise(F.lit("malicious"))
 
 
+def class_labels(probabilities: Column | str, classes: list[str] | None = None) -> Column:
+    """Class name of every position of a probability array; its number past the known ones."""
+    known = F.array(*[F.lit(n) for n in classes or S.CLASS_NAMES])
+    return F.transform(as_column(probabilities), lambda _, i: F.coalesce(F.get(known, i), i.cast("string")))
+
+
+def top_index(probabilities: Column | str) -> Column:
+    """Position of the first maximum."""
+    p = as_column(probabilities)
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
 def top_class(probabilities: Column | str, classes: list[str] | None = None) -> Column:
     """``struct(index, name, probability, probabilities)`` of the most probable class.
 
@@ -62,10 +74,7 @@ def top_class(probabilities: Column | str, classes: list[str] | None = None) ->
     the known classes is named by its number.
     """
     p = as_column(probabilities)
-    names = classes or S.CLASS_NAMES
-    known = F.array(*[F.lit(n) for n in names])
-    label = F.transform(p, lambda _, i: F.coalesce(F.get(known, i), i.cast("string")))
-    index = (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    label, index = class_labels(p, classes), top_index(p)
     return F.struct(
         index.alias("index"),
         F.get(label, index).alias("name"),

@@ -214,20 +214,26 @@ def to_alerts(scored: DataFrame, features: Sequence[str], kind: str = "conn",
     raw = [c for c in scored.columns if c not in drop and c not in features]
     row = F.struct(*[quoted(c).cast("string").alias(c) for c in raw])
     values = F.create_map(*[x for f in features for x in (F.lit(f), quoted(f).cast("double"))])
-    base = scored.withColumn("_top", A.top_class("probabilities", list(classes or S.CLASS_NAMES)))
-    base = base.withColumns({
-        "_attack": A.class_to_attack("_top.name"),
-        "_score": A.malicious_score(F.coalesce(
-            F.try_element_at("_top.probabilities", F.lit("BENIGN")), F.lit(0.0))),
+    # Plain columns in steps: each is computed once, however often it is used below.
+    base = scored.withColumns({
+        "_index": A.top_index("probabilities"),
+        "_labels": A.class_labels("probabilities", list(classes or S.CLASS_NAMES)),
         "_time": _event_time(scored, kind),
+    }).withColumns({
+        "_name": F.get("_labels", F.col("_index")),
+        "_probabilities": F.map_from_arrays("_labels", "probabilities"),
+    }).withColumns({
+        "_attack": A.class_to_attack("_name"),
+        "_score": A.malicious_score(F.coalesce(
+            F.try_element_at("_probabilities", F.lit("BENIGN")), F.lit(0.0))),
     })
     key = text("uid", "NA") if conn else F.coalesce(
         F.nullif(text("Flow ID"), F.lit("")), L.hashed_uid(F.to_json(row)))
     meta = [
         row.alias("zeek_conn" if conn else "feature_row"),
         values.alias("features"),
-        F.struct(F.col("_top.probabilities").alias("probabilities"),
-                 F.col("_top.index").alias("class_index")).alias("model"),
+        F.struct(F.col("_probabilities").alias("probabilities"),
+                 F.col("_index").alias("class_index")).alias("model"),
         *([] if conn else [A.original_label(scored).alias("original_label")]),
         *[F.lit(v).alias(k) for k, v in (tags or {}).items()],
     ]
@@ -245,9 +251,9 @@ def to_alerts(scored: DataFrame, features: Sequence[str], kind: str = "conn",
         port(dst_port).alias("dst_port"),
         L.alert_protocol(text(proto, ""), numbers=not conn).alias("protocol"),
         rule_id.alias("rule_id"),
-        F.concat(F.lit("Zeek " if conn else "FeatureDataset "), F.col("_top.name")).alias("rule_name"),
+        F.concat(F.lit("Zeek " if conn else "FeatureDataset "), F.col("_name")).alias("rule_name"),
         F.col("_score").alias("model_score"),
-        A.label_of_class("_top.name").alias("model_label"),
+        A.label_of_class("_name").alias("model_label"),
         F.to_json(F.struct(*meta)).alias("meta"),
     )
     return alerts

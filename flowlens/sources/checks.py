@@ -59,9 +59,12 @@ def preview(df: DataFrame, n: int = 5) -> tuple[list[str], DataFrame]:
     return df.columns, df.limit(n)
 
 
-def _staged(df: DataFrame) -> DataFrame:
+def staged_flows(df: DataFrame) -> DataFrame:
     """Add the logical flow columns as text (``_src_ip`` ...), the parsed time and ports,
     and why a row cannot be converted. Parsed once, used by all later steps."""
+    missing = missing_flow_columns(df.columns)
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
     texts = {f"_{k}": first_present(df, names) for k, names in S.FLOW_COLUMNS.items()}
     parsed = df.withColumns(texts).withColumns({
         "_time": parse_ts("_timestamp"),
@@ -87,18 +90,19 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Rejected: no readable timestamp, no endpoint, or a port that is not a number.
     """
-    marked = _staged(df).drop(*_STAGED)
+    marked = staged_flows(df).drop(*_STAGED)
     good = marked.filter("reject_reason is null").drop("reject_reason")
     return good, marked.filter("reject_reason is not null")
 
 
 def convert_cic_to_conn(df: DataFrame, dataset_name: str) -> tuple[DataFrame, DataFrame]:
     """Flow rows to conn rows (text columns as in the file format) and the rejected rows."""
-    missing = missing_flow_columns(df.columns)
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    staged = _staged(df)
-    rejected = staged.filter("reject_reason is not null").drop(*_STAGED)
+    staged = staged_flows(df)
+    return conn_rows(staged, dataset_name), staged.filter("reject_reason is not null").drop(*_STAGED)
+
+
+def conn_rows(staged: DataFrame, dataset_name: str) -> DataFrame:
+    """Conn rows of the staged flow rows that can be converted."""
     good = staged.filter("reject_reason is null")
     source = F.col("source_file") if "source_file" in good.columns else F.lit("")
     good = good.withColumns({
@@ -141,4 +145,4 @@ def convert_cic_to_conn(df: DataFrame, dataset_name: str) -> tuple[DataFrame, Da
         "source_file": source,
         "dataset_name": F.lit(dataset_name[:50]),
     }
-    return good.select(*[c.alias(n) for n, c in columns.items()]), rejected
+    return good.select(*[c.alias(n) for n, c in columns.items()])

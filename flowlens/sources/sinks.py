@@ -13,7 +13,7 @@ from flowlens.functions.common import quoted
 from flowlens.operators.alerts import AlertFilters, filter_alerts, sort_alerts
 from flowlens.operators.features import conn_features
 from flowlens.operators.sampling import sample_per_class
-from flowlens.sources.checks import convert_cic_to_conn
+from flowlens.sources.checks import conn_rows, staged_flows
 
 # Quotes inside a quoted cell are doubled and blanks around values are kept.
 _CSV_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -81,15 +81,15 @@ def write_zeek_log(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 def convert_and_write(df: DataFrame, path: str, dataset_name: str) -> dict[str, int]:
     """Convert flow rows to conn rows and write them.
 
-    Written, skipped and input counts are observed during the one write.
+    Written, skipped and input counts are observed during the one pass that writes.
     """
-    good, rejected = convert_cic_to_conn(df, dataset_name)
-    seen, wrong = Observation(), Observation()
-    good = good.observe(seen, F.count(F.lit(1)).alias("written"))
-    write_conn_csv(good, path)
-    rejected.observe(wrong, F.count(F.lit(1)).alias("skipped")).write.format("noop").mode("overwrite").save()
-    counts = {"written": seen.get["written"], "skipped": wrong.get["skipped"]}
-    return {**counts, "input": counts["written"] + counts["skipped"]}
+    seen = Observation()
+    wrong = F.count_if(F.col("reject_reason").isNotNull())
+    total = F.count(F.lit(1))
+    staged = staged_flows(df).observe(
+        seen, (total - wrong).alias("written"), wrong.alias("skipped"), total.alias("input"))
+    write_conn_csv(conn_rows(staged, dataset_name), path)
+    return seen.get
 
 
 def alert_ready(df: DataFrame, mapped: bool = False) -> DataFrame:
