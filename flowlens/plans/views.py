@@ -98,8 +98,7 @@ class Tables:
         )
 
     def alerts(self) -> DataFrame:
-        attack = L.label_to_attack("label")
-        n = F.col("event_id")
+        n, attack = F.col("event_id"), F.col("attack_type")
         meta = F.concat(
             F.lit('{"k": '), F.col("k").cast("string"), F.lit(', "dataset_source": "'),
             pick(_SOURCES, n), F.lit('"'),
@@ -107,12 +106,13 @@ class Tables:
                 F.concat(F.lit(', "dataset_label": "'), F.col("label"), F.lit('"'))),
             F.lit("}"),
         )
-        return self.conn().select(
+        # The attack type is a column of its own first: later uses do not repeat its table.
+        return self.conn().withColumn("attack_type", L.label_to_attack("label")).select(
             F.md5("uid").alias("id"),
             F.col("ts").alias("timestamp"),
             F.timestamp_micros(F.unix_micros("ts") + F.col("k") * F.lit(1000)).alias("ingested_at"),
             A.severity("model_score", attack).alias("severity"),
-            attack.alias("attack_type"),
+            "attack_type",
             F.col("id_orig_h").alias("src_ip"),
             F.col("id_orig_p").alias("src_port"),
             F.col("id_resp_h").alias("dst_ip"),
