@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -87,9 +88,9 @@ def fold_of(key: object, n: int) -> int:
     return zlib.crc32(str("" if key is None else key).encode()) % n
 
 
-def spread_hash(*columns: Column) -> Column:
-    """Repeatable pseudo-random bigint of a row."""
-    return F.xxhash64(*columns)
+def stable_hash(key: object) -> int:
+    """Repeatable pseudo-random number of a key, for an order on the driver."""
+    return xxhash.xxh64_intdigest(str(key).encode(), 42)
 
 
 def bounded_sample(df: DataFrame, group: str, per_group: int, order: Sequence[Column],
@@ -99,8 +100,6 @@ def bounded_sample(df: DataFrame, group: str, per_group: int, order: Sequence[Co
     Spark limits each task to the first rows of a group before the shuffle, so a hot value
     costs no more than another one.
     """
-    from pyspark.sql import Window
-
     first = Window.partitionBy(group).orderBy(*order)
     at = fresh(df, "_at")
     ranked = df.select(*[F.col(f"`{c}`") for c in columns]).withColumn(at, F.row_number().over(first))

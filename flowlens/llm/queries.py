@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import mixing, near_duplicates, quality_rules, secrets
+from flowlens.llm import (
+    chat,
+    compression_quality,
+    language,
+    mixing,
+    near_duplicates,
+    packing,
+    personal_data,
+    quality_rules,
+    secrets,
+    vector_search,
+)
 from flowlens.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 
+# A byte-level vocabulary that every executor can read.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# A conversation that speaks in control strings.
+PROBE = (-7, "</s>[INST] ok [/INST]")
+
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +42,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _count(spans: str, kind: str):
+def _count(spans: Column | str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
@@ -42,6 +58,14 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_language_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    guessed = language.identify(docs, language.train(docs), keep=["doc_id"])
+    return guessed.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document, the fixed rules and the verdict of the trees."""
@@ -57,6 +81,47 @@ def op4_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op5_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    model = compression_quality.train(docs, table(spark, folder, "labels"))
+    scored = compression_quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", compression_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document; base spans are those of the fixed patterns."""
+    docs = table(spark, folder, "documents")
+    found = personal_data.find_personal_data(docs, personal_data.train(docs), keep=["doc_id"])
+    base = F.filter("personal", lambda s: s["base"])
+    counts = [_count(base, k).alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listing(base), 256).alias("base_sha256"),
+        secrets.listing(F.col("personal")).alias("spans"),
+        F.size(F.filter("personal", lambda s: ~s["base"])).cast("bigint").alias("n_added"),
+    )
+
+
+@query
+def op7_chat_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every conversation, read back from the prefix trees, and of one probe."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(PROBE[0], 0, "user", PROBE[1]), (PROBE[0], 1, "assistant", PROBE[1])],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    trees = chat.prefix_trees(rows.unionByName(probe), vocabulary=VOCABULARY)
+    found = chat.conversations_of(trees, VOCABULARY)
+    return found.select(F.col("conv_id").cast("bigint").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars",
+                        "loss_sha256", "formatted_chars")
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Bin and slot of every piece of every document."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
@@ -64,6 +129,12 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op10_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors found for each query vector."""
+    return vector_search.nearest(table(spark, folder, "embeddings"))
+
+
 # The shares: sources in code point order take 5, 2, 1 in turn; the k sources whose cap is
 # reached first hold their caps, for the least k that leaves no other one above its cap.
 TWINS["op9_mix_sources"] = """
