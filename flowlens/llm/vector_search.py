@@ -71,11 +71,11 @@ class Index:
         found.sort(key=lambda x: (-x[0], x[1]))
         return np.array([k for _, k in found]), np.array([s for s, _ in found])
 
-    def lists_of_query(self, query: np.ndarray, ratio: float, wide: int) -> np.ndarray:
-        """Lists whose centroid is at most ``ratio`` times as far as the nearest one."""
+    def lists_of_query(self, query: np.ndarray, ratio: float, wide: int, least: int = 16) -> np.ndarray:
+        """The ``least`` nearest lists, and all whose centroid is at most ``ratio`` times as far as the nearest."""
         lists, near = self.search(query, wide)
         distance = np.sqrt(np.maximum(2 - 2 * near, 0))
-        return lists[distance <= ratio * distance[0] + 1e-9]
+        return lists[(distance <= ratio * distance[0] + 1e-9) | (np.arange(len(lists)) < least)]
 
     def lists_of_rows(self, x: np.ndarray, ratio: float, copies: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each vector: its nearest list, and those hardly farther for a boundary vector.
@@ -238,7 +238,7 @@ def nearest(df: DataFrame, queries: str = "vec_id % 50 = 0", key: str = "vec_id"
     The index is fitted on at most ``sample`` vectors and holds every usable one: each in
     the list of its nearest centroid and, near a border, in up to ``copies`` lists whose
     centroids are at most ``copy_ratio`` times as far. A query walks the graph of centroids
-    and searches all lists up to ``search_ratio`` times as far as the nearest. Lists are
+    and searches the 16 nearest lists and all up to ``search_ratio`` times as far as the nearest. Lists are
     dealt to shards of about ``shard_rows`` rows, large ones to several, and a shard meets
     its queries in blocks of ``block``, so no task grows with a list.
 
