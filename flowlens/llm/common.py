@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlens.session import configure
+from flowlens.session import configure, join_small
 
 # Words of a text: runs of everything but space, tab, line feed, vertical tab, form feed
 # and carriage return. bytes.split() cuts UTF-8 at exactly these six.
@@ -93,17 +93,20 @@ def stable_hash(key: object) -> int:
     return xxhash.xxh64_intdigest(str(key).encode(), 42)
 
 
-def bounded_sample(df: DataFrame, group: str, per_group: int, order: Sequence[Column],
-                   columns: Sequence[str]) -> DataFrame:
-    """The ``per_group`` rows of each value of ``group`` that come first in ``order``.
+def bounded_sample(df: DataFrame, group: str, per_group: int, key: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The ``per_group`` rows of each value of ``group`` with the least hash of ``key``.
 
-    Spark limits each task to the first rows of a group before the shuffle, so a hot value
-    costs no more than another one.
+    Group sizes give the share of hashes that holds four times as many rows; only these are
+    ranked, so a task ranks about as many rows of a group whatever its size.
     """
-    first = Window.partitionBy(group).orderBy(*order)
-    at = fresh(df, "_at")
-    ranked = df.select(*[F.col(f"`{c}`") for c in columns]).withColumn(at, F.row_number().over(first))
-    return ranked.filter(F.col(at) <= per_group).drop(at)
+    names = {n: fresh(df, n) for n in ("_hash", "_share", "_at")}
+    hashed, share, at = (F.col(n) for n in names.values())
+    drawn = df.withColumn(names["_hash"], F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)))
+    wanted = F.lit(float(4 * per_group + 100)) / F.count(F.lit(1)) * F.lit(float(1 << 40))
+    drawn = join_small(drawn, df.groupBy(group).agg(wanted.alias(names["_share"])), [group]).filter(hashed < share)
+    first = Window.partitionBy(group).orderBy(hashed, key, *ties)
+    ranked = drawn.withColumn(names["_at"], F.row_number().over(first)).filter(at <= per_group)
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -110,8 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     known = labels.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{target}`").cast("int").alias("_y"))
     known = known.filter(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_k")))
-    order = [F.xxhash64(F.col("_k").cast("string")), F.col("_k"), F.col("_y")]
-    chosen = bounded_sample(known, "_y", per_label, order, ["_k", "_y"]).distinct()
+    chosen = bounded_sample(known, "_y", per_label, "_k").distinct()
     texts = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).filter(F.col("_t").isNotNull())
     rows = texts.join(F.broadcast(chosen), "_k").select("_k", "_y", "_t").collect()
     rows.sort(key=lambda r: (stable_hash(r["_k"]), r["_y"], r["_t"]))

@@ -159,10 +159,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     known = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{lang}`").alias("_l"), F.col(f"`{text}`").alias("_t"))
     known = known.filter(F.col("_l").isNotNull() & ~held_out(F.col("_k")) & F.col("_t").isNotNull())
-    order = [F.xxhash64(F.col("_k").cast("string")), F.col("_k"), F.col("_n")]
     # The text itself is read only for the chosen rows.
     lengths = known.select("_k", "_l", F.length("_t").alias("_n"))
-    chosen = bounded_sample(lengths, "_l", per_language, order, ["_k", "_l", "_n"]).select("_k", "_l").distinct()
+    chosen = bounded_sample(lengths, "_l", per_language, "_k", ["_n"]).select("_k", "_l").distinct()
     rows = known.join(F.broadcast(chosen), ["_k", "_l"]).select("_k", "_l", "_t").collect()
     rows.sort(key=lambda r: (stable_hash(r["_k"]), r["_l"], r["_t"]))
     return fit([(r["_t"], r["_l"]) for r in rows], landmarks)

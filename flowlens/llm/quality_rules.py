@@ -163,8 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """
     known = labels.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{target}`").cast("int").alias("_y"))
     known = known.filter(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & (folds(F.col("_k"), 3) != 1))
-    order = [F.xxhash64(F.col("_k").cast("string")), F.col("_k"), F.col("_y")]
-    chosen = bounded_sample(known, "_y", per_label, order, ["_k", "_y"])
+    chosen = bounded_sample(known, "_y", per_label, "_k")
     pairs = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).join(F.broadcast(chosen), "_k")
     facts = add_columns(pairs, ["_t"], "features array<double>",
                         lambda texts: [[statistics(t)[1] for t in texts]], keep=["_k", "_y"])
