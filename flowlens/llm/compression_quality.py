@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.filter(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_k")))
     chosen = bounded_sample(known, "_y", per_label, "_k").distinct()
     texts = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).filter(F.col("_t").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "_k").select("_k", "_y", "_t").collect()
+    # Rows of one key teach once, so the sample stays bounded.
+    rows = texts.join(F.broadcast(chosen), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t")).collect()
     rows.sort(key=lambda r: (stable_hash(r["_k"]), r["_y"], r["_t"]))
     share = known.agg(F.avg("_y")).first()[0]
     return fit([(r["_t"], r["_y"]) for r in rows], share)

@@ -162,7 +162,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     # The text itself is read only for the chosen rows.
     lengths = known.select("_k", "_l", F.length("_t").alias("_n"))
     chosen = bounded_sample(lengths, "_l", per_language, "_k", ["_n"]).select("_k", "_l").distinct()
-    rows = known.join(F.broadcast(chosen), ["_k", "_l"]).select("_k", "_l", "_t").collect()
+    # Rows of one key teach once, so the sample stays bounded.
+    rows = known.join(F.broadcast(chosen), ["_k", "_l"]).groupBy("_k", "_l").agg(F.min("_t").alias("_t")).collect()
     rows.sort(key=lambda r: (stable_hash(r["_k"]), r["_l"], r["_t"]))
     return fit([(r["_t"], r["_l"]) for r in rows], landmarks)
 

@@ -165,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     known = known.filter(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & (folds(F.col("_k"), 3) != 1))
     chosen = bounded_sample(known, "_y", per_label, "_k")
     pairs = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).join(F.broadcast(chosen), "_k")
+    pairs = pairs.groupBy("_k", "_y").agg(F.min("_t").alias("_t"))  # rows of one key teach once
     facts = add_columns(pairs, ["_t"], "features array<double>",
                         lambda texts: [[statistics(t)[1] for t in texts]], keep=["_k", "_y"])
     rows = facts.collect()
