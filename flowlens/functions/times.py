@@ -68,6 +68,10 @@ def range_start(key: str, as_of: datetime) -> datetime:
     return as_of - timedelta(hours=REPORT_RANGES[key])
 
 
-def latest(df: DataFrame, column: str = "timestamp") -> datetime | None:
-    """Newest timestamp of a frame: one value, used as the literal ``as_of`` of a report."""
-    return df.agg(F.max(column)).first()[0]
+def latest(df: DataFrame, column: str = "timestamp", default: datetime = datetime(1970, 1, 1)) -> datetime:
+    """Newest timestamp of a frame: one value, used as the literal ``as_of`` of a report.
+
+    ``default`` stands for it when there is none, so that reports of an empty table are zeros.
+    """
+    newest = df.agg(F.max(column)).first()[0]
+    return default if newest is None else newest

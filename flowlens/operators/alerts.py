@@ -106,8 +106,8 @@ def predicted_as(df: DataFrame, attack: str | None = None, limit: int | None = N
 # --- sorting, paging -----------------------------------------------------------
 
 
-def sort_order(key: str) -> list[Column]:
-    """Sort columns for a key; ties are broken by id, unknown keys mean newest first."""
+def _sort_value(key: str) -> tuple[Column, bool]:
+    """What a sort key compares, and whether it falls; unknown keys mean newest first."""
     columns = {
         "timestamp": F.col("timestamp"),
         "severity": A.severity_rank("severity"),
@@ -115,9 +115,14 @@ def sort_order(key: str) -> list[Column]:
     }
     name = key.lstrip("-")
     if name not in columns:
-        key, name = "-timestamp", "timestamp"
-    first = columns[name].desc() if key.startswith("-") else columns[name].asc()
-    return [first, F.col("id").asc()]
+        return columns["timestamp"], True
+    return columns[name], key.startswith("-")
+
+
+def sort_order(key: str) -> list[Column]:
+    """Sort columns for a key; ties are broken by id, unknown keys mean newest first."""
+    value, falling = _sort_value(key)
+    return [value.desc() if falling else value.asc(), F.col("id").asc()]
 
 
 def sort_alerts(df: DataFrame, key: str = "-timestamp") -> DataFrame:
@@ -132,18 +137,52 @@ def page_alerts(df: DataFrame, filters: AlertFilters) -> tuple[DataFrame, DataFr
     return items, kept.agg(_count().alias("total"))
 
 
-def page_after(df: DataFrame, filters: AlertFilters, last_ts: datetime | None,
-               last_id: str | None) -> DataFrame:
-    """Next page, newest first, after the last row of the previous one.
+@dataclass(frozen=True)
+class PageKey:
+    """Where a page ended: the sort value and id of its last row, and how many rows of the
+    filtered table share both and were shown."""
+
+    value: object
+    id: str | None
+    shown: int = 1
+
+
+def page_after(df: DataFrame, filters: AlertFilters, after: PageKey | None = None) -> DataFrame:
+    """The page that follows ``after`` in the order of ``filters.sort``, nulls included.
 
-    A filter instead of an offset: deep pages cost the same as the first.
+    A filter instead of an offset, so deep pages cost the same as the first. Rows with equal
+    sort value and id follow each other; the ones already shown are skipped by number.
     """
     kept = filter_alerts(df, filters)
-    if last_ts is not None:
-        older = F.col("timestamp") < F.lit(last_ts)
-        same = (F.col("timestamp") == F.lit(last_ts)) & (F.col("id") > F.lit(last_id))
-        kept = kept.filter(older | same)
-    return sort_alerts(kept, "-timestamp").limit(filters.page_size)
+    # Rows that tie in value and id keep one order from page to page.
+    order = [*sort_order(filters.sort), F.xxhash64(*[quoted(c) for c in df.columns])]
+    if after is None:
+        return kept.orderBy(*order).limit(filters.page_size)
+    value, falling = _sort_value(filters.sort)
+    last, last_id = F.lit(after.value), F.lit(after.id).cast("string")
+    beyond = value < last if falling else value > last
+    if after.value is None:
+        # Spark sorts nulls as the least value.
+        beyond = F.lit(False) if falling else value.isNotNull()
+    elif falling:
+        beyond = beyond | value.isNull()
+    same = value.eqNullSafe(last)
+    later_id = F.col("id").isNotNull() if after.id is None else F.col("id") > last_id
+    rest = kept.filter(F.coalesce(beyond, F.lit(False)) | (same & (F.coalesce(later_id, F.lit(False)) | F.col("id").eqNullSafe(last_id))))
+    return rest.orderBy(*order).offset(after.shown).limit(filters.page_size)
+
+
+def next_page_key(page: DataFrame, filters: AlertFilters, after: PageKey | None = None) -> PageKey | None:
+    """Key of the last row of a page, ``None`` when the page is empty. Reads one page."""
+    value, _ = _sort_value(filters.sort)
+    rows = page.select(value.alias("v"), "id").collect()
+    if not rows:
+        return None
+    last = rows[-1]
+    shown = sum(r == last for r in rows)
+    if after is not None and shown == len(rows) and (after.value, after.id) == (last["v"], last["id"]):
+        shown += after.shown
+    return PageKey(last["v"], last["id"], shown)
 
 
 def recent(df: DataFrame, n: int = 5) -> DataFrame:
@@ -363,8 +402,9 @@ def model_performance(df: DataFrame, as_of: datetime, hours: int = 24) -> DataFr
         F.coalesce("attack_type", F.lit("UNKNOWN")).alias("attack_type"),
         A.meta_field("meta", "dataset_source").alias("source"),
         A.meta_field("meta", "dataset_label").alias("label"),
-    ).agg(_count().alias("n"), F.sum("model_score").alias("score"), F.sum(latency).alias("latency"))
-    sums = [F.sum(c).alias(c) for c in ("n", "score", "latency")]
+    ).agg(_count().alias("n"), F.sum("model_score").alias("score"), F.sum(latency).alias("latency"),
+          F.count("model_score").alias("n_score"), F.count(latency).alias("n_latency"))
+    sums = [F.sum(c).alias(c) for c in ("n", "score", "latency", "n_score", "n_latency")]
     both = [F.col("attack_type")], [F.col("source"), F.col("label")]
     groups = small.groupingSets(both, F.col("attack_type"), F.col("source"), F.col("label"))
     views = groups.agg(F.grouping("attack_type").alias("of_dataset"), *sums)
@@ -374,7 +414,8 @@ def model_performance(df: DataFrame, as_of: datetime, hours: int = 24) -> DataFr
     total = small.agg(*sums).withColumn("section", F.lit("total"))
 
     def mean(of: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(of), F.col("n")), F.lit(0.0))
+        """Mean of the rows that have a value."""
+        return F.coalesce(F.try_divide(F.col(of), F.col(f"n_{of}")), F.lit(0.0))
 
     return views.unionByName(total, allowMissingColumns=True).select(
         "section", "attack_type", "source", "label",
@@ -389,13 +430,14 @@ def reports_summary(df: DataFrame, from_ts: datetime | None = None,
     """Report of a time range in long form: ``section, key, value``.
 
     Sections: total (alerts, average_score, malicious_ratio, unique_sources), severity,
-    attack, rule (top five). One pass for counts and averages, one for the rules and one
-    for the distinct sources.
+    attack, rule (top five). One reduction serves counts, averages and rules; the distinct
+    sources need a pass of their own.
     """
     kept = time_window(df, from_ts, to_ts)
-    small = kept.groupBy("severity", F.coalesce("attack_type", F.lit("UNKNOWN")).alias("attack_type")).agg(
+    small = kept.groupBy("severity", F.coalesce("attack_type", F.lit("UNKNOWN")).alias("attack_type"), "rule_name").agg(
         _count().alias("n"),
         F.sum("model_score").alias("score"),
+        F.count("model_score").alias("scored"),
         F.count_if(F.col("model_label") == "malicious").alias("bad"),
     )
     n, zero = F.col("n"), F.lit(0)
@@ -409,22 +451,23 @@ def reports_summary(df: DataFrame, from_ts: datetime | None = None,
     def entries(frame: DataFrame, items: list[Column]) -> DataFrame:
         return frame.select(F.explode(F.array(*items)).alias("e")).select("e.*")
 
-    def totals(count: Column, score: Column, bad: Column) -> list[Column]:
+    def totals(count: Column, score: Column, scored: Column, bad: Column) -> list[Column]:
         return [
             entry("total", F.lit("alerts"), count),
-            entry("total", F.lit("average_score"), score, count),
+            entry("total", F.lit("average_score"), score, scored),
             entry("total", F.lit("malicious_ratio"), bad * F.lit(100.0), count),
         ]
 
-    rows = entries(small, [*totals(n, F.col("score"), F.col("bad")), entry("severity", F.col("severity"), n),
+    rows = entries(small, [*totals(n, F.col("score"), F.col("scored"), F.col("bad")), entry("severity", F.col("severity"), n),
                            entry("attack", F.col("attack_type"), n)])
     # Totals and all four severities are reported even when there is no alert.
     fixed = entries(df.sparkSession.range(1, numPartitions=1),
-                    [*totals(zero, zero, zero), *[entry("severity", F.lit(s), zero) for s in S.SEVERITIES]])
+                    [*totals(zero, zero, zero, zero), *[entry("severity", F.lit(s), zero) for s in S.SEVERITIES]])
     sums = rows.unionByName(fixed).groupBy("section", "key").agg(F.sum("value").alias("v"), F.sum("weight").alias("w"))
     value = F.when(F.col("w").isNull(), F.col("v")).otherwise(F.coalesce(F.try_divide("v", "w"), F.lit(0.0)))
     parts = sums.select("section", "key", value.alias("value"))
-    rules = top_rules(kept, 5).select(
+    rules = small.groupBy("rule_name").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "rule_name").limit(5)
+    rules = rules.select(
         F.lit("rule").alias("section"), F.col("rule_name").alias("key"), F.col("count").cast("double").alias("value"))
     sources = unique_sources(kept).select(
         F.lit("total").alias("section"), F.lit("unique_sources").alias("key"), F.col("unique_sources").cast("double").alias("value"))
@@ -467,8 +510,8 @@ def summary_long(report: DataFrame, range_label: str, generated: datetime) -> Da
     return head.unionByName(rows)
 
 
-def report_rows(df: DataFrame, key: str, as_of: datetime, cap: int = 1000) -> DataFrame:
-    """Newest alerts of a preset range as the eight formatted report columns."""
+def report_rows(df: DataFrame, key: str, as_of: datetime, cap: int) -> DataFrame:
+    """The ``cap`` newest alerts of a preset range as the eight formatted report columns."""
     newest = sort_alerts(range_filter(df, key, as_of), "-timestamp").limit(cap)
     return newest.select(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("Fecha"),

@@ -34,56 +34,68 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.coalesce(F.try_divide(hits, F.sum("n")), F.lit(0.0)).alias("accuracy"))
 
 
-def per_class(pairs: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of every class that is true or predicted."""
+def _ratio(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+def _class_sums(pairs: DataFrame, errors: bool = False) -> DataFrame:
+    """Support, calls and hits of every class, and with ``errors`` the gaps of its codes."""
     n = F.col("n")
     same = F.col("truth") == F.col("prediction")
-    zero = F.lit(0).cast("bigint")
+    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
+    gap = (F.col("truth") - F.col("prediction")).cast("double") if errors else none
     views = F.explode(F.array(
         F.struct(F.col("truth").alias("class"), n.alias("support"), zero.alias("called"),
-                 F.when(same, n).otherwise(zero).alias("hits")),
+                 F.when(same, n).otherwise(zero).alias("hits"), (F.abs(gap) * n).alias("gap"), (gap * gap * n).alias("gap2")),
         F.struct(F.col("prediction").alias("class"), zero.alias("support"), n.alias("called"),
-                 zero.alias("hits")),
+                 zero.alias("hits"), none.alias("gap"), none.alias("gap2")),
     ))
-    sums = pairs.select(views.alias("v")).groupBy("v.class").agg(
-        F.sum("v.support").alias("support"), F.sum("v.called").alias("called"),
-        F.sum("v.hits").alias("hits"),
-    )
+    return pairs.select(views.alias("v")).groupBy("v.class").agg(
+        *[F.sum(f"v.{c}").alias(c) for c in ("support", "called", "hits", "gap", "gap2")])
 
-    def ratio(a: Column, b: Column) -> Column:
-        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
-    p = ratio(F.col("hits"), F.col("called"))
-    r = ratio(F.col("hits"), F.col("support"))
-    return sums.select(
-        "class", p.alias("precision"), r.alias("recall"),
-        ratio(F.lit(2.0) * p * r, p + r).alias("f1"), "support",
-    )
+def _class_metrics(sums: DataFrame) -> DataFrame:
+    p = _ratio(F.col("hits"), F.col("called"))
+    r = _ratio(F.col("hits"), F.col("support"))
+    return sums.withColumns({"precision": p, "recall": r, "f1": _ratio(F.lit(2.0) * p * r, p + r)})
+
+
+def per_class(pairs: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support of every class that is true or predicted."""
+    return _class_metrics(_class_sums(pairs)).select("class", "precision", "recall", "f1", "support")
+
+
+_NAMES = ("precision", "recall", "f1")
+
+
+def _macro(n: str) -> Column:
+    return F.avg(n)
+
+
+def _weighted(n: str) -> Column:
+    return F.coalesce(F.try_divide(F.sum(F.col(n) * F.col("support")), F.sum("support")), F.lit(0.0))
+
+
+def _line(name: str, of) -> Column:
+    return F.struct(F.lit(name).alias("class"), *[of(n).alias(n) for n in _NAMES], F.sum("support").alias("support"))
 
 
 def global_rows(classes: DataFrame) -> DataFrame:
-    """Macro and support-weighted averages as two rows of the per-class table."""
-    names = ("precision", "recall", "f1")
-    total = F.sum("support").alias("support")
-    macro = classes.agg(*[F.avg(n).alias(n) for n in names], total)
-    weighted = classes.agg(
-        *[
-            F.coalesce(F.try_divide(F.sum(F.col(n) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(n)
-            for n in names
-        ],
-        total,
-    )
-    columns = ["class", *names, "support"]
-    return (
-        macro.withColumn("class", F.lit("GLOBAL_macro")).select(columns)
-        .unionByName(weighted.withColumn("class", F.lit("GLOBAL_weighted")).select(columns))
-    )
+    """Macro and support-weighted averages as two rows of the per-class table, in one pass."""
+    lines = classes.agg(F.array(_line("GLOBAL_macro", _macro), _line("GLOBAL_weighted", _weighted)).alias("g"))
+    return lines.select(F.inline("g"))
 
 
 def class_report(pairs: DataFrame) -> DataFrame:
-    """Per-class rows of the true classes followed by the two global rows."""
+    """Per-class rows of the true classes followed by the two global rows.
+
+    The pairs are reduced once; the table of classes, which is small, is gathered in one row.
+    """
     classes = per_class(pairs).withColumn("class", F.col("class").cast("string"))
-    return classes.filter(F.col("support") > 0).unionByName(global_rows(classes))
+    row = F.struct("class", *_NAMES, "support")
+    own = F.collect_list(F.when(F.col("support") > 0, row))
+    lines = classes.agg(F.concat(own, F.array(_line("GLOBAL_macro", _macro), _line("GLOBAL_weighted", _weighted))).alias("g"))
+    return lines.select(F.inline("g"))
 
 
 def code_errors(pairs: DataFrame) -> DataFrame:
@@ -107,15 +119,20 @@ def _one_vs_rest(df: DataFrame, truth: str, probabilities: str) -> DataFrame:
 
 
 def class_auc(df: DataFrame, truth: str, probabilities: str) -> DataFrame:
-    """One-vs-rest AUC per class position; NULL for a class without both kinds of rows.
+    """One-vs-rest AUC per class position; NULL for a class without both kinds of rows, or
+    with a score that is NULL or not a number.
 
     Rows are first reduced to distinct scores; ties count one half.
     """
     scores = materialize(_one_vs_rest(df, truth, probabilities), "scores")
-    below = prefix_sums(scores, ["class"], "score", {"neg": "neg_below"})
+    odd = F.col("score").isNull() | F.isnan("score")
+    below = prefix_sums(scores.filter(~odd), ["class"], "score", {"neg": "neg_below"})
     won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return below.groupBy("class").agg(F.try_divide(won, pairs).alias("auc"))
+    aucs = below.groupBy("class").agg(F.try_divide(won, pairs).alias("auc"), F.lit(False).alias("odd"))
+    bad = scores.filter(odd).select("class", F.lit(None).cast("double").alias("auc"), F.lit(True).alias("odd"))
+    both = aucs.unionByName(bad).groupBy("class").agg(F.max("auc").alias("auc"), F.max("odd").alias("odd"))
+    return both.select("class", F.when(~F.col("odd"), F.col("auc")).alias("auc"))
 
 
 def macro_auc(df: DataFrame, truth: str, probabilities: str) -> DataFrame:
@@ -133,13 +150,14 @@ def binary_auc(df: DataFrame, truth: str, probabilities: str) -> DataFrame:
 def roc_points(df: DataFrame, truth: str, probabilities: str | None, binary: bool = False) -> DataFrame | None:
     """ROC points by falling threshold: binary, else micro-averaged over the classes.
 
-    ``None`` for a model without probabilities. Starts at (0, 0) with an infinite threshold.
+    Scores that are NULL or not a number give no point. ``None`` for a model without probabilities. Starts at (0, 0) with an infinite threshold.
     """
     if probabilities is None:
         return None
     scores = _one_vs_rest(df, truth, probabilities)
     if binary:
         scores = scores.filter(F.col("class") == 1)
+    scores = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
     scores = scores.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     scores = materialize(scores, "scores")
     total = scores.agg(F.sum("pos"), F.sum("neg")).first()
@@ -156,19 +174,23 @@ def roc_points(df: DataFrame, truth: str, probabilities: str | None, binary: boo
 
 
 def global_metrics(pairs: DataFrame, auc: DataFrame | None = None) -> DataFrame:
-    """One row: accuracy, macro and weighted metrics, code errors and AUC, 0 to 1."""
-    sides = global_rows(per_class(pairs))
-    names = ("precision", "recall", "f1")
-    wide = sides.agg(*[
-        F.max(F.when(F.col("class") == f"GLOBAL_{kind}", F.col(n))).alias(f"{n}_{kind}")
-        for kind in ("macro", "weighted") for n in names
-    ])
-    row = accuracy(pairs)
-    for other in (wide, code_errors(pairs), auc if auc is not None else None):
-        if other is not None:
-            row = row.withColumn("_one", F.lit(1)).join(
-                F.broadcast(other.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return row if auc is not None else row.withColumn("auc", F.lit(None).cast("double"))
+    """One row: accuracy, macro and weighted metrics, code errors and AUC, 0 to 1.
+
+    The pairs are read once: all values are sums over the classes.
+    """
+    classes = _class_metrics(_class_sums(pairs, errors=True))
+    total = F.sum("support")
+    row = classes.agg(
+        _ratio(F.sum("hits"), total).alias("accuracy"),
+        *[_macro(n).alias(f"{n}_macro") for n in _NAMES],
+        *[_weighted(n).alias(f"{n}_weighted") for n in _NAMES],
+        F.try_divide(F.sum("gap"), total).alias("mae"), F.try_divide(F.sum("gap2"), total).alias("mse"),
+    ).withColumn("rmse", F.sqrt("mse"))
+    if auc is None:
+        return row.withColumn("auc", F.lit(None).cast("double"))
+    # Both sides are one row; their columns are put side by side by an aggregate.
+    both = row.unionByName(auc.select("auc"), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in [*row.columns, "auc"]])
 
 
 def result_row(metrics: DataFrame, model: str, train_time_s: float | None = None,

@@ -123,9 +123,35 @@ def l2(t: Tables) -> DataFrame:
 
 @query("l2_page_after", "alerts", f"SELECT {_SHOWN} FROM alerts ORDER BY timestamp DESC, id LIMIT 25 OFFSET 25")
 def l2_after(t: Tables) -> DataFrame:
-    alerts, filters = t.alerts(), Q.AlertFilters()
-    last = Q.page_after(alerts, filters, None, None).collect()[-1]
-    return _shown(Q.page_after(alerts, filters, last.timestamp, last.id))
+    alerts, filters = t.alerts(), Q.AlertFilters(page_size=25)
+    first = Q.page_after(alerts, filters)
+    return _shown(Q.page_after(alerts, filters, Q.next_page_key(first, filters)))
+
+
+# Days and few ids, so that many rows tie; the event number tells them apart.
+_TIED = "SELECT *, date_trunc('day', timestamp) AS day, md5(CAST(event_id % 7 AS VARCHAR)) AS tied FROM alerts"
+
+
+@query("l2_page_walk", "alerts", f"""
+WITH p AS ({_TIED}),
+a AS (SELECT 'timestamp' AS key, epoch_us(day) AS value, tied AS id FROM p ORDER BY day, tied LIMIT 120),
+b AS (SELECT '-severity' AS key, CASE severity WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 WHEN 'High' THEN 2 ELSE 3 END AS value, tied AS id
+  FROM p ORDER BY value DESC, tied LIMIT 120)
+SELECT key, CAST(value AS BIGINT) AS value, id, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
+def l2_walk(t: Tables) -> DataFrame:
+    """Three pages by two sort keys over rows that tie; each page starts where the last ended."""
+    alerts = t.alerts()
+    number = F.substring("rule_id", 7, 20).cast("bigint")
+    tied = alerts.withColumns({"timestamp": F.date_trunc("day", "timestamp"), "id": F.md5((number % 7).cast("string"))})
+    pages = None
+    for key, value in (("timestamp", F.unix_micros("timestamp")), ("-severity", A.severity_rank("severity").cast("bigint"))):
+        filters, after = Q.AlertFilters(page_size=40, sort=key), None
+        for _ in range(3):
+            page = Q.page_after(tied, filters, after)
+            after = Q.next_page_key(page, filters, after) or after
+            shown = page.select(F.lit(key).alias("key"), value.alias("value"), "id")
+            pages = shown if pages is None else pages.unionByName(shown)
+    return pages.groupBy("key", "value", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l3_status_causes", "alerts", f"""
@@ -348,4 +374,4 @@ SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS "Fecha", severity AS "Severid
   printf('%.1f%%', CASE WHEN model_label = 'benign' THEN 1.0 - model_score ELSE model_score END * 100.0) AS "Score"
 FROM alerts WHERE timestamp >= {_AS_OF} - INTERVAL 168 HOUR ORDER BY timestamp DESC, id LIMIT 1000""")
 def k8(t: Tables) -> DataFrame:
-    return Q.report_rows(t.alerts(), "7d", _as_of(t))
+    return Q.report_rows(t.alerts(), "7d", _as_of(t), cap=1000)

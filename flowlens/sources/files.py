@@ -8,10 +8,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.common import BOM, quoted, strip
+from flowlens.functions.common import BOM, collapse_blanks, quoted, strip
 
-# Up to this many files have their headers looked up one by one; larger sets must share one.
-MAX_HEADER_FILES = 200
+# Stands for a delimiter outside quotes; a code point that no text may use.
+_CUT = "\ufdd0"
 
 
 def list_files(spark: SparkSession, target: str | Sequence[str], pattern: str | None = None) -> DataFrame:
@@ -93,14 +93,19 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def split_cells(line: Column, sep: str) -> Column:
-    """Cells of a delimited line; quoted cells may hold the delimiter."""
-    mark = re.escape(sep)
-    outside = f'{mark}(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    plain = F.split(line, mark, -1)
+    """Cells of a delimited line; quoted cells may hold the delimiter.
+
+    A delimiter counts when an even number of quotes follows it. The line is cut at its
+    quotes and every second part, counted from the end, is searched: linear in the line.
+    """
+    plain = F.split(line, re.escape(sep), -1)
+    parts = F.split(line, '"', -1)
+    last = F.size(parts) - 1
+    marked = F.transform(parts, lambda p, i: F.when((last - i) % 2 == 0, F.replace(p, F.lit(sep), F.lit(_CUT))).otherwise(p))
     careful = F.transform(
-        F.split(line, outside, -1),
+        F.split(F.array_join(marked, '"'), _CUT, -1),
         lambda c: F.when(
-            c.rlike('^".*"$'),
+            (F.length(c) >= 2) & F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')),
             F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
         ).otherwise(c),
     )
@@ -108,30 +113,42 @@ def split_cells(line: Column, sep: str) -> Column:
 
 
 def header_groups(spark: SparkSession, paths: Sequence[str], encoding: str) -> dict[str, list[str]]:
-    """Files grouped by their first line.
+    """Files grouped by their first line, found in one distributed pass over all files.
 
-    A large set is not read file by file: one distributed pass checks that every file
-    has the header line of the first one.
+    Rows of a block keep their order, so the first row of the block at the start of a
+    file is its header. Files without any line have no rows and no group.
     """
-    if len(paths) > MAX_HEADER_FILES:
-        header = first_line(spark, paths[0], encoding)
-        lines = spark.read.option("encoding", encoding).text(list(paths))
-        with_header = lines.filter(F.col("value") == F.lit(header)).select("_metadata.file_path").distinct().count()
-        if with_header < len(set(paths)):
-            raise ValueError(f"{len(paths)} files with different headers: pass the columns")
-        return {header: list(paths)}
-    groups: dict[str, list[str]] = {}
-    for path in paths:
-        groups.setdefault(first_line(spark, path, encoding), []).append(path)
-    return groups
-
-
-def parse_ragged(lines: DataFrame, columns: Sequence[str], sep: str, short: str) -> DataFrame:
+    if len(set(paths)) == 1:
+        return {first_line(spark, paths[0], encoding): list(paths)}
+    lines = spark.read.option("encoding", encoding).text(list(paths))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                         F.monotonically_increasing_id().alias("at"))
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    groups = {r["head"]: sorted(r["files"]) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()}
+    return dict(sorted(groups.items()))
+
+
+def header_cells(line: str, sep: str) -> list[str]:
+    """Cleaned cells of a header line, as ``parse_ragged`` compares them."""
+    return [clean_name(c.strip().strip('"')) for c in line.split(sep)]
+
+
+def parse_ragged(lines: DataFrame, columns: Sequence[str], sep: str, short: str,
+                 header: Sequence[str] | None = None) -> DataFrame:
     """Text rows ``value`` to columns. Long rows are cut; short rows are skipped
-    (``skip``) or filled with empty text (``pad``). Blank lines are dropped."""
+    (``skip``) or filled with empty text (``pad``). Blank lines are dropped, and lines
+    whose cleaned cells are those of the ``header``."""
     if short not in ("skip", "pad"):
         raise ValueError(f"unknown policy: {short}")
     rows = lines.filter(F.length(strip("value")) > 0).withColumn("_cells", split_cells(F.col("value"), sep))
+    if header:
+        def clean(c: Column) -> Column:
+            return collapse_blanks(F.translate(c, BOM + '"', ""))
+
+        # The first cell decides for nearly all rows.
+        first = F.coalesce(clean(F.get("_cells", F.lit(0))) == header[0], F.lit(False))
+        same = F.transform("_cells", clean) == F.array(*[F.lit(h) for h in header])
+        rows = rows.filter(~F.when(first, same).otherwise(False))
     if short == "skip":
         rows = rows.filter(F.size("_cells") >= len(columns))
     extra = [c for c in lines.columns if c != "value"]
@@ -160,9 +177,8 @@ def read_ragged(spark: SparkSession, paths: str | Sequence[str], columns: Sequen
         lines = spark.read.option("encoding", encoding).text(members)
         lines = lines.select("value", *([F.col("_metadata.file_name").alias("source_file")] if provenance else []))
         body = F.replace("value", F.lit(BOM), F.lit(""))
-        header = line.replace(BOM, "")
-        lines = lines.filter((body != F.lit(header)) & ~F.startswith(body, F.lit("#fields")))
-        part = parse_ragged(lines, names, mark, short)
+        lines = lines.filter(~F.startswith(body, F.lit("#fields")))
+        part = parse_ragged(lines, names, mark, short, header_cells(line, mark))
         result = part if result is None else result.unionByName(part, allowMissingColumns=True)
     return result
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,6 @@ from flowlens.functions.common import quoted, strip
 from flowlens.functions.numbers import parse_number, safe_double, safe_int
 from flowlens.functions.times import parse_ts
 from flowlens.sources.files import (
-    MAX_HEADER_FILES,
     header_columns,
     header_groups,
     normalize_columns,
@@ -21,6 +20,7 @@ from flowlens.sources.files import (
     read_ragged,
     resolve_inputs,
 )
+from flowlens.session import join_small, materialize
 
 
 def parse_zeek_lines(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,45 +42,83 @@ def _numeric_conn(df: DataFrame) -> DataFrame:
     return df.withColumns({n: parse_number(quoted(n)) for n in names})
 
 
-def zeek_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Log files grouped by their ``#fields`` line; no such line at all is an error.
+def _located(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Lines with their file, and their place in it: block, then row within the block."""
+    return spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
+        F.when(F.startswith(F.col("value"), F.lit("#fields")), strip("value")).alias("_mark"),
+    )
+
+
+def zeek_headers(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], DataFrame]:
+    """The distinct ``#fields`` lines of log files, and (file, headers) of every file.
 
-    One distributed pass finds the distinct lines. File names are only collected when
-    there are several.
+    One distributed pass. A file with lines but without a ``#fields`` line is an error.
     """
-    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"))
-    marks = lines.filter(F.startswith(F.col("value"), F.lit("#fields"))).select(strip("value").alias("value"), "file")
-    headers = [r.value for r in marks.select("value").distinct().limit(MAX_HEADER_FILES + 1).collect()]
+    lines = _located(spark, paths)
+    files = materialize(lines.groupBy("_file").agg(F.collect_set("_mark").alias("headers")), "headers")
+    bare = [r["_file"] for r in files.filter(F.size("headers") == 0).select("_file").limit(5).collect()]
+    if bare:
+        raise ValueError(f"no #fields line in {bare}")
+    headers = sorted(r["h"] for r in files.select(F.explode("headers").alias("h")).distinct().collect())
     if not headers:
-        raise ValueError(f"no #fields line in {paths}")
-    if len(headers) > MAX_HEADER_FILES:
-        raise ValueError(f"more than {MAX_HEADER_FILES} different headers")
-    if len(headers) == 1:
-        return {headers[0]: list(paths)}
-    groups: dict[str, list[str]] = {}
-    for row in marks.distinct().toLocalIterator():
-        groups.setdefault(row.value, []).append(row.file)
-    return groups
+        raise ValueError(f"no #fields line in {list(paths)[:5]}")
+    return headers, files
+
+
+def with_latest_header(lines: DataFrame) -> DataFrame:
+    """Add ``_header``: the last ``#fields`` line above each line of its file.
+
+    Within a block by a window over the block; a block without one above takes that of an
+    earlier block, so a large file is not ordered in one task.
+    """
+    above = Window.partitionBy("_file", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = lines.groupBy("_file", "_block").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("_at"))).alias("_last"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    marked = lines.withColumn("_own", F.last("_mark", ignorenulls=True).over(above)).join(blocks, ["_file", "_block"])
+    return marked.withColumn("_header", F.coalesce("_own", "_carried")).drop("_own", "_carried")
+
+
+def _by_header(lines: DataFrame, headers: Sequence[str]) -> DataFrame:
+    """Lines with a ``_header`` to the columns of all headers; rows of another width are dropped."""
+    names = {h: [c.strip().replace(".", "_") for c in h.split("\t")[1:]] for h in headers}
+    rows = lines.filter(~F.startswith(F.col("value"), F.lit("#"))).withColumn("_cells", F.split(strip("value"), "\t", -1))
+    width = F.coalesce(*[F.when(F.col("_header") == h, F.lit(len(n))) for h, n in names.items()])
+    rows = rows.filter(F.size("_cells") == width)
+    columns = list(dict.fromkeys(c for n in names.values() for c in n))
+    cells = [
+        F.coalesce(*[F.when(F.col("_header") == h, F.get("_cells", F.lit(n.index(c)))) for h, n in names.items() if c in n]).alias(c)
+        for c in columns
+    ]
+    return rows.select(*cells, "source_file")
 
 
 def read_zeek_log(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
                   provenance: bool = False, typed: bool = True) -> DataFrame:
     """Tab-separated log with its names in a ``#fields`` line.
 
-    Pass ``columns`` when the header is known: the data is then read only once. A path
-    that is listed twice is read once.
+    A row belongs to the last such line above it; files may have different ones, or
+    several. Pass ``columns`` when the header is known: the data is then read only once.
+    A path that is listed twice is read once.
     """
     files = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
-    if columns is not None:
-        groups = {"\t".join(["#fields", *columns]): files}
+    if columns is None:
+        headers, by_file = zeek_headers(spark, files)
     else:
-        groups = zeek_headers(spark, files)
-    result = None
-    for line, members in groups.items():
-        lines = spark.read.text(members)
-        lines = lines.select("value", *([F.col("_metadata.file_name").alias("source_file")] if provenance else []))
-        part = parse_zeek_lines(lines, line.split("\t")[1:])
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
+        headers = ["\t".join(["#fields", *columns])]
+    if len(headers) == 1:
+        lines = spark.read.text(files).select("value", F.col("_metadata.file_name").alias("source_file"))
+        result = parse_zeek_lines(lines, headers[0].split("\t")[1:])
+    else:
+        lines = _located(spark, files)
+        if by_file.filter(F.size("headers") > 1).isEmpty():
+            lines = join_small(lines, by_file.select("_file", F.get("headers", F.lit(0)).alias("_header")), "_file")
+        else:
+            lines = with_latest_header(lines)
+        result = _by_header(lines, headers)
+    result = result if provenance else result.drop("source_file")
     return _numeric_conn(result) if typed else result
 
 

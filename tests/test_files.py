@@ -136,3 +136,51 @@ def test_replay_file_is_in_time_order(spark):
         F.lit("").alias("Destination Port"), F.lit("TCP").alias("Protocol"), F.lit("DoS Hulk").alias("Label"))
     times = [r.timestamp for r in logs.replay_to_alerts(rows, "r.csv").orderBy("timestamp").collect()]
     assert len(times) == 300 and times == sorted(times) and len(set(times)) == 300
+
+
+def test_rows_follow_the_last_header_above_them(spark, tmp_path):
+    a = write(tmp_path / "a.log", "#fields\tts\tuid\n1\tA1\n2\tA2\n#fields\tuid\tts\tproto\nA3\t3\ttcp\nA4\t4\tudp\n")
+    b = write(tmp_path / "b.log", "#fields\tuid\tproto\nB1\ticmp\n")
+    rows = {r.uid: (r.ts, r.proto) for r in logs.read_zeek_log(spark, [a, b], typed=False).collect()}
+    assert rows == {"A1": ("1", None), "A2": ("2", None), "A3": ("3", "tcp"), "A4": ("4", "udp"), "B1": (None, "icmp")}
+    # The blocks of one file may land in different tasks.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        assert {r.uid: (r.ts, r.proto) for r in logs.read_zeek_log(spark, [a, b], typed=False).collect()} == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_zeek_file_without_header_among_others_is_named(spark, tmp_path):
+    a = write(tmp_path / "a.log", "#fields\tts\n1\n")
+    b = write(tmp_path / "bare.log", "1\n2\n")
+    with pytest.raises(ValueError, match="bare.log"):
+        logs.read_zeek_log(spark, [a, b])
+
+
+def test_many_files_with_unlike_headers(spark, tmp_path):
+    for i in range(230):
+        write(tmp_path / f"f{i:03d}.csv", ("a,b\n" if i % 2 else "b,c\n") + f"{i},x\n")
+    df = files.read_ragged(spark, str(tmp_path))
+    assert df.count() == 230 and set(df.columns) == {"a", "b", "c"}
+    assert df.filter("a is not null").count() == 115
+
+
+def test_one_line_of_many_quotes(spark, tmp_path):
+    cells = [f'"c,{i}"' for i in range(20_000)]
+    path = write(tmp_path / "q.csv", "x,y\n" + ",".join(cells) + "\n" + 'plain,"a ""b"" c"\nlone"quote,z\n')
+    rows = files.read_ragged(spark, path).collect()
+    assert [tuple(r) for r in rows] == [("c,0", "c,1"), ("plain", 'a "b" c'), ('lone"quote', "z")]
+
+
+def test_header_with_blanks_is_no_row(spark, tmp_path):
+    path = write(tmp_path / "h.csv", 'uid, proto\n1,tcp\n"uid","proto"\nuid,other\n')
+    rows = files.read_ragged(spark, path, columns=["uid", "proto"]).collect()
+    assert [tuple(r) for r in rows] == [("1", "tcp"), ("uid", "other")]
+
+
+def test_empty_files_have_no_rows(spark, tmp_path):
+    a, b = write(tmp_path / "a.csv", "x\n1\n"), write(tmp_path / "b.csv", "")
+    assert [r.x for r in files.read_ragged(spark, [a, b]).collect()] == ["1"]
+    with pytest.raises(FileNotFoundError):
+        files.read_ragged(spark, b)
