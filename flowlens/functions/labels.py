@@ -148,3 +148,9 @@ def hashed_uid(*columns: Column | str) -> Column:
     """20 hex digits derived from the row key, the same on every run."""
     key = F.concat_ws("~", *[as_column(c).cast("string") for c in columns])
     return F.substring(F.md5(key), 1, 20)
+
+
+def row_uid(columns: list[str], copy: Column) -> Column:
+    """20 hex digits of a whole row and its number among equal rows; NULL is no text."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in columns]
+    return F.substring(F.md5(F.to_json(F.array(*cells, copy.cast("string")))), 1, 20)

@@ -23,12 +23,13 @@ from pyspark.sql import types as T
 from flowlens import schemas as S
 from flowlens.functions import alerts as A
 from flowlens.functions import labels as L
-from flowlens.functions.common import quoted
-from flowlens.functions.numbers import clean_features, finite_or_zero, safe_int
+from flowlens.functions.common import is_numeric, quoted, strip
+from flowlens.functions.numbers import clean_features, coerce_numeric, finite_or_zero, parse_number, safe_int
 from flowlens.functions.times import parse_ts
 from flowlens.operators import evaluation as E
 from flowlens.operators import features as X
 from flowlens.operators.sampling import mark_split, rank_features
+from flowlens.operators.skew import number_copies
 from flowlens.operators.smote import smote
 from flowlens.session import materialize, path_exists
 
@@ -142,6 +143,29 @@ def load_or_train(spark: SparkSession, path: str, train) -> tuple[Bundle, bool]:
     return bundle, False
 
 
+def record_model(spark: SparkSession, path: str, name: str, model_path: str) -> None:
+    """Register where a model is; a later entry of the same name takes its place."""
+    row = spark.createDataFrame([(name, model_path)], "name string, path string")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+
+def recorded_models(spark: SparkSession, path: str) -> DataFrame:
+    """Name and path of every registered model."""
+    return spark.read.parquet(path).groupBy("name").agg(F.max_by("path", "at").alias("path"))
+
+
+def log_result(result: DataFrame, path: str, run: str) -> None:
+    """Append result lines to the log of a run; column names are kept as JSON."""
+    row = F.to_json(F.struct(*[quoted(c) for c in result.columns]))
+    lines = result.select(F.lit(run).alias("run"), F.current_timestamp().alias("at"), row.alias("entry"))
+    lines.coalesce(1).write.mode("append").partitionBy("run").parquet(path)
+
+
+def logged_results(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """Entries of a run in the order in which they were logged."""
+    return spark.read.parquet(path).filter(F.col("run") == run).select("at", "entry").orderBy("at")
+
+
 def feature_importance(bundle: Bundle) -> list[tuple[str, float]]:
     """Feature importances of the fitted tree model."""
     values = bundle.model.stages[-1].featureImportances.toArray().tolist()
@@ -174,7 +198,24 @@ def score_to_alerts(df: DataFrame, bundle: Bundle, kind: str = "conn", tags: dic
 
     Rows without a readable timestamp are left out; ``without_timestamp`` returns them.
     """
-    return to_alerts(predict(df, bundle), bundle.features, kind, bundle.classes, tags)
+    return to_alerts(predict(keep_raw(df), bundle), bundle.features, kind, bundle.classes, tags)
+
+
+RAW, ROW_ID = "_raw_row", "_row_id"
+
+
+def keep_raw(df: DataFrame) -> DataFrame:
+    """Add the row as it is (JSON of its texts) and its identity, before features replace columns.
+
+    The identity is a hash of the whole row and its number among equal rows. A stream has
+    no such number: there, equal rows have one identity.
+    """
+    if RAW in df.columns:
+        return df
+    numbered = df.withColumn("_copy", F.lit(0)) if df.isStreaming else number_copies(df)
+    row = F.struct(*[quoted(f.name).cast("string").alias(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)])
+    raw = numbered.withColumn(RAW, F.to_json(row))
+    return raw.withColumn(ROW_ID, L.hashed_uid(RAW, "_copy")).drop("_copy")
 
 
 def without_timestamp(df: DataFrame, kind: str = "conn") -> DataFrame:
@@ -195,7 +236,11 @@ def _event_time(df: DataFrame, kind: str) -> Column:
 
 def to_alerts(scored: DataFrame, features: Sequence[str], kind: str = "conn",
               classes: Sequence[str] | None = None, tags: dict | None = None) -> DataFrame:
-    """Alert rows from rows with a ``probabilities`` array in class order."""
+    """Alert rows from rows with a ``probabilities`` array in class order.
+
+    ``keep_raw`` before the features keeps the row as it was read in the metadata; without
+    it, the columns as they are here are kept.
+    """
     conn = kind == "conn"
     names = (
         ("id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "uid") if conn
@@ -210,9 +255,10 @@ def to_alerts(scored: DataFrame, features: Sequence[str], kind: str = "conn",
     def port(name: str) -> Column:
         return safe_int(text(name, ""), 0, "plain" if conn else "clean").cast("int")
 
-    drop = {"probabilities", "predicted"}
-    raw = [c for c in scored.columns if c not in drop and c not in features]
-    row = F.struct(*[quoted(c).cast("string").alias(c) for c in raw])
+    if RAW not in scored.columns:
+        held = ["probabilities", *[c for c in ("predicted",) if c in scored.columns]]
+        scored = keep_raw(scored.withColumn("_held", F.struct(*held)).drop(*held))
+        scored = scored.select("*", *[F.col(f"_held.{c}").alias(c) for c in held]).drop("_held")
     values = F.create_map(*[x for f in features for x in (F.lit(f), quoted(f).cast("double"))])
     # Plain columns in steps: each is computed once, however often it is used below.
     base = scored.withColumns({
@@ -228,9 +274,8 @@ def to_alerts(scored: DataFrame, features: Sequence[str], kind: str = "conn",
             F.try_element_at("_probabilities", F.lit("BENIGN")), F.lit(0.0))),
     })
     key = text("uid", "NA") if conn else F.coalesce(
-        F.nullif(text("Flow ID"), F.lit("")), L.hashed_uid(F.to_json(row)))
+        F.nullif(text("Flow ID"), F.lit("")), F.col(ROW_ID))
     meta = [
-        row.alias("zeek_conn" if conn else "feature_row"),
         values.alias("features"),
         F.struct(F.col("_probabilities").alias("probabilities"),
                  F.col("_index").alias("class_index")).alias("model"),
@@ -240,7 +285,7 @@ def to_alerts(scored: DataFrame, features: Sequence[str], kind: str = "conn",
     src_ip, src_port, dst_ip, dst_port, proto, _ = names
     rule_id = F.concat(F.lit("ZEEK-" if conn else "FEATURE-"), key)
     alerts = base.filter(F.col("_time").isNotNull()).select(
-        L.hashed_uid(rule_id, F.col("_time")).alias("id"),
+        L.hashed_uid(rule_id, F.col("_time"), ROW_ID).alias("id"),
         F.col("_time").alias("timestamp"),
         F.current_timestamp().alias("ingested_at"),
         A.severity("_score", "_attack").alias("severity"),
@@ -254,7 +299,8 @@ def to_alerts(scored: DataFrame, features: Sequence[str], kind: str = "conn",
         F.concat(F.lit("Zeek " if conn else "FeatureDataset "), F.col("_name")).alias("rule_name"),
         F.col("_score").alias("model_score"),
         A.label_of_class("_name").alias("model_label"),
-        F.to_json(F.struct(*meta)).alias("meta"),
+        F.concat(F.lit(f'{{"{"zeek_conn" if conn else "feature_row"}":'), F.col(RAW), F.lit(","),
+                 F.substring(F.to_json(F.struct(*meta)), 2, 1 << 30)).alias("meta"),
     )
     return alerts
 
@@ -305,19 +351,57 @@ def target_column(df: DataFrame, cfg: TrainingConfig) -> tuple[DataFrame, list[s
     raise ValueError(f"unknown dataset: {cfg.dataset}")
 
 
-def train_and_evaluate(df: DataFrame, cfg: TrainingConfig, features: Sequence[str] | None = None,
-                 row_key: Sequence[str] = ("uid",)) -> tuple[Bundle, DataFrame]:
-    """Target, cleaning, split, scaling, oversampling, fit, and the result line.
+def numeric_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The columns that hold numbers: typed ones, and texts whose every value reads as one."""
+    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    typed = {n for n in names if is_numeric(df, n)}
+    if texts:
+        def value(n: str) -> Column:
+            return F.nullif(strip(quoted(n)), F.lit(""))
 
-    The split comes before oversampling unless ``cfg.leaky`` is set.
+        row = df.agg(*[
+            F.struct(F.count(value(n)).alias("n"), F.count_if(value(n).isNotNull() & parse_number(quoted(n)).isNull()).alias("bad"))
+            .alias(f"c{i}") for i, n in enumerate(texts)
+        ]).first()
+        typed |= {n for i, n in enumerate(texts) if row[i]["n"] and not row[i]["bad"]}
+    return [n for n in names if n in typed]
+
+
+def prepare_features(df: DataFrame, cfg: TrainingConfig, features: Sequence[str] | None,
+                     row_key: Sequence[str] | None) -> tuple[DataFrame, list[str], list[str], list[str]]:
+    """Target, numeric features and a row key, as readers of text files leave them to do.
+
+    Without ``features``, all columns that hold numbers take part; of KDD files all but the
+    label, with unreadable values as 0. Without ``row_key``, rows are told apart by their
+    content and a number among equal rows.
     """
     data, classes = target_column(df, cfg)
     if features is None:
-        skip = {"target", cfg.label, *row_key}
-        features = X.numeric_features(data, list(skip)).columns
+        skip = {"target", cfg.label, "source_file", *(row_key or ())}
+        names = [c for c in data.columns if c not in skip]
+        features = names if cfg.dataset == "KDD" else numeric_columns(data, names)
     features = list(features)
-    data = clean_features(data, features).select("target", *row_key, *[quoted(f) for f in features])
-    data = materialize(data, "prepared")
+    if not features:
+        raise ValueError("no numeric feature columns")
+    data = data.select("target", *[quoted(k) for k in row_key or ()], *[quoted(f) for f in features])
+    data = clean_features(coerce_numeric(data, features), features)
+    if row_key is None:
+        numbered = number_copies(data)
+        data = numbered.withColumn("_row", L.row_uid(data.columns, F.col("_copy"))).drop("_copy")
+        row_key = ["_row"]
+    return materialize(data, "prepared"), classes, features, list(row_key)
+
+
+def train_and_evaluate(df: DataFrame, cfg: TrainingConfig, features: Sequence[str] | None = None,
+                       row_key: Sequence[str] | None = ("uid",), top_n: int | None = None,
+                       ranker: dict | None = None) -> tuple[Bundle, DataFrame]:
+    """Target, numbers, cleaning, split, ranking, scaling, oversampling, fit, and the result line.
+
+    With ``top_n`` the features are ranked by boosted trees on the training rows (``ranker``:
+    their size) and the leading ones are used. The split comes before oversampling unless
+    ``cfg.leaky`` is set.
+    """
+    data, classes, features, row_key = prepare_features(df, cfg, features, row_key)
     if cfg.leaky:
         scale = X.fit_scale(data, features)
         grown, _ = smote(X.apply_scale(data, scale), "target", features, cfg.smote_mode, cfg.seed, row_key)
@@ -328,22 +412,54 @@ def train_and_evaluate(df: DataFrame, cfg: TrainingConfig, features: Sequence[st
         marked = materialize(mark_split(data, "target", cfg.test, cfg.seed, row_key), "split")
         train, test = marked.filter(~F.col("is_test")), marked.filter("is_test")
         scale = X.fit_scale(train, features)
-        train, _ = smote(X.apply_scale(train, scale), "target", features, cfg.smote_mode, cfg.seed, row_key)
-        test = X.apply_scale(test, scale)
+        train, test = X.apply_scale(train, scale), X.apply_scale(test, scale)
+    if top_n is not None and top_n < len(features):
+        ranking = importance_table(df.sparkSession, rank_by_boosting(train, features, "target", cfg.seed, **(ranker or {})))
+        features = X.select_ranked(ranking, top_n)
+        scale = {f: scale[f] for f in features}
+    if not cfg.leaky:
+        train, _ = smote(train, "target", features, cfg.smote_mode, cfg.seed, row_key)
     makers = {
         "RF": lambda: random_forest(**{"trees": 200, "min_leaf": 1, "seed": cfg.seed, **cfg.params}),
         "DT": lambda: decision_tree(**{"seed": cfg.seed, **cfg.params}),
         "MLP": lambda: perceptron(len(features), len(classes), **{"seed": cfg.seed, **cfg.params}),
     }
     bundle = fit(train, makers[cfg.model](), features, "target", classes, meta=asdict(cfg))
+    # Scoring takes unscaled rows; the scale belongs to the model.
+    whole = Bundle(bundle.model, features, classes, scale, bundle.meta)
+    return whole, _test_result(bundle, test, cfg, False)
+
+
+def _test_result(bundle: Bundle, test: DataFrame, cfg: TrainingConfig, loaded: bool) -> DataFrame:
+    """Result line of a model on test rows that have a ``target``."""
     started = time.monotonic()
     scored = materialize(predict(test, bundle).select("target", "predicted", "probabilities"), "scored")
     elapsed = time.monotonic() - started
     coded = scored.withColumns({
-        "t": X.class_code(F.col("target"), classes), "p": X.class_code(F.col("predicted"), classes),
+        "t": X.class_code(F.col("target"), bundle.classes), "p": X.class_code(F.col("predicted"), bundle.classes),
     })
-    auc = (E.binary_auc if len(classes) == 2 else E.macro_auc)(coded, "t", "probabilities")
+    auc = (E.binary_auc if len(bundle.classes) == 2 else E.macro_auc)(coded, "t", "probabilities")
     metrics = E.global_metrics(E.confusion_pairs(coded, "t", "p"), auc)
-    result = E.result_row(metrics, cfg.model, bundle.meta["train_time_s"], elapsed, False, cfg.smote_mode)
-    # Scoring takes unscaled rows; the scale belongs to the model.
-    return Bundle(bundle.model, features, classes, scale, bundle.meta), result
+    return E.result_row(metrics, cfg.model, bundle.meta["train_time_s"], elapsed, loaded, cfg.smote_mode)
+
+
+def run_training(df: DataFrame, cfg: TrainingConfig, path: str, run: str, features: Sequence[str] | None = None,
+                 row_key: Sequence[str] | None = None, top_n: int | None = None, ranker: dict | None = None) -> DataFrame:
+    """One whole run: load the saved model of the run or train and save it; log and give its result line.
+
+    ``path`` holds the model, the model register and the result log. A model that is already
+    there is not trained again; it is evaluated on the same test rows.
+    """
+    spark, place = df.sparkSession, f"{path}/models/{run}"
+    if path_exists(spark, f"{place}/sidecar/_SUCCESS"):
+        bundle = load_model(spark, place)
+        data, _, _, key = prepare_features(df, cfg, bundle.features, row_key)
+        test = mark_split(data, "target", cfg.test, cfg.seed, key).filter("is_test")
+        result = _test_result(bundle, test, cfg, True)
+    else:
+        bundle, result = train_and_evaluate(df, cfg, features, row_key, top_n, ranker)
+        save_model(spark, bundle, place)
+        record_model(spark, f"{path}/register", run, place)
+    result = materialize(result, "result")
+    log_result(result, f"{path}/results", run)
+    return result

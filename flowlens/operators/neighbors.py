@@ -130,20 +130,20 @@ def _reached(tree: dict, names: np.ndarray, points: np.ndarray, own: np.ndarray,
     return out
 
 
-def build_cells(points: DataFrame, max_cell: int = 4096, budget: int = 200_000,
-                max_rounds: int = 64) -> tuple[Cells, DataFrame]:
+def build_cells(points: DataFrame, max_cell: int = 4096, budget: int = 200_000) -> tuple[Cells, DataFrame]:
     """Cells of at most ``max_cell`` points and the points with their cell.
 
-    Every round samples oversized cells, the largest first, and cuts them further. At
-    most ``budget`` sampled vectors reach the driver per round.
+    Every round samples oversized cells, the largest first, and cuts them further, until
+    none is left. At most ``budget`` sampled vectors reach the driver per round.
     """
     cells = Cells()
     for row in points.select("cls").distinct().collect():
         cells.root(row.cls)
-    for _ in range(max_rounds):
+    whole: set[int] = set()  # cells whose sample could not be cut
+    while True:
         located = _with_cell(points, cells)
         sizes = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        big = sizes.filter(F.col("n") > max_cell).orderBy(F.desc("n")).limit(budget // 64).collect()
+        big = sizes.filter((F.col("n") > max_cell) & ~F.col("cell").isin(list(whole))).orderBy(F.desc("n")).limit(budget // 64).collect()
         if not big:
             break
         size = {r.cell: r.n for r in big}
@@ -154,12 +154,12 @@ def build_cells(points: DataFrame, max_cell: int = 4096, budget: int = 200_000,
         drawn: dict[int, list] = {}
         for row in chosen.select("cell", "vec").toLocalIterator():
             drawn.setdefault(row.cell, []).append(row.vec)
-        before = len(cells.axis)
         for node, vectors in drawn.items():
             pieces = min(-(-2 * size[node] // max_cell), max(2, len(vectors) // 8))
+            before = len(cells.axis)
             cells.split(node, np.array(vectors), pieces)
-        if len(cells.axis) == before:
-            break
+            if len(cells.axis) == before:
+                whole.add(node)
     return cells, _with_cell(points, cells)
 
 

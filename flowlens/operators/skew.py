@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.common import quoted
-from flowlens.session import join_small
+from flowlens.session import join_small, small_table
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -136,6 +137,29 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: str, sums: dict[str,
     return out.drop("_slice", *[f"_off_{c}" for c in sums])
 
 
+def number_copies(df: DataFrame, name: str = "_copy", per_task: int = 100_000) -> DataFrame:
+    """Number each row among the rows that are equal to it in every column, from 0.
+
+    Only rows whose hash occurs twice take part in a shuffle. They are reduced to one row
+    and a count, map-side first, and written out again in chunks, so a row that is repeated
+    any number of times stays spread. Columns of maps are not compared.
+    """
+    whole = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    hashed = df.withColumn("_hash", F.xxhash64(*whole))
+    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
+    known = small_table(twice)
+    if known is not None and known.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    marked = hashed.join(twice if known is None else known, "_hash", "left_semi").drop("_hash")
+    single = hashed.join(twice if known is None else known, "_hash", "left_anti").drop("_hash")
+    counted = marked.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    parts = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(per_task).cast("bigint"))))
+    parts = parts.repartition(*[quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)], "_from")
+    upto = F.least(F.col("_from") + per_task, F.col("_n")) - 1
+    copies = parts.withColumn(name, F.explode(F.sequence("_from", upto))).drop("_n", "_from")
+    return single.withColumn(name, F.lit(0).cast("bigint")).unionByName(copies)
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], row_key: Sequence[str],
                 hot_rows: int = 1_000_000, salts: int = 64) -> DataFrame:
     """Inner join whose left side may have hot keys.

@@ -13,6 +13,8 @@ from flowlens.functions.times import latest
 from flowlens.operators import alerts as Q
 from flowlens.plans.registry import query
 from flowlens.plans.views import Tables, case_sql
+from flowlens.session import scratch_dir
+from flowlens.sources import sinks
 
 _AS_OF = "(SELECT max(timestamp) FROM alerts)"
 
@@ -375,3 +377,19 @@ SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS "Fecha", severity AS "Severid
 FROM alerts WHERE timestamp >= {_AS_OF} - INTERVAL 168 HOUR ORDER BY timestamp DESC, id LIMIT 1000""")
 def k8(t: Tables) -> DataFrame:
     return Q.report_rows(t.alerts(), "7d", _as_of(t), cap=1000)
+
+
+@query("k7_dashboard_summary", "alerts", f"""
+WITH s AS (SELECT severity, count(*) AS n FROM alerts WHERE timestamp >= {_AS_OF} - INTERVAL 24 HOUR GROUP BY 1),
+a AS (SELECT attack_type, count(*) AS n FROM alerts GROUP BY 1 ORDER BY n DESC, attack_type LIMIT 5)
+SELECT 'Resumen' AS "Sección", 'Generado' AS "Clave", '2017-07-07 12:00:00' AS "Valor" UNION ALL
+SELECT 'Resumen', 'Alertas Hoy', CAST(count(*) FILTER (timestamp >= date_trunc('day', {_AS_OF})) AS VARCHAR) FROM alerts UNION ALL
+SELECT 'Resumen', 'Alertas Totales', CAST(count(*) AS VARCHAR) FROM alerts UNION ALL
+SELECT 'Resumen', 'Última alerta', strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') FROM alerts UNION ALL
+SELECT 'Severidad', v.name, CAST(coalesce(s.n, 0) AS VARCHAR) FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) v(name) LEFT JOIN s ON s.severity = v.name
+UNION ALL SELECT 'Top Ataques', attack_type, CAST(n AS VARCHAR) FROM a""")
+def k7_dashboard(t: Tables) -> DataFrame:
+    metrics = Q.dashboard_metrics(t.alerts(), _as_of(t))
+    path = scratch_dir(t.spark, "dashboard")
+    sinks.export_dashboard_summary(metrics, datetime(2017, 7, 7, 12), path)
+    return t.spark.read.csv(path, header=True)

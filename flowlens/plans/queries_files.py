@@ -261,6 +261,22 @@ def v4(t: Tables) -> DataFrame:
     return good.select(*_CONVERTED_COLUMNS)
 
 
+@query("v4_unique_uids", "conn dirty", f"""
+WITH x AS (SELECT {TIME_MEANING_SQL} IS NOT NULL AND k NOT IN (11, 13) AS good FROM dirty)
+SELECT CAST(3 * count(*) AS BIGINT) AS n, CAST(3 * count(*) AS BIGINT) AS uids, count(*) AS same_next_time FROM x WHERE good""")
+def v4_uids(t: Tables) -> DataFrame:
+    """Flows of one minute that differ only in duration, and equal flows, have uids of their own."""
+    rows = t.raw_flows().drop("event_id").withColumn("Timestamp", F.when(F.col("Timestamp") != "garbage", F.lit("7/5/2017 9:30")).otherwise("?"))
+    longer = rows.withColumn("Flow Duration", (F.col("Flow Duration").cast("bigint") + 1).cast("string"))
+    ends = {c: F.when(F.col(c).isin("", "n/a"), F.col(c)).otherwise("1") for c in ("Source Port",)}
+    one, _ = checks.convert_cic_to_conn(rows.withColumns(ends).unionByName(rows.withColumns(ends)).unionByName(longer.withColumns(ends)), "lab")
+    again, _ = checks.convert_cic_to_conn(rows, "lab")
+    repeat, _ = checks.convert_cic_to_conn(rows, "lab")
+    same = again.select("uid").join(repeat.select("uid"), "uid").agg(F.count(F.lit(1)).alias("same_next_time"))
+    both = one.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("uids")).unionByName(same, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("n", "uids", "same_next_time")])
+
+
 # --- writers -----------------------------------------------------------------------------
 
 

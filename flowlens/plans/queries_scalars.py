@@ -11,13 +11,16 @@ from flowlens.functions import labels as L
 from flowlens.functions import numbers as N
 from flowlens.functions import times as TM
 from flowlens.operators import features as X
+from flowlens.operators import models as M
 from flowlens.plans.registry import query
 from flowlens.plans.views import (
     FLOW_ID_SQL,
     TIME_MEANING_SQL,
     Tables,
     case_sql,
+    with_scores,
 )
+from flowlens.sources import checks
 
 _TRIMMED = "trim(num_text)"
 _AS_NUMBER = f"""CASE WHEN {_TRIMMED} = '-inf' THEN CAST('-inf' AS DOUBLE)
@@ -180,12 +183,15 @@ SELECT event_id, printf('%.6f', floor(duration * CAST(1000000 AS DOUBLE)) / CAST
   CASE WHEN resp_pkts = 0 AND resp_bytes = 0 THEN 'S0' ELSE 'SF' END AS conn_state,
   CASE WHEN proto = 'tcp' THEN 'S' ELSE '-' END AS history FROM conn""")
 def f16(t: Tables) -> DataFrame:
-    micros = F.floor(F.col("duration") * F.lit(1e6))
-    silent = (F.col("resp_pkts") == 0) & (F.col("resp_bytes") == 0)
-    return t.conn().select(
-        "event_id", F.format_string("%.6f", micros / F.lit(1e6)).alias("duration"),
-        F.when(silent, "S0").otherwise("SF").alias("conn_state"),
-        F.when(F.col("proto") == "tcp", "S").otherwise("-").alias("history"))
+    raw = t.conn().select(
+        F.col("event_id").cast("string").alias("Flow ID"), F.col("id_orig_h").alias("Source IP"), F.lit("1").alias("Source Port"),
+        F.col("id_resp_h").alias("Destination IP"), F.lit("2").alias("Destination Port"), F.col("proto").alias("Protocol"),
+        F.lit("2017-07-05 09:00:00").alias("Timestamp"), F.floor(F.col("duration") * F.lit(1e6)).cast("string").alias("Flow Duration"),
+        F.lit("1").alias("Total Fwd Packets"), F.col("resp_pkts").cast("string").alias("Total Backward Packets"),
+        F.lit("1").alias("Total Length of Fwd Packets"), F.col("resp_bytes").cast("string").alias("Total Length of Bwd Packets"),
+        F.col("label").alias("Label"))
+    rows, _ = checks.convert_cic_to_conn(raw, "lab")
+    return rows.select(F.col("flow_id").cast("bigint").alias("event_id"), "duration", "conn_state", "history")
 
 
 @query("f17_hashed_uid", "conn", """
@@ -332,15 +338,14 @@ def f31(t: Tables) -> DataFrame:
 
 
 @query("f32_flag_counts", "conn", """
-SELECT event_id, CAST(length(regexp_replace(history, '[^Ss]', '', 'g')) AS INTEGER) AS syn,
-  CAST(length(regexp_replace(history, '[^Pp]', '', 'g')) AS INTEGER) AS psh,
-  CAST(length(regexp_replace(history, '[^P]', '', 'g')) AS INTEGER) AS fwd_psh,
-  CAST(length(regexp_replace(history, '[^u]', '', 'g')) AS INTEGER) AS bwd_urg FROM conn""")
+SELECT event_id, CAST(length(regexp_replace(history, '[^Ss]', '', 'g')) AS DOUBLE) AS syn,
+  CAST(length(regexp_replace(history, '[^Pp]', '', 'g')) AS DOUBLE) AS psh,
+  CAST(length(regexp_replace(history, '[^P]', '', 'g')) AS DOUBLE) AS fwd_psh,
+  CAST(length(regexp_replace(history, '[^u]', '', 'g')) AS DOUBLE) AS bwd_urg FROM conn""")
 def f32(t: Tables) -> DataFrame:
-    def flags(letters: str, name: str):
-        return F.regexp_count("history", F.lit(f"[{letters}]")).alias(name)
-
-    return t.conn().select("event_id", flags("Ss", "syn"), flags("Pp", "psh"), flags("P", "fwd_psh"), flags("u", "bwd_urg"))
+    names = {"SYN Flag Count": "syn", "PSH Flag Count": "psh", "Fwd PSH Flags": "fwd_psh", "Bwd URG Flags": "bwd_urg"}
+    rows = X.cic_features78(t.conn(), keep=["event_id"])
+    return rows.select("event_id", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
 
 
 @query("f33_format_bytes", "conn", """
@@ -354,18 +359,19 @@ def f33(t: Tables) -> DataFrame:
     return t.conn().select("event_id", N.format_bytes(n).alias("size"), N.format_date("ts").alias("shown"))
 
 
-@query("f34_alert_identity", "conn", """
-SELECT event_id, 'ZEEK-' || uid AS conn_rule, 'Zeek ' || label AS conn_name, 'FEATURE-' || uid AS feature_rule,
-  'FeatureDataset ' || label AS feature_name, id_orig_h AS src_ip, id_orig_p AS src_port FROM conn""")
+_CLASS_SQL = "list_extract([" + ", ".join(f"'{c}'" for c in S.CLASS_NAMES) + "], y_pred + 1)"
+
+
+@query("f34_alert_identity", "conn scored", f"""
+SELECT kind, prefix || uid AS rule_id, name || {_CLASS_SQL} AS rule_name, id_orig_h AS src_ip, id_orig_p AS src_port
+FROM conn JOIN scored USING (event_id), (VALUES ('conn', 'ZEEK-', 'Zeek '), ('features', 'FEATURE-', 'FeatureDataset ')) v(kind, prefix, name)""")
 def f34(t: Tables) -> DataFrame:
-    text = F.coalesce(F.col("uid"), F.lit("NA"))
-    return t.conn().select(
-        "event_id", F.concat(F.lit("ZEEK-"), text).alias("conn_rule"),
-        F.concat(F.lit("Zeek "), F.col("label")).alias("conn_name"),
-        F.concat(F.lit("FEATURE-"), text).alias("feature_rule"),
-        F.concat(F.lit("FeatureDataset "), F.col("label")).alias("feature_name"),
-        F.coalesce("id_orig_h", F.lit("0.0.0.0")).alias("src_ip"),
-        F.coalesce("id_orig_p", F.lit(0)).alias("src_port"))
+    conn = with_scores(t.conn())
+    flows = conn.select("probabilities", F.col("uid").alias("Flow ID"), F.col("id_orig_h").alias("Source IP"),
+                        F.col("id_orig_p").alias("Source Port"), F.col("ts").alias("Timestamp"), F.lit(0.0).alias("duration"))
+    parts = [M.to_alerts(df, ["duration"], kind).select(F.lit(kind).alias("kind"), "rule_id", "rule_name", "src_ip", "src_port")
+             for kind, df in (("conn", conn), ("features", flows))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("f35_original_label", "dirty", "SELECT event_id, label_text AS original_label FROM dirty")

@@ -49,6 +49,41 @@ def case_sql(table: dict, expr: str, default: str = "NULL") -> str:
     return f"CASE {expr} {arms} ELSE {default} END"
 
 
+def _turn(options: list[Column]) -> Column:
+    """One of the columns by event number, in turn."""
+    out = options[-1]
+    for i, option in enumerate(options[:-1]):
+        out = F.when(F.col("event_id") % len(options) == i, option).otherwise(out)
+    return out
+
+
+def _time_text() -> Column:
+    """The time in one of eight spellings."""
+    return _turn([
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        F.date_format("ts", "M/d/yyyy H:mm"),
+        F.date_format("ts", "MM/dd/yyyy HH:mm:ss"),
+        F.date_format("ts", "MM/dd/yyyy hh:mm:ss a"),
+        F.unix_seconds("ts").cast("string"),
+        F.lit("garbage"),
+        F.date_format("ts", "yyyy-MM-dd"),
+    ])
+
+
+def with_scores(df: DataFrame) -> DataFrame:
+    """Add true and predicted class and a probability array to rows with event number and k."""
+    n, k = F.col("event_id"), F.col("k")
+    truth = (n % 6).cast("int")
+    wrong = ((truth + 1) % 6).cast("int")
+    rows = df.withColumns({"y_true": truth, "y_pred": F.when(k < 80, truth).otherwise(wrong)})
+    # Graded probabilities: ties and many distinct values both occur.
+    half, grade = F.lit(0.5), k / F.lit(400.0)
+    return rows.withColumn("probabilities", F.array(*[
+        F.when(F.col("y_pred") == i, half + grade).otherwise((half - grade) / F.lit(5.0)) for i in range(6)
+    ]))
+
+
 class Tables:
     """The test tables of one folder and the views over them."""
 
@@ -147,18 +182,7 @@ class Tables:
 
     def scored(self) -> DataFrame:
         """True and predicted class with a probability array."""
-        n, k = F.col("event_id"), F.col("k")
-        truth = (n % 6).cast("int")
-        wrong = ((truth + 1) % 6).cast("int")
-        rows = self.events().select(
-            n, k, truth.alias("y_true"), F.when(k < 80, truth).otherwise(wrong).alias("y_pred")
-        )
-        # Graded probabilities: ties and many distinct values both occur.
-        half, grade = F.lit(0.5), F.col("k") / F.lit(400.0)
-        p = F.array(*[
-            F.when(F.col("y_pred") == i, half + grade).otherwise((half - grade) / F.lit(5.0)) for i in range(6)
-        ])
-        return rows.withColumn("probabilities", p)
+        return with_scores(self.events().select("event_id", "k"))
 
     def dirty(self) -> DataFrame:
         """Text columns as met in files."""
@@ -169,25 +193,8 @@ class Tables:
             F.concat(F.lit("1,"), F.lpad(k.cast("string"), 3, "0"), F.lit(".5")),
             F.lit("NaN"), F.lit(""), F.lit("-inf"), F.concat(F.lit("x"), v), v,
         ]
-        time = [
-            F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-            F.date_format("ts", "M/d/yyyy H:mm"),
-            F.date_format("ts", "MM/dd/yyyy HH:mm:ss"),
-            F.date_format("ts", "MM/dd/yyyy hh:mm:ss a"),
-            F.unix_seconds("ts").cast("string"),
-            F.lit("garbage"),
-            F.date_format("ts", "yyyy-MM-dd"),
-        ]
-
-        def turn(options: list[Column]) -> Column:
-            out = options[-1]
-            for i, option in enumerate(options[:-1]):
-                out = F.when(n % len(options) == i, option).otherwise(out)
-            return out
-
         return self.events().select(
-            n, k, "ts", "value", turn(number).alias("num_text"), turn(time).alias("ts_text"),
+            n, k, "ts", "value", _turn(number).alias("num_text"), _time_text().alias("ts_text"),
             pick(PROTO_TEXTS, n).alias("proto_text"), pick(LABEL_TEXTS, n).alias("label_text"),
             pick(KDD_TEXTS, n).alias("kdd_text"), pick(ATTACK_TEXTS, n).alias("attack_text"),
         )
@@ -195,7 +202,7 @@ class Tables:
     def raw_flows(self) -> DataFrame:
         """Flow rows as in the raw files: text columns, some unusable."""
         n = F.col("event_id")
-        flows = self.conn().join(self.dirty().select("event_id", "ts_text", "label_text"), "event_id")
+        flows = self.conn().withColumns({"ts_text": _time_text(), "label_text": pick(LABEL_TEXTS, n)})
         return flows.select(
             n,
             L.flow_id("id_orig_h", "id_resp_h", "id_orig_p", "id_resp_p", "proto").alias("Flow ID"),
@@ -213,12 +220,6 @@ class Tables:
             F.col("label_text").alias("Label"),
         )
 
-    def vectors(self) -> DataFrame:
-        return self.table("embeddings").select(
-            F.col("vec_id").cast("string").alias("uid"), F.col("label").cast("string").alias("label"),
-            F.col("embedding").cast("array<double>").alias("vec"),
-        )
-
 
 # --- SQL twins of the views ------------------------------------------------------
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
@@ -12,6 +12,7 @@ from flowlens.functions import labels as L
 from flowlens.functions.alerts import first_present
 from flowlens.functions.numbers import parse_number, safe_double, safe_int
 from flowlens.functions.times import epoch_seconds, parse_ts
+from flowlens.operators.skew import number_copies
 from flowlens.sources.files import clean_name
 
 
@@ -59,21 +60,27 @@ def preview(df: DataFrame, n: int = 5) -> tuple[list[str], DataFrame]:
     return df.columns, df.limit(n)
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once: filters and later uses do not repeat a generator."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def staged_flows(df: DataFrame) -> DataFrame:
     """Add the logical flow columns as text (``_src_ip`` ...), the parsed time and ports,
     and why a row cannot be converted. Parsed once, used by all later steps."""
     missing = missing_flow_columns(df.columns)
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    texts = {f"_{k}": first_present(df, names) for k, names in S.FLOW_COLUMNS.items()}
-    parsed = df.withColumns(texts).withColumns({
+    texts = _computed(df, {f"_{k}": first_present(df, names) for k, names in S.FLOW_COLUMNS.items()})
+    blank = F.lit(False)
+    for name in ("_src_ip", "_dst_ip", "_src_port", "_dst_port"):
+        blank = blank | (F.col(name) == "")
+    parsed = _computed(texts, {
         "_time": parse_ts("_timestamp"),
         "_sport": parse_number("_src_port").try_cast("int"),
         "_dport": parse_number("_dst_port").try_cast("int"),
     })
-    blank = F.lit(False)
-    for name in ("_src_ip", "_dst_ip", "_src_port", "_dst_port"):
-        blank = blank | (F.col(name) == "")
     reason = (
         F.when(F.col("_time").isNull(), "timestamp")
         .when(blank, "endpoint")
@@ -97,12 +104,17 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def convert_cic_to_conn(df: DataFrame, dataset_name: str) -> tuple[DataFrame, DataFrame]:
     """Flow rows to conn rows (text columns as in the file format) and the rejected rows."""
-    staged = staged_flows(df)
-    return conn_rows(staged, dataset_name), staged.filter("reject_reason is not null").drop(*_STAGED)
+    staged = staged_flows(number_copies(df))
+    rejected = staged.filter("reject_reason is not null").drop("_copy", *_STAGED)
+    return conn_rows(staged, dataset_name, df.columns), rejected
 
 
-def conn_rows(staged: DataFrame, dataset_name: str) -> DataFrame:
-    """Conn rows of the staged flow rows that can be converted."""
+def conn_rows(staged: DataFrame, dataset_name: str, raw: Sequence[str]) -> DataFrame:
+    """Conn rows of the staged flow rows that can be converted.
+
+    The ``uid`` is a hash of the ``raw`` columns and of the number of the row among equal
+    ones: unique, and the same on every run.
+    """
     good = staged.filter("reject_reason is null")
     source = F.col("source_file") if "source_file" in good.columns else F.lit("")
     good = good.withColumns({
@@ -118,7 +130,7 @@ def conn_rows(staged: DataFrame, dataset_name: str) -> DataFrame:
     duration = safe_double("_flow_duration", 0.0, "clean") / F.lit(1e6)
     columns = {
         "ts": F.col("_ts"),
-        "uid": L.hashed_uid("_ts", "_src_ip", "_sport", "_dst_ip", "_dport", "_flow_id", source),
+        "uid": L.row_uid(list(raw), F.col("_copy")),
         "id_orig_h": F.col("_src_ip"),
         "id_orig_p": F.col("_sport").cast("string"),
         "id_resp_h": F.col("_dst_ip"),
@@ -143,6 +155,6 @@ def conn_rows(staged: DataFrame, dataset_name: str) -> DataFrame:
         "cicids_attack": F.col("_class.class"),
         "flow_id": F.col("_flow_id"),
         "source_file": source,
-        "dataset_name": F.lit(dataset_name[:50]),
+        "dataset_name": F.lit(dataset_name),
     }
     return good.select(*[c.alias(n) for n, c in columns.items()])

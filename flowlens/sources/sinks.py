@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
@@ -13,6 +14,7 @@ from flowlens.functions.common import quoted
 from flowlens.operators.alerts import AlertFilters, filter_alerts, sort_alerts
 from flowlens.operators.features import conn_features
 from flowlens.operators.sampling import sample_per_class
+from flowlens.operators.skew import number_copies
 from flowlens.sources.checks import conn_rows, staged_flows
 
 # Quotes inside a quoted cell are doubled and blanks around values are kept.
@@ -63,19 +65,26 @@ def with_header_lines(df: DataFrame, header: str, value: Column) -> DataFrame:
     )
 
 
+def _write_lines(lines: DataFrame, header: str, path: str) -> None:
+    """Write text lines; a table without rows still gets a file with the header."""
+    lines.write.text(path)
+    if lines.sparkSession.read.text(path).isEmpty():
+        lines.sparkSession.createDataFrame([(header,)], "value string").write.mode("append").text(path)
+
+
 def write_conn_csv(df: DataFrame, path: str) -> None:
     """Conn rows as CSV with a ``#fields`` header in every part file."""
     columns = [c for c in S.CONN_COLUMNS if c.replace(".", "_") in df.columns]
     row = F.struct(*[quoted(c.replace(".", "_")).cast("string").alias(c) for c in columns])
     header = ",".join(["#fields", *columns])
-    with_header_lines(df, header, F.to_csv(row, _CSV_TEXT)).write.text(path)
+    _write_lines(with_header_lines(df, header, F.to_csv(row, _CSV_TEXT)), header, path)
 
 
 def write_zeek_log(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Rows as a tab-separated log with a ``#fields`` line in every part file."""
     cells = [F.coalesce(quoted(c.replace(".", "_")).cast("string"), F.lit("-")) for c in columns]
     header = "#separator \\x09\n" + "\t".join(["#fields", *columns])
-    with_header_lines(df, header, F.concat_ws("\t", *cells)).write.text(path)
+    _write_lines(with_header_lines(df, header, F.concat_ws("\t", *cells)), header, path)
 
 
 def convert_and_write(df: DataFrame, path: str, dataset_name: str) -> dict[str, int]:
@@ -86,9 +95,9 @@ def convert_and_write(df: DataFrame, path: str, dataset_name: str) -> dict[str,
     seen = Observation()
     wrong = F.count_if(F.col("reject_reason").isNotNull())
     total = F.count(F.lit(1))
-    staged = staged_flows(df).observe(
+    staged = staged_flows(number_copies(df)).observe(
         seen, (total - wrong).alias("written"), wrong.alias("skipped"), total.alias("input"))
-    write_conn_csv(conn_rows(staged, dataset_name), path)
+    write_conn_csv(conn_rows(staged, dataset_name, df.columns), path)
     return seen.get
 
 
@@ -112,6 +121,40 @@ def export_alert_ready(df: DataFrame, path: str, mapped: bool = False) -> None:
     alert_ready(df, mapped).write.options(**_CSV).csv(path)
 
 
+def dashboard_summary(metrics: DataFrame, generated: datetime) -> DataFrame:
+    """Dashboard summary as exported: section, key, text value, and the order of the lines.
+
+    ``metrics`` is the long form of ``dashboard_metrics``: a few rows per section. Attacks
+    are cut to the five most frequent.
+    """
+    section, key, value = F.col("section"), F.col("key"), F.col("value")
+    latest = F.when(value.isNull() | (value == 0), F.lit("Sin registros")).otherwise(
+        F.date_format(F.timestamp_micros(value), "yyyy-MM-dd HH:mm:ss"))
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("value"), "key"))
+    rows = metrics.filter(section.isin("total", "severity_24h", "attack")).withColumn("_r", rank)
+    rows = rows.filter((section != "attack") | (F.col("_r") <= 5))
+    total = section == "total"
+    title = F.when(total & (key == "today"), "Alertas Hoy").when(total & (key == "alerts"), "Alertas Totales").when(total, "Última alerta")
+    severity = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(S.SEVERITIES) for x in (n, i)]), key)
+    place = F.when(total, F.when(key == "today", 1).when(key == "alerts", 2).otherwise(3)).when(
+        section == "severity_24h", 4 + severity).otherwise(10 + F.col("_r"))
+    shown = rows.select(
+        F.when(total, "Resumen").when(section == "severity_24h", "Severidad").otherwise("Top Ataques").alias("section"),
+        F.coalesce(title, key).alias("key"), F.when(total & (key == "latest"), latest).otherwise(value.cast("string")).alias("value"),
+        place.cast("int").alias("line"))
+    head = metrics.sparkSession.range(1, numPartitions=1).select(
+        F.lit("Resumen").alias("section"), F.lit("Generado").alias("key"),
+        F.date_format(F.lit(generated), "yyyy-MM-dd HH:mm:ss").alias("value"), F.lit(0).alias("line"))
+    return head.unionByName(shown).orderBy("line")
+
+
+def export_dashboard_summary(metrics: DataFrame, generated: datetime, path: str) -> None:
+    """The dashboard summary as a CSV in which every cell is quoted."""
+    names = {"section": "Sección", "key": "Clave", "value": "Valor"}
+    rows = dashboard_summary(metrics, generated).select(*[F.col(c).alias(n) for c, n in names.items()])
+    rows.coalesce(1).write.mode("overwrite").options(**_CSV, quoteAll="true").csv(path)
+
+
 def labeled_rows(df: DataFrame) -> DataFrame:
     """Labelled rows without exact duplicates."""
     return df.dropDuplicates()
@@ -123,10 +166,6 @@ def ml_rows(df: DataFrame) -> DataFrame:
     return labeled_rows(df).select(*base)
 
 
-def export_labeled(df: DataFrame, path: str) -> None:
-    labeled_rows(df).write.options(**_CSV).csv(path)
-
-
 def export_ml(df: DataFrame, path: str) -> None:
     ml_rows(df).write.options(**_CSV).csv(path)
 

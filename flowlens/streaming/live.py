@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from flowlens.operators.alerts import sort_order
 from flowlens.operators.features import conn_features
-from flowlens.operators.models import Bundle, score_to_alerts
+from flowlens.operators.models import Bundle, keep_raw, score_to_alerts
 from flowlens.schemas import ALERT_SCHEMA
 from flowlens.sources.logs import parse_zeek_lines
 
@@ -59,10 +60,16 @@ def last_page(spark: SparkSession, path: str) -> DataFrame:
 
 
 def score_stream(spark: SparkSession, path: str, columns: Sequence[str], bundle: Bundle,
-                 mode: str = "serve", max_files: int = 1000) -> DataFrame:
-    """Alerts of the rows of new log files. Files are complete when they appear."""
+                 mode: str = "serve", max_files: int = 1000, since: datetime | None = None) -> DataFrame:
+    """Alerts of the rows of new log files. Files are complete when they appear.
+
+    With ``since``, files last changed before that instant are skipped: only what is new
+    from then on is scored.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    rows = conn_features(parse_zeek_lines(lines, columns), mode)
+    if since is not None:
+        lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(since)).select("value")
+    rows = conn_features(keep_raw(parse_zeek_lines(lines, columns)), mode)
     return score_to_alerts(rows, bundle, "conn")
 
 

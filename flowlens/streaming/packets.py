@@ -35,25 +35,53 @@ class FlowSink:
 
     A micro-batch is reduced to one row per flow by the batch operator (hot flows are
     spread over many tasks), merged with the open flows, and flows without packets for
-    ``idle_seconds`` are written out as closed. State and output are folders numbered by
-    batch: a repeated batch rewrites its own folders. Packets of a flow are expected in
-    time order across batches, as a sensor delivers them.
+    ``idle_seconds`` before the clock are written out as closed.
+
+    The clock is the newest packet time that is at most ``ahead_seconds`` beyond the clock of
+    the batch before. Packets dated farther ahead stay with their flow but do not move it,
+    so a wrong date closes nothing; when a whole batch lies beyond, the clock moves to its
+    first packet. Packets may come late: they join their flow while it is open. Those that
+    come after it was closed are a record of their own.
+
+    State, clock and output are folders numbered by batch: a repeated batch rewrites its own
+    folders.
     """
 
-    def __init__(self, path: str, idle_seconds: float) -> None:
+    def __init__(self, path: str, idle_seconds: float, ahead_seconds: float | None = None) -> None:
         self.path, self.idle = path, idle_seconds
+        self.ahead = idle_seconds if ahead_seconds is None else ahead_seconds
+
+    def _clock(self, sums: DataFrame, number: int) -> int | None:
+        """Clock after a batch, in microseconds."""
+        last, first = F.unix_micros("_last"), F.unix_micros("_first")
+        before = None
+        if number > 0:
+            before = sums.sparkSession.read.parquet(f"{self.path}/clock/batch={number - 1}").first()["micros"]
+        if before is None:
+            # Nothing is known yet: the earliest packet starts the clock.
+            before = sums.agg(F.min(first)).first()[0]
+        if before is None:
+            return None
+        limit = F.lit(before + int(self.ahead * 1e6))
+        newest, start = sums.agg(F.max(F.when(last <= limit, last)), F.min(first)).first()
+        return max(before, newest if newest is not None else start or before)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         sums = flow_sums(batch)
+        fresh = f"{self.path}/fresh/batch={number}"
+        sums.write.mode("overwrite").parquet(fresh)
+        sums = spark.read.schema(sums.schema).parquet(fresh)
+        clock = self._clock(sums, number)
+        spark.createDataFrame([(clock,)], "micros bigint").write.mode("overwrite").parquet(f"{self.path}/clock/batch={number}")
+        merged = sums
         if number > 0:
             opened = spark.read.schema(sums.schema).parquet(f"{self.path}/open/batch={number - 1}")
-            sums = merge_sums(sums.unionByName(opened))
+            merged = merge_sums(sums.unionByName(opened))
         work = f"{self.path}/merged/batch={number}"
-        sums.write.mode("overwrite").parquet(work)
+        merged.write.mode("overwrite").parquet(work)
         merged = spark.read.schema(sums.schema).parquet(work)
-        newest = merged.agg(F.max("_last")).first()[0]
-        limit = F.unix_micros(F.lit(newest).cast("timestamp")) - F.lit(int(self.idle * 1e6))
+        limit = F.lit(None if clock is None else clock - int(self.idle * 1e6)).cast("bigint")
         done = F.coalesce(F.unix_micros("_last") < limit, F.lit(False))
         merged.filter(~done).write.mode("overwrite").parquet(f"{self.path}/open/batch={number}")
         flow_record(merged.filter(done)).write.mode("overwrite").parquet(f"{self.path}/closed/batch={number}")

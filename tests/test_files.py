@@ -184,3 +184,13 @@ def test_empty_files_have_no_rows(spark, tmp_path):
     assert [r.x for r in files.read_ragged(spark, [a, b]).collect()] == ["1"]
     with pytest.raises(FileNotFoundError):
         files.read_ragged(spark, b)
+
+
+def test_conversion_without_rows_can_be_read(spark, tmp_path):
+    from flowlens.schemas import FLOW_COLUMNS
+
+    columns = [names[0] for names in FLOW_COLUMNS.values()]
+    rows = spark.createDataFrame([tuple("?" for _ in columns)], columns)
+    counts = sinks.convert_and_write(rows, str(tmp_path / "out"), "a name of more than fifty characters that is kept as it is")
+    assert counts["written"] == 0 and counts["input"] == 1
+    assert logs.read_conn_csv(spark, str(tmp_path / "out")).count() == 0

@@ -177,3 +177,42 @@ def test_repeated_batch_gives_the_same_page(spark):
     for _ in range(2):
         sink(df, 1)
     assert live.last_page(spark, out).count() == 3
+
+
+def test_a_wrong_date_closes_no_flow(spark):
+    out = scratch_dir(spark, "early")
+    sink = packets.FlowSink(out, idle_seconds=60)
+    day = dt.datetime(2024, 5, 1, 10)
+
+    def batch(*rows):
+        return spark.createDataFrame([(u, t, True, "A", 10) for u, t in rows], packets.PACKET_SCHEMA)
+
+    sink(batch(("a", day), ("b", day + dt.timedelta(seconds=5))), 0)
+    sink(batch(("x", day + dt.timedelta(days=400)), ("a", day + dt.timedelta(seconds=20))), 1)
+    # A late packet joins its flow while that is open.
+    sink(batch(("a", day + dt.timedelta(seconds=10)), ("b", day + dt.timedelta(seconds=30))), 2)
+    sink(batch(("c", day + dt.timedelta(seconds=85)),), 3)
+    sink(batch(("c", day + dt.timedelta(seconds=140)),), 4)
+    got = {(r.uid, r.total_fwd_pkts) for r in sink.flows(spark, 4).collect()}
+    assert got == {("a", 3), ("b", 2), ("x", 1), ("c", 2)}
+    closed = spark.read.parquet(f"{out}/closed").select("uid").collect()
+    assert {r.uid for r in closed} == {"a", "b"}
+
+
+def test_only_files_after_an_instant_are_scored(spark, training, tmp_path):
+    bundle = M.train_dt(training, S.CONN_FEATURES, "cls", S.CLASS_NAMES, depth=3)
+    columns = ["ts", "uid", "duration", "resp_bytes"]
+    for name, age in (("old", 3600), ("new", 0)):
+        file = tmp_path / f"{name}.log"
+        file.write_text(f"1.5\t{name}\t2.5\t-\n")
+        stamp = dt.datetime.now().timestamp() - age
+        __import__("os").utime(file, (stamp, stamp))
+    since = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(minutes=5)
+    out = scratch_dir(spark, "since")
+    stream = live.score_stream(spark, str(tmp_path), columns, bundle, since=since)
+    live.start(stream, live.batch_writer(out), scratch_dir(spark, "checkpoint")).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert [r.rule_id for r in rows] == ["ZEEK-new"]
+    # The raw row is kept as it was read.
+    raw = spark.read.parquet(out).select(A.meta_field("meta", "zeek_conn.resp_bytes").alias("b"), A.meta_field("meta", "zeek_conn.duration").alias("d")).first()
+    assert (raw.b, raw.d) == ("-", "2.5")

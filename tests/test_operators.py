@@ -271,3 +271,72 @@ def test_packets_to_flows(spark):
                                  "uid string, start_ts timestamp, duration double, id_orig_h string, id_orig_p int, id_resp_h string, id_resp_p int")
     joined = flows.packets_to_flows(df, conn).collect()
     assert len(joined) == 1 and (joined[0].duration, joined[0].idle_min, joined[0].dst_port) == (800.0, 1.0, 443)
+
+
+def _walk(df, filters):
+    """All pages of a table, each read after the one before."""
+    after, ids = None, []
+    for _ in range(100):
+        page = Q.page_after(df, filters, after)
+        rows = page.collect()
+        if not rows:
+            return ids
+        ids += [r.n for r in rows]
+        after = Q.next_page_key(page, filters, after)
+    raise AssertionError("the walk does not end")
+
+
+def test_page_walk_loses_no_row(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 9 == 0 else day + dt.timedelta(days=i % 3), None if i % 11 == 0 else f"id{i % 4}", ["Low", "High", "Critical"][i % 3],
+             None if i % 5 == 0 else (i % 4) / 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "n int, timestamp timestamp, id string, severity string, model_score double")
+    for key in ("timestamp", "-timestamp", "severity", "-severity", "model_score", "-model_score"):
+        for size in (2, 7):
+            walked = _walk(df, Q.AlertFilters(page_size=size, sort=key))
+            assert sorted(walked) == list(range(60)), (key, size)
+
+
+def test_means_leave_missing_scores_out(spark, alerts):
+    half = alerts.limit(4).withColumn("model_score", F.when(F.monotonically_increasing_id() % 2 == 0, 1.0))
+    as_of = half.agg(F.max("timestamp")).first()[0]
+    total = Q.model_performance(half, as_of, 168).filter("section = 'total'").first()
+    assert total["avg_model_score"] == 1.0
+    report = {(r.section, r.key): r.value for r in Q.reports_summary(half).collect()}
+    assert report["total", "average_score"] == 1.0 and report["total", "alerts"] == 4.0
+
+
+def test_reports_of_an_empty_table_are_zeros(spark, alerts):
+    from flowlens.functions.times import latest
+
+    none = alerts.limit(0)
+    as_of = latest(none)
+    assert all(r.value == 0 for r in Q.metrics_overview(none, as_of).collect())
+    assert Q.model_performance(none, as_of).first()["count"] == 0
+    assert {r["count"] for r in Q.hourly_series(none, as_of).collect()} == {0}
+    assert all(not r.value for r in Q.dashboard_metrics(none, as_of).collect())
+
+
+def test_auc_is_null_for_scores_that_are_no_numbers(spark):
+    rows = [(0, [0.9, 0.1]), (1, [0.2, float("nan")]), (1, [0.3, 0.8]), (0, [0.8, 0.3])]
+    df = spark.createDataFrame(rows, "t int, p array<double>")
+    aucs = {r["class"]: r.auc for r in E.class_auc(df, "t", "p").collect()}
+    assert aucs == {0: 1.0, 1: None}
+    assert E.macro_auc(df, "t", "p").first().auc is None
+
+
+def test_pairs_are_read_once(spark):
+    rows = spark.createDataFrame([(0, 0), (1, 0)], "t int, p int")
+    pairs = E.confusion_pairs(rows, "t", "p")
+    for df in (E.global_rows(E.per_class(pairs)), E.class_report(pairs), E.global_metrics(pairs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("LogicalQueryStage") == 1 and "Join" not in plan
+
+
+def test_copies_of_rows_get_numbers(spark):
+    from flowlens.operators.skew import number_copies
+
+    df = spark.createDataFrame([("a", 1)] * 25 + [("a", None), ("a", None), ("b", 2)], "x string, y int")
+    got = sorted((r.x, r.y or 0, r["_copy"]) for r in number_copies(df, per_task=4).collect())
+    assert got == sorted([("a", 1, i) for i in range(25)] + [("a", 0, 0), ("a", 0, 1), ("b", 2, 0)])
+    assert number_copies(df.filter("y = 2")).collect()[0]["_copy"] == 0
