@@ -11,7 +11,7 @@ from flowlens import schemas as S
 from flowlens.functions import labels as L
 from flowlens.functions.common import quoted, strip
 from flowlens.operators.features import column_named
-from flowlens.operators.skew import spread_join
+from flowlens.operators.skew import repeated, spread_join
 
 
 def with_flow_id(df: DataFrame, name: str = "flow_id") -> DataFrame:
@@ -21,7 +21,7 @@ def with_flow_id(df: DataFrame, name: str = "flow_id") -> DataFrame:
 
 
 def label_by_flow(conn: DataFrame, flows: DataFrame, by_day: bool = False, expand: bool = False,
-                  row_key: Sequence[str] = ("uid",), hot_rows: int = 1_000_000) -> DataFrame:
+                  row_key: Sequence[str] = ("uid",), hot_rows: int | None = None) -> DataFrame:
     """Label connections by flow id (and day).
 
     ``conn`` has ``flow_id`` (and ``day``); ``flows`` has ``flow_id``, ``Label`` (and
@@ -29,15 +29,17 @@ def label_by_flow(conn: DataFrame, flows: DataFrame, by_day: bool = False, expan
     one row per flow id and label first, and the number of matching flow rows is kept in
     ``n_matches``: one output row per connection and label instead of every pair.
     ``expand`` repeats the rows ``n_matches`` times, as a plain join would.
+
+    The flow side has few rows a key, so Spark splits a hot key of the other side at run
+    time. ``hot_rows`` salts such keys by hand, for clusters without adaptive execution.
     """
     keys = ["day", "flow_id"] if by_day else ["flow_id"]
     flows = flows.select(*keys, "Label").withColumn("flow_id", strip("flow_id"))
     labels = flows.groupBy(*keys, "Label").agg(F.count(F.lit(1)).alias("n_matches"))
-    joined = spread_join(conn, labels, keys, row_key, hot_rows=hot_rows)
+    joined = conn.join(labels, keys) if hot_rows is None else spread_join(conn, labels, keys, row_key, hot_rows=hot_rows)
     if not expand:
         return joined
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_matches")))
-    return joined.withColumn("_copy", copies).drop("_copy", "n_matches")
+    return repeated(joined, F.col("n_matches")).drop("n_matches")
 
 
 def keep_classes(df: DataFrame, column: str, classes: Sequence[str] = S.ATTACK_TYPES) -> DataFrame:

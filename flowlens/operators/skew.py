@@ -7,9 +7,9 @@ per-slice counts supply the offsets. Results are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +26,14 @@ def sample_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key))
 
 
-def _sliced(df: DataFrame, order: Column, digits: int) -> DataFrame:
+def slice_digits(rows: int, per_slice: int = 50_000) -> int:
+    """Hex digits of a hash prefix that leave about ``per_slice`` rows or fewer in a slice."""
+    return max(1, math.ceil(math.log(max(rows / per_slice, 1.0), 16)))
+
+
+def _sliced(df: DataFrame, order: Column, digits: int | None) -> DataFrame:
     """Add the order key and its slice, a hash prefix that sorts like the key."""
+    digits = slice_digits(df.count()) if digits is None else digits
     out = df.withColumn("_key", order)
     return out.withColumn("_slice", F.substring("_key", 1, digits))
 
@@ -56,7 +62,7 @@ def _slice_counts(df: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def mark_first(df: DataFrame, group: Sequence[str], quota: Column, order: Column,
-               ties: Sequence[str], flag: str = "_in", digits: int = 3) -> DataFrame:
+               ties: Sequence[str], flag: str = "_in", digits: int | None = None) -> DataFrame:
     """Flag the first ``quota`` rows of every group in hash order.
 
     ``quota`` may use ``_total``, the size of the group. Slices wholly inside or outside
@@ -83,14 +89,14 @@ def mark_first(df: DataFrame, group: Sequence[str], quota: Column, order: Column
 
 
 def take_first(df: DataFrame, group: Sequence[str], quota: Column, order: Column,
-               ties: Sequence[str], digits: int = 3) -> DataFrame:
+               ties: Sequence[str], digits: int | None = None) -> DataFrame:
     """The first ``quota`` rows of every group in hash order."""
     marked = mark_first(df, group, quota, order, ties, digits=digits)
     return marked.filter("_in").drop("_in")
 
 
 def exact_rank(df: DataFrame, group: Sequence[str], order: Column, ties: Sequence[str],
-               name: str = "rank", digits: int = 3) -> DataFrame:
+               name: str = "rank", digits: int | None = None) -> DataFrame:
     """1-based rank of every row within its group in hash order.
 
     Rows are spread over (group, slice), so a hot group is ranked by many tasks.
@@ -106,18 +112,22 @@ def exact_rank(df: DataFrame, group: Sequence[str], order: Column, ties: Sequenc
 
 
 def prefix_sums(df: DataFrame, group: Sequence[str], order: str, sums: dict[str, str],
-                descending: bool = False, slices: int = 64) -> DataFrame:
+                descending: bool = False, slices: int | None = None) -> DataFrame:
     """Sum of the rows ordered before each row, per group.
 
     ``sums`` maps value column to result column. ``order`` is numeric and unique within a
-    group (aggregate first). Slices are value ranges with near-equal row counts: their
-    borders come from a quantile sketch, so they only balance the work and never change
-    the result.
+    group (aggregate first). Slices are value ranges with near-equal row counts, cut in each
+    group: their borders come from a quantile sketch, so they only balance the work and
+    never change the result.
     """
-    group = list(group)
-    borders = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.5 / slices)
-    splits = [-float("inf"), *(sorted(set(borders)) or [0.0]), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol=order, outputCol="_slice").transform(df)
+    slices = max(2, min(4096, -(-df.count() // 50_000))) if slices is None else slices
+    group = list(group) or ["_all"]
+    rows = df.withColumn("_all", F.lit(0)) if group == ["_all"] else df
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    borders = rows.groupBy(*group).agg(F.percentile_approx(order, shares, 10 * slices).alias("_borders"))
+    sliced = join_small(rows, borders, group)
+    # Borders rise: the slice is the number of borders below the value.
+    sliced = sliced.withColumn("_slice", F.size(F.filter("_borders", lambda b: b < F.col(order)))).drop("_borders")
     totals = sliced.groupBy(*group, "_slice").agg(
         *[F.sum(c).alias(f"_sum_{c}") for c in sums]
     )
@@ -134,7 +144,17 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: str, sums: dict[str,
         result: F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))
         for c, result in sums.items()
     })
-    return out.drop("_slice", *[f"_off_{c}" for c in sums])
+    return out.drop("_slice", "_all", *[f"_off_{c}" for c in sums])
+
+
+def repeated(df: DataFrame, times: Column, per_task: int = 10_000) -> DataFrame:
+    """Each row ``times`` times. The numbers are made in two steps, so no array is longer
+    than ``per_task`` or its share of ``times``."""
+    count = times.cast("bigint")
+    parts = df.withColumn("_n", count).withColumn("_from", F.explode(F.when(
+        F.col("_n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(per_task).cast("bigint")))))
+    upto = F.least(F.col("_from") + per_task, F.col("_n")) - 1
+    return parts.withColumn("_copy", F.explode(F.sequence("_from", upto))).drop("_n", "_from", "_copy")
 
 
 def number_copies(df: DataFrame, name: str = "_copy", per_task: int = 100_000) -> DataFrame:

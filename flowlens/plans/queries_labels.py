@@ -337,7 +337,8 @@ FROM (SELECT * EXCLUDE (label), {FLOW_ID_SQL} AS flow_id FROM conn) z JOIN cic U
 def k5(t: Tables) -> DataFrame:
     from flowlens.sources.sinks import labeled_rows
 
-    labelled = labeling.label_by_flow(_with_day(t).drop("day"), t.cic(), expand=True)
+    # Distinct rows need no repeats of a match.
+    labelled = labeling.label_by_flow(_with_day(t).drop("day"), t.cic()).drop("n_matches")
     return labeled_rows(labelled).select("uid", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "Label")
 
 

@@ -340,3 +340,21 @@ def test_copies_of_rows_get_numbers(spark):
     got = sorted((r.x, r.y or 0, r["_copy"]) for r in number_copies(df, per_task=4).collect())
     assert got == sorted([("a", 1, i) for i in range(25)] + [("a", 0, 0), ("a", 0, 1), ("b", 2, 0)])
     assert number_copies(df.filter("y = 2")).collect()[0]["_copy"] == 0
+
+
+def test_scratch_scope_deletes_its_tables(spark):
+    from flowlens.session import materialize, path_exists, scratch_scope
+
+    with scratch_scope(spark):
+        table = materialize(spark.range(3), "gone")
+        place = table.inputFiles()[0].rsplit("/", 1)[0]
+        assert table.count() == 3 and path_exists(spark, place)
+    assert not path_exists(spark, place)
+
+
+def test_repeated_rows_come_in_chunks(spark):
+    from flowlens.operators.skew import repeated
+
+    df = spark.createDataFrame([("a", 25), ("b", 1), ("c", 0), ("d", None)], "x string, n long")
+    got = {r.x: r["count"] for r in repeated(df, F.col("n"), per_task=4).groupBy("x").count().collect()}
+    assert got == {"a": 25, "b": 1}
