@@ -73,6 +73,7 @@ class Tree:
 
     def __init__(self, number: int, encode):
         self.number, self.encode = number, encode
+        self.frame = lru_cache(maxsize=64)(encode)  # heads and ends of turns repeat
         self.ids: list[int] = []
         self.positions: list[int] = []
         self.loss: list[bool] = []
@@ -93,8 +94,9 @@ class Tree:
         parent = self.path[-1][1] if self.path else -1
         position = self.nodes[parent]["position"] + self.nodes[parent]["end"] - self.nodes[parent]["start"] if self.path else 0
         start = len(self.ids)
-        for piece, loss in ((f"{OPEN}{escape_role(role)}{BREAK}", False), (escape(text), role == "assistant"), (CLOSE, False)):
-            made = self.encode(piece)
+        head = f"{OPEN}{escape_role(role)}{BREAK}"
+        for piece, loss in ((head, False), (escape(text), role == "assistant"), (CLOSE, False)):
+            made = self.frame(piece) if piece is head or piece is CLOSE else self.encode(piece)
             self.ids += made
             self.loss += [loss] * len(made)
         end = len(self.ids)

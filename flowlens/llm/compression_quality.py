@@ -68,7 +68,7 @@ def train_dictionary(texts: Sequence[str], size: int) -> bytes:
         return b"\n".join(samples)[-size:] or b"\n"
 
 
-def fit(rows: Sequence[tuple[str, int]], share: float | None = None, size: int = 32_768, level: int = 3) -> Model:
+def fit(rows: Sequence[tuple[str, int]], share: float | None = None, size: int = 65_536, level: int = 3) -> Model:
     """Dictionaries from two thirds of the (text, label) rows, the calibration from the rest.
 
     Texts that built a dictionary compress too well with it, so they do not calibrate.

@@ -232,7 +232,7 @@ def _mapped(batches: Iterator[pa.RecordBatch], names: list[str], make) -> Iterat
 
 def nearest(df: DataFrame, queries: str = "vec_id % 50 = 0", key: str = "vec_id", vector: str = "embedding", k: int = 5,
             sample: int = 20_000, list_rows: int = 64, copy_ratio: float = 1.08, copies: int = 4,
-            search_ratio: float = 1.3, shard_rows: int = 20_000, block: int = 5_000) -> DataFrame:
+            search_ratio: float = 1.3, shard_rows: int = 5_000, block: int = 5_000) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest other rows found for each query row.
 
     The index is fitted on at most ``sample`` vectors and holds every usable one: each in
