@@ -69,8 +69,7 @@ def kdd_label(c: Column | str) -> Column:
 
 def kdd_superclass(c: Column | str) -> Column:
     """KDD label to one of five superclasses, NULL when unmapped."""
-    table = {label: cls for cls, labels in S.KDD_SUPERCLASSES.items() for label in labels}
-    return lookup(table, kdd_label(c))
+    return lookup(S.KDD_CLASS_OF, kdd_label(c))
 
 
 def map_label10(c: Column | str) -> Column:

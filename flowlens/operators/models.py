@@ -101,12 +101,6 @@ def train_dt(df: DataFrame, features: Sequence[str], label: str, classes: Sequen
     return fit(df, decision_tree(**params), features, label, classes)
 
 
-def train_mlp(df: DataFrame, features: Sequence[str], label: str, classes: Sequence[str] | None = None,
-              **params) -> Bundle:
-    order = list(classes) if classes else X.class_order(df, label)
-    return fit(df, perceptron(len(features), len(order), **params), features, label, order)
-
-
 def predict(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Add ``probabilities`` (array in class order) and ``predicted`` (class name)."""
     data = X.pick_features(df, bundle.features)
@@ -343,7 +337,7 @@ def target_column(df: DataFrame, cfg: TrainingConfig) -> tuple[DataFrame, list[s
             kind = F.when(attack, F.lit("attack")).otherwise(F.lit("normal"))
             return df.withColumn("target", kind), ["normal", "attack"]
         df = df.withColumn("target", L.kdd_superclass(label)).filter("target is not null")
-        return df, list(S.KDD_SUPERCLASSES)
+        return df, list(S.KDD_CLASSES)
     if cfg.dataset == "MalMem2022":
         attack = X.binary_target(label, ["benign"]) == 1
         kind = F.when(attack, F.lit("Malware")).otherwise(F.lit("Benign"))

@@ -116,12 +116,11 @@ def f9(t: Tables) -> DataFrame:
     return t.dirty().select("event_id", L.cic_label("label_text").alias("label"), group.alias("attack_group"))
 
 
-_KDD = {label: cls for cls, labels in S.KDD_SUPERCLASSES.items() for label in labels}
 _KDD_SQL = "regexp_replace(lower(trim(kdd_text)), '[.]+$', '')"
 
 
 @query("f10_kdd_superclass", "dirty", f"""
-SELECT event_id, {_KDD_SQL} AS label, coalesce({case_sql(_KDD, _KDD_SQL)}, '?') AS superclass FROM dirty""")
+SELECT event_id, {_KDD_SQL} AS label, coalesce({case_sql(S.KDD_CLASS_OF, _KDD_SQL)}, '?') AS superclass FROM dirty""")
 def f10(t: Tables) -> DataFrame:
     cls = F.coalesce(L.kdd_superclass("kdd_text"), F.lit("?"))
     return t.dirty().select("event_id", L.kdd_label("kdd_text").alias("label"), cls.alias("superclass"))

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 SEVERITIES = ["Low", "Medium", "High", "Critical"]
 ATTACK_TYPES = ["BENIGN", "BOT", "BRUTE_FORCE", "DDOS", "DOS", "PORTSCAN"]
 PROTOCOLS = ["TCP", "UDP", "ICMP", "HTTP", "HTTPS", "DNS", "Other"]
-MODEL_LABELS = ["benign", "malicious"]
 
 # Model output position -> class name.
 CLASS_NAMES = ["BENIGN", "BOT", "BRUTE_FORCE", "DDOS", "DOS", "PORTSCAN"]
@@ -117,16 +116,19 @@ LABEL_ATTACK_TYPES = {
 }
 
 # KDD superclass -> labels.
-KDD_SUPERCLASSES = {
-    "DoS": ["apache2", "back", "land", "mailbomb", "neptune", "pod", "processtable",
-            "smurf", "teardrop", "udpstorm"],
-    "Normal": ["normal"],
-    "Probe": ["ipsweep", "mscan", "nmap", "portsweep", "saint", "satan"],
-    "R2L": ["ftp_write", "guess_passwd", "http_tunnel", "imap", "multihop", "named",
-            "phf", "sendmail", "snmpgetattack", "snmpguess", "spy", "warezclient",
-            "warezmaster"],
-    "U2R": ["buffer_overflow", "loadmodule", "perl", "ps", "rootkit", "sqlattack",
-            "xterm"],
+# Class order of the KDD task, and the class of each label.
+KDD_CLASSES = ["DoS", "Normal", "Probe", "R2L", "U2R"]
+KDD_CLASS_OF = {
+    "apache2": "DoS", "back": "DoS", "land": "DoS", "mailbomb": "DoS", "neptune": "DoS", "pod": "DoS",
+    "processtable": "DoS", "smurf": "DoS", "teardrop": "DoS", "udpstorm": "DoS",
+    "normal": "Normal",
+    "ipsweep": "Probe", "mscan": "Probe", "nmap": "Probe", "portsweep": "Probe", "saint": "Probe",
+    "satan": "Probe",
+    "ftp_write": "R2L", "guess_passwd": "R2L", "http_tunnel": "R2L", "imap": "R2L", "multihop": "R2L",
+    "named": "R2L", "phf": "R2L", "sendmail": "R2L", "snmpgetattack": "R2L", "snmpguess": "R2L", "spy": "R2L",
+    "warezclient": "R2L", "warezmaster": "R2L",
+    "buffer_overflow": "U2R", "loadmodule": "U2R", "perl": "U2R", "ps": "U2R", "rootkit": "U2R",
+    "sqlattack": "U2R", "xterm": "U2R",
 }
 
 KDD_FEATURES = [
@@ -152,16 +154,6 @@ SEVERITY_POLICY = {
 SEVERITY_FLOOR = dict(SEVERITY_POLICY)
 HIGH_BY_TYPE = ["BOT", "BRUTE_FORCE", "DDOS", "DOS"]
 
-# Attack -> severity shown in the help matrix.
-HELP_SEVERITY = dict(SEVERITY_POLICY)
-# Severity -> CVSS band text.
-CVSS_BANDS = {
-    "Low": "CVSS < 4.0",
-    "Medium": "CVSS 4.0 – 6.9",
-    "High": "CVSS 7.0 – 8.9",
-    "Critical": "CVSS ≥ 9.0",
-}
-
 # --- fixed values: texts -------------------------------------------------------
 
 ATTACK_TEXT = {
@@ -170,12 +162,6 @@ ATTACK_TEXT = {
 }
 SEVERITY_TEXT = {"Low": "Baja", "Medium": "Media", "High": "Alta", "Critical": "Crítica"}
 CONFIDENCE_TEXT = {"benign": "Confianza en benigno", "malicious": "Probabilidad de ataque"}
-HEALTH_TEXT = {
-    "collecting": "Recolectando métricas…",
-    "critical": "Alerta Crítica",
-    "suspicious": "Actividad Sospechosa",
-    "safe": "Red Segura",
-}
 INCIDENT_TITLES = {
     "BOT": "Malware detectado",
     "BRUTE_FORCE": "Ataque de fuerza bruta",
@@ -289,7 +275,6 @@ CIC_FEATURES = [
     "Fwd Avg Packets/Bulk", "Bwd URG Flags", "Bwd Avg Bytes/Bulk",
     "Bwd Avg Packets/Bulk", "Bwd Avg Bulk Rate",
 ]
-TOP_CIC_FEATURES = CIC_FEATURES[:20]
 
 # Flow feature -> packet-log columns to take it from, first present wins.
 PACKET_LOG_SOURCES = {

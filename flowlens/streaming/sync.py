@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.common import is_numeric, quoted
 from flowlens.functions.numbers import parse_number
-from flowlens.session import path_exists
+from flowlens.session import folder_names, path_exists
 
 STATE_SCHEMA = "last_ts double, uid string"
 
@@ -65,11 +65,12 @@ def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Latest written checkpoint and its number; empty and 0 at the first run."""
     if not path_exists(spark, path):
         return empty_state(spark), 0
-    written = spark.read.schema(STATE_SCHEMA + ", version int").parquet(path)
-    version = written.agg(F.max("version")).first()[0]
-    if version is None:
+    # Only folder names are listed; of a checkpoint whose write was cut short the one before counts.
+    versions = [int(n.removeprefix("version=")) for n in folder_names(spark, path) if n.startswith("version=")]
+    whole = next((v for v in sorted(versions, reverse=True) if path_exists(spark, f"{path}/version={v}/_SUCCESS")), 0)
+    if not whole:
         return empty_state(spark), 0
-    return written.filter(F.col("version") == version).drop("version"), version
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/version={whole}"), whole
 
 
 def sync_once(df: DataFrame, state_path: str, output_path: str) -> int:

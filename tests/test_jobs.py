@@ -216,3 +216,15 @@ def test_only_files_after_an_instant_are_scored(spark, training, tmp_path):
     # The raw row is kept as it was read.
     raw = spark.read.parquet(out).select(A.meta_field("meta", "zeek_conn.resp_bytes").alias("b"), A.meta_field("meta", "zeek_conn.duration").alias("d")).first()
     assert (raw.b, raw.d) == ("-", "2.5")
+
+
+def test_class_weights_reach_the_fit(spark):
+    from flowlens.operators.sampling import class_weights
+
+    # One of twenty rows is an attack, and nothing tells the classes apart but a shared value.
+    rows = spark.range(400).select((F.col("id") % 20 < 10).cast("double").alias("x"), F.when(F.col("id") % 20 == 0, "BOT").otherwise("BENIGN").alias("cls"))
+    weighted = rows.join(class_weights(rows, "cls").drop("n"), "cls")
+    plain = M.train_rf(rows, ["x"], "cls", trees=3, depth=2)
+    heavy = M.train_rf(weighted, ["x"], "cls", trees=3, depth=2, weight="weight")
+    one = spark.createDataFrame([(1.0,)], "x double")
+    assert M.predict(one, plain).first().predicted == "BENIGN" and M.predict(one, heavy).first().predicted == "BOT"
