@@ -98,6 +98,21 @@ def st4(t: Tables) -> DataFrame:
     return shown_flows(sink.flows(t.spark, last))
 
 
+@query("st4_out_of_order", "packets", FLOWS_SQL.format(idle=""))
+def st4_late(t: Tables) -> DataFrame:
+    """Packets come in three deliveries that do not follow their time, and one of them is dated far ahead."""
+    sink = packets.FlowSink(scratch_dir(t.spark, "flows"), idle_seconds=1e9)
+    rows, schema = t.packets(), t.spark.createDataFrame([], packets.PACKET_SCHEMA).schema
+    wrong = t.spark.range(1).select(F.lit("wrong").alias("uid"), F.lit("2200-01-01").cast("timestamp").alias("ts"),
+                                    F.lit(True).alias("is_orig"), F.lit("A").alias("flags"), F.lit(0).cast("bigint").alias("len"))
+    feed, checkpoint, last = scratch_dir(t.spark, "feed"), scratch_dir(t.spark, "checkpoint"), 0
+    for i in range(3):
+        part = rows.filter(F.pmod(F.xxhash64("uid", "ts", "is_orig", "len"), F.lit(3)) == i)
+        (part.unionByName(wrong) if i == 0 else part).write.mode("append").parquet(feed)
+        last = max(last, _run(live.stream_alerts(t.spark, feed, schema), sink, "append", checkpoint))
+    return shown_flows(sink.flows(t.spark, last).filter("uid <> 'wrong'"), idle=False)
+
+
 _SESSIONS_SQL = FLOWS_SQL.format(idle="").replace(
     "WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY uid ORDER BY ts) AS gap FROM packets),",
     """WITH b AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY uid ORDER BY ts) AS gap FROM packets),
