@@ -25,8 +25,8 @@ Columns = list[list]
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings; small Arrow batches bound the memory of a Python task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return configure(spark)
 
 

@@ -130,11 +130,12 @@ def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _masked(text: str | None, spans: list[dict] | None) -> str | None:
-    if not text or not spans:
+def masked(text: str | None) -> str | None:
+    """The text with each span as its kind in angle brackets; of overlapping ones the first."""
+    if not text:
         return text
     parts, at = [], 0
-    for s in spans:  # by start
+    for s in scan(text):  # by start
         if s["end"] <= at:
             continue
         if s["start"] >= at:
@@ -148,11 +149,5 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
     All rows and columns stay. Null texts stay null.
     """
-    from flowlens.llm.common import fresh
-
-    spans, clean = fresh(df, "_secrets"), fresh(df, "_clean")
-    found = find_secrets(df, text, spans)
-    masked = add_columns(found, [text, spans], f"`{clean}` string",
-                         lambda texts, all_spans: [[_masked(t, s) for t, s in zip(texts, all_spans)]])
-    columns = [F.col(f"`{clean if c == text else c}`").alias(c) for c in df.columns]
-    return masked.select(*columns)
+    clean = add_columns(df, [text], f"`{text}` string", lambda texts: [[masked(t) for t in texts]])
+    return clean.select(*[F.col(f"`{c}`") for c in df.columns])
