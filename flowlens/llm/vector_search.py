@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.session import materialize
@@ -230,7 +230,11 @@ def _mapped(batches: Iterator[pa.RecordBatch], names: list[str], make) -> Iterat
         yield pa.RecordBatch.from_arrays([*take.columns, *extra], names=names)
 
 
-def nearest(df: DataFrame, queries: str = "vec_id % 50 = 0", key: str = "vec_id", vector: str = "embedding", k: int = 5,
+def every_fiftieth(key: Column) -> Column:
+    return key % 50 == 0
+
+
+def nearest(df: DataFrame, queries: Callable[[Column], Column] = every_fiftieth, key: str = "vec_id", vector: str = "embedding", k: int = 5,
             sample: int = 20_000, list_rows: int = 64, copy_ratio: float = 1.08, copies: int = 4,
             search_ratio: float = 1.3, shard_rows: int = 5_000, block: int = 5_000) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest other rows found for each query row.
@@ -242,7 +246,7 @@ def nearest(df: DataFrame, queries: str = "vec_id % 50 = 0", key: str = "vec_id"
     dealt to shards of about ``shard_rows`` rows, large ones to several, and a shard meets
     its queries in blocks of ``block``, so no task grows with a list.
 
-    ``queries`` is a condition on the key. Nearness is the cosine in double precision; ties
+    ``queries`` gives the condition on the key that makes a row a query. Nearness is the cosine in double precision; ties
     go to the smaller id, null ids last. Vectors that are null, zero, of another length
     than most, or that hold a null or non-finite component take no part. Repeated rows are
     rows of their own: only the very row of the query is left out. Fewer than ``k`` other
@@ -250,7 +254,7 @@ def nearest(df: DataFrame, queries: str = "vec_id % 50 = 0", key: str = "vec_id"
     """
     rows = usable_vectors(df, key, vector)
     spark, total = rows.sparkSession, rows.count()
-    asked = rows.filter(F.expr(queries.replace(key, "id")))
+    asked = rows.filter(queries(F.col("id")))
     n_asked = asked.count()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if not n_asked or total < 2:
