@@ -98,18 +98,21 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         F.min(F.when(broken, F.col("_s"))).alias("_cut"),
         F.min_by(F.greatest(F.col("_rest") - F.col("_before"), F.lit(0)), F.when(broken, F.col("_s"))).alias("_left"),
     )
-    edge = edge.select(*[F.col(c).alias(f"_m{c}") for c in edge.columns])
-    joined = join_small(rows.withColumn(piece, cut), edge, F.col(src).eqNullSafe(F.col("_msource")))
-    at_cut = F.col("_m_cut").isNotNull() & (F.col(piece) == F.col("_m_cut"))
-    held = F.when(F.col("_m_cut").isNull() | (F.col(piece) < F.col("_m_cut")), F.col("size")).otherwise(0)
+    m = "_m"
+    while any(c.lower().startswith(m) for c in base.columns):
+        m = f"_{m}"
+    edge = edge.select(*[F.col(c).alias(f"{m}{c}") for c in edge.columns])
+    joined = join_small(rows.withColumn(piece, cut), edge, F.col(src).eqNullSafe(F.col(f"{m}source")))
+    at_cut = F.col(f"{m}_cut").isNotNull() & (F.col(piece) == F.col(f"{m}_cut"))
+    held = F.when(F.col(f"{m}_cut").isNull() | (F.col(piece) < F.col(f"{m}_cut")), F.col("size")).otherwise(0)
     whole = joined.filter(~at_cut).withColumn(once, held)
     ahead = Window.partitionBy(src, piece).orderBy(order, "size").rowsBetween(*_BEFORE)
     spent = F.coalesce(F.sum("size").over(ahead), F.lit(0))
-    part = joined.filter(at_cut).withColumn(once, F.greatest(F.least(F.col("size"), F.col("_m_left") - spent), F.lit(0)))
+    part = joined.filter(at_cut).withColumn(once, F.greatest(F.least(F.col("size"), F.col(f"{m}_left") - spent), F.lit(0)))
     out = whole.unionByName(part)
     return out.select(
-        *[F.col(f"`{c}`") for c in base.columns], "size", F.col("_msource_size").alias("source_size"),
-        F.col("_mtarget").alias("target"), (F.col("_m_full") * F.col("size") + F.col(once)).alias("taken"),
+        *[F.col(f"`{c}`") for c in base.columns], "size", F.col(f"{m}source_size").alias("source_size"),
+        F.col(f"{m}target").alias("target"), (F.col(f"{m}_full") * F.col("size") + F.col(once)).alias("taken"),
     )
 
 
@@ -132,7 +135,12 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     The repeat at the cut holds the first words of its text up to the budget, and its
     ``length`` column, if there is one, follows.
     """
-    mixed = mix(df, key, text, source, **options).filter("taken > 0")
+    own = df.columns
+    # Columns that are named like one of the mix keep their values.
+    aside = {c: fresh(df, f"_own_{c}") for c in own if c.lower() in COLUMNS}
+    df = df.withColumnsRenamed(aside)
+    mixed = mix(df, aside.get(key, key), aside.get(text, text), aside.get(source, source), **options).filter("taken > 0")
+    text = aside.get(text, text)
     copies, words = fresh(mixed, "_copies"), fresh(mixed, "_words")
     each = F.greatest(F.col("size"), F.lit(1))
     full, rest = F.floor(F.col("taken") / each), F.col("taken") % each
@@ -145,4 +153,4 @@ def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     part = part.withColumn(text, F.col(clean)).drop(clean)
     if length in df.columns:
         part = part.withColumn(length, F.length(text).cast(df.schema[length].dataType))
-    return whole.unionByName(part).select(*[F.col(f"`{c}`") for c in df.columns])
+    return whole.unionByName(part).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in own])

@@ -185,14 +185,14 @@ class Field:
             # Along the chain: a message leaves out what came over the same edge.
             new_right, new_left = right.copy(), left.copy()
             if len(joined):
-                new_right[joined + 1] = _norm(_lse((belief - left)[joined][:, :, None] + self.chain[None], 1))
-                new_left[joined] = _norm(_lse((belief - right)[joined + 1][:, None, :] + self.chain[None], 2))
+                new_right[joined + 1] = _send((belief - left)[joined], self.chain)
+                new_left[joined] = _send((belief - right)[joined + 1], self.chain.T)
             if len(member):
                 potts = self.skip * np.eye(width)
-                up = _norm(_lse((belief[member] - down)[:, :, None] + potts[None], 1))
+                up = _send(belief[member] - down, potts)
                 total = np.zeros((len(groups), width))
                 np.add.at(total, hub, up)
-                down = _norm(_lse((total[hub] - up)[:, :, None] + potts[None], 1)) * 0.5 + down * 0.5
+                down = _send(total[hub] - up, potts) * 0.5 + down * 0.5
             right, left = new_right, new_left
         belief = u + right + left
         np.add.at(belief, member, down)
@@ -204,8 +204,16 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def _norm(x: np.ndarray) -> np.ndarray:
-    return x - x.max(axis=1, keepdims=True)
+def _send(belief: np.ndarray, potential: np.ndarray, block: int = 65_536) -> np.ndarray:
+    """Messages over edges: sums over the labels of the sender, scaled to 0 at the best.
+
+    In blocks, so that a text with very many tokens needs little more than its messages.
+    """
+    out = np.empty_like(belief)
+    for at in range(0, len(belief), block):
+        part = _lse(belief[at:at + block, :, None] + potential[None], 1)
+        out[at:at + block] = part - part.max(axis=1, keepdims=True)
+    return out
 
 
 def fit(texts: Sequence[str], steps: int = 200, rate: float = 0.5) -> Field:

@@ -35,11 +35,13 @@ def test_run_equals_its_stages(spark, folder):
 def test_stages_with_odd_rows(spark, docs_of, folder):
     rows = [(i, f"the house of number {i} and " + " ".join(f"word{j * i}" for j in range(40)), "a") for i in range(30)]
     df = docs_of(rows + [(100, None), (101, ""), (None, rows[3][1], None), (102, "12 34")]).withColumn("extra", F.lit(1))
-    df = df.withColumn("lang", F.lit("en"))
+    clash = ["size", "Taken", "secrets", "lang_pred", "score", "_row_key", "_msource", "fingerprint", "target"]
+    df = df.withColumn("lang", F.lit("en")).withColumns({c: F.lit(f"own {c}") for c in clash})
     assert language.train(df).languages == ["en"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, folder)
-        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", *clash]
+    assert all(r[c] == f"own {c}" for r in df.collect() for c in clash) and df.count()
     assert {r["doc_id"] for r in df.collect()} <= set(range(30))
     empty = docs_of(rows).limit(0)
     for _, stage in corpus_pipeline.STAGES:
