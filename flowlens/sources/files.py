@@ -99,11 +99,17 @@ def split_cells(line: Column, sep: str) -> Column:
     quotes and every second part, counted from the end, is searched: linear in the line.
     """
     plain = F.split(line, re.escape(sep), -1)
-    parts = F.split(line, '"', -1)
-    last = F.size(parts) - 1
-    marked = F.transform(parts, lambda p, i: F.when((last - i) % 2 == 0, F.replace(p, F.lit(sep), F.lit(_CUT))).otherwise(p))
+
+    def outside(parts: Column) -> Column:
+        """The line again, its delimiters outside quotes marked."""
+        last = F.size(parts) - 1
+        return F.array_join(F.transform(
+            parts, lambda p, i: F.when((last - i) % 2 == 0, F.replace(p, F.lit(sep), F.lit(_CUT))).otherwise(p)), '"')
+
+    # A lambda binds the parts: they are cut once, not once for each of them.
+    marked = F.get(F.transform(F.array(F.split(line, '"', -1)), outside), F.lit(0))
     careful = F.transform(
-        F.split(F.array_join(marked, '"'), _CUT, -1),
+        F.split(marked, _CUT, -1),
         lambda c: F.when(
             (F.length(c) >= 2) & F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')),
             F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),

@@ -117,7 +117,7 @@ def test_conversion_and_rejects(spark):
     row = good.first()
     assert good.columns == [c.replace(".", "_") for c in S.CONN_COLUMNS]
     assert (row.ts, row.duration, row.service, row.conn_state, row.history) == ("1488876900.000000", "1.500000", "https", "S0", "S")
-    assert (row.cicids_label, row.cicids_attack, len(row.uid), len(row.dataset_name)) == ("Web Attack - XSS", "Web Attack", 20, 50)
+    assert (row.cicids_label, row.cicids_attack, len(row.uid), len(row.dataset_name)) == ("Web Attack - XSS", "Web Attack", 20, 80)
     assert sorted(r.reject_reason for r in rejected.collect()) == ["endpoint", "port", "timestamp"]
     with pytest.raises(ValueError, match="dst_ip"):
         checks.convert_cic_to_conn(rows.drop("Destination IP"), "d")
