@@ -77,7 +77,10 @@ def fit(df: DataFrame, estimator, features: Sequence[str], label: str,
     data = data.filter(F.col("_code").isNotNull())
     assembler = VectorAssembler(inputCols=inputs, outputCol="_vector")
     started = time.monotonic()
-    model = Pipeline(stages=[assembler, estimator]).fit(data)
+    fitted = Pipeline(stages=[assembler, estimator]).fit(data)
+    # A copy leaves the training summary behind, which holds the session and with it what
+    # tasks cannot carry.
+    model = PipelineModel([*fitted.stages[:-1], fitted.stages[-1].copy()])
     info = {"train_time_s": time.monotonic() - started, **(meta or {})}
     return Bundle(model, list(features), order, dict(scale or {}), info)
 
