@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import add_columns, fresh, without
+from flowlens.llm.common import add_columns, fresh
 from flowlens.session import join_small, materialize
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -255,9 +255,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def row_key(key: Column, text: Column) -> Column:
-    """What tells rows apart: the id, or for rows without one the whole text."""
-    return F.coalesce(F.concat(F.lit("i"), key.cast("string")),
-                      F.concat(F.lit("t"), F.sha2(F.coalesce(text, F.lit("")), 256)))
+    """What tells rows apart: the id, if there is one, and the whole text."""
+    body = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return F.coalesce(F.concat(F.lit("i"), key.cast("string"), F.lit(":"), body), F.concat(F.lit("t"), body))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -265,7 +265,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
     Fingerprints within ``radius`` differing bits are linked; a component is what can be
     reached over links, and its id is the least key in it. ``representative`` is true for
-    the rows with that key.
+    the rows with that key and, where they differ, the text of least hash in the component.
 
     Equal fingerprints are one word of the search, so copies cost nothing there. A null
     text counts as empty; all texts without a word have the fingerprint zero. Null keys
@@ -296,13 +296,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df`` that represent their component, one for each.
+    """One row of ``df`` for each component, the same on every run.
 
-    Among rows with the same key, which count as one document, any one stays.
+    Rows with one key and different texts are rows of their own: each stays unless its own
+    component has another representative. Of rows equal in key and text stays the one whose
+    other columns, as JSON, come first.
     """
     found = near_duplicates(df, key, text, radius)
     chosen = found.filter("representative").select("row_key").distinct()
     mark = fresh(df, "_row_key")
     rows = df.withColumn(mark, row_key(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    kept = rows.join(chosen.withColumnRenamed("row_key", mark), mark, "left_semi").dropDuplicates([mark])
-    return without(kept, [mark]).select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = rows.join(chosen.withColumnRenamed("row_key", mark), mark, "left_semi")
+    whole = [F.col(f"`{c}`") for c in df.columns]
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c not in (key, text)]
+    order = F.to_json(F.struct(F.col(f"`{text}`").isNull().alias("none"), *others))
+    kept = kept.groupBy(mark).agg(F.min_by(F.struct(*whole), order).alias("_row"))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])

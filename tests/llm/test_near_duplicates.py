@@ -124,6 +124,17 @@ def test_edge_rows(spark, docs_of):
     assert nd.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_key_are_rows_of_their_own(spark, docs_of):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(200)) for w in "abc")
+    # Key 5 has two texts; the near copies 7 and 9 of the second one have no other representative.
+    rows = [(5, a), (5, b), (7, b), (9, b), (None, c), (None, a + " x"), (5, c, "z"), (5, c, "y")]
+    for order in (rows, rows[::-1]):
+        kept = nd.one_of_each(docs_of(order).repartition(4)).collect()
+        assert sorted((r["doc_id"], r["text"], r["source"]) for r in kept) == [(5, a, "a"), (5, b, "a"), (5, c, "y")]
+    hot = [(1, " ".join(f"t{j}w{i}" for i in range(60))) for j in range(30)]
+    assert nd.one_of_each(docs_of(hot)).count() == 30
+
+
 def test_query_against_all_pairs(spark, folder):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     words = {i: fingerprint_by_hand(t) for i, t in texts.items()}
