@@ -22,20 +22,29 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 
-# Character classes whose runs are candidates: pattern, least length, window, least bits
-# of entropy a character, and how many kinds (lower, upper, digit) a window must show.
+# Candidates are the runs of the widest class; every class is looked for inside of them.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+
+# Character classes whose runs are measured: pattern, window, least bits of entropy a
+# character, and how many kinds (lower, upper, digit) a run must show. Letters of one case
+# need the most bits, so that long words stay below.
 CLASSES = (
     ("hex", re.compile(r"[0-9A-F]{20,}"), 20, 3.0, 2),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}"), 20, 3.6, 3),
+    ("base64", _RUN, 20, 3.6, 3),
+    ("lower_digit", re.compile(r"[a-z0-9]{20,}"), 20, 3.5, 2),
+    ("upper_digit", re.compile(r"[A-Z0-9]{20,}"), 20, 3.3, 2),
+    ("letters", re.compile(r"[A-Za-z]{20,}"), 20, 3.6, 2),
+    ("one_case", re.compile(r"[a-z]{20,}|[A-Z]{20,}"), 20, 3.85, 1),
 )
 
 # Candidates that are not secrets though they look random: identifiers, paths, addresses,
-# dates, and strings that say that they are examples.
+# dates, names in camel case, and strings that say that they are examples.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"),
     re.compile(r"(?i:.*(?:example|placeholder|changeme|dummy|sample|test|xxxx|abcdef|123456|qwerty).*)"),
     re.compile(r"[/_-]*(?:[A-Za-z]+[0-9]{0,4}[/_-]+)+[A-Za-z]*[0-9]{0,4}"),
     re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9:+_-]*"),
+    re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+"),
 )
 
 
@@ -78,18 +87,18 @@ def _kinds_in(s: str) -> int:
 def entropy_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> list[tuple[int, int]]:
     """Merged windows of high entropy in the candidate strings of every class."""
     found: list[tuple[int, int]] = []
-    for _, pattern, width, least, kinds in CLASSES:
-        for m in pattern.finditer(text):
-            run, at = m[0], m.start()
-            if _kinds_in(run) < kinds or any(a.fullmatch(run) for a in allowed):
-                continue
-            for i, h in enumerate(window_entropies(run, width)):
-                if h < least or _kinds_in(run[i:i + width]) < min(kinds, 2):
+    for run in _RUN.finditer(text):
+        for _, pattern, width, least, kinds in CLASSES:
+            for m in pattern.finditer(run[0]):
+                if _kinds_in(m[0]) < kinds or any(a.fullmatch(m[0]) for a in allowed):
                     continue
-                if found and found[-1][0] >= at and at + i <= found[-1][1]:
-                    found[-1] = (found[-1][0], at + i + width)
-                else:
-                    found.append((at + i, at + i + width))
+                at = run.start() + m.start()
+                for i, h in enumerate(window_entropies(m[0], width)):
+                    if h >= least and _kinds_in(m[0][i:i + width]) >= min(kinds, 2):
+                        if found and found[-1][0] <= at + i <= found[-1][1]:
+                            found[-1] = (found[-1][0], max(found[-1][1], at + i + width))
+                        else:
+                            found.append((at + i, at + i + width))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a < merged[-1][1]:

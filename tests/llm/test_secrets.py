@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 
 import pytest
 from hypothesis import given, settings
@@ -45,6 +47,23 @@ def test_entropy_adds_random_strings_and_leaves_plain_ones():
     assert [secrets.entropy_spans(p) for p in plain] == [[]] * len(plain)
 
 
+def test_random_strings_of_fewer_kinds_are_found():
+    r = random.Random(5)
+    planted = {"b36": string.ascii_lowercase + string.digits, "b32": string.ascii_uppercase + "234567", "mixed": string.ascii_letters}
+    keys = {n: ["".join(r.choice(alphabet) for _ in range(32)) for _ in range(500)] for n, alphabet in planted.items()}
+    share = {n: sum(bool(secrets.entropy_spans(f"see {k} there")) for k in ks) / 500 for n, ks in keys.items()}
+    assert all(v >= 0.99 for v in share.values()), share
+    assert secrets.entropy_spans("a k3v9x0q7zt5w8n2j4m6y1r0p9s7h5g3l b") == [(2, 34)]
+    assert secrets.masked("a k3v9x0q7zt5w8n2j4m6y1r0p9s7h5g3l b") == "a <ENTROPY> b"
+    assert secrets.entropy_spans("qzjxkvwpyfmghbtdlcrn") == [(0, 20)]
+    plain = ["keitstlichschenverpf", "schverlicheinpfauung", "internationalizations", "getUserAccountInformationFromTable", "abc123" * 30]
+    assert [secrets.entropy_spans(p) for p in plain] == [[]] * len(plain)
+
+
+def test_spans_of_several_runs_and_classes():
+    assert secrets.entropy_spans(f"{KEY} 9081726354F536271809FACEBD {KEY}") == [(0, 28), (29, 55), (56, 84)]
+
+
 def test_entropy_inside_a_base_span_is_no_news():
     kinds = [s["kind"] for s in secrets.scan(f"token={KEY} {KEY}")]
     assert kinds == ["assign", "entropy"]
