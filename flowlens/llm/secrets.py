@@ -37,16 +37,21 @@ CLASSES = (
     ("one_case", re.compile(r"[a-z]{20,}|[A-Z]{20,}"), 20, 3.85, 1),
 )
 
-# Candidates that are not secrets though they look random: identifiers, paths, addresses,
-# dates, names in camel case, and strings that say that they are examples.
+# Candidates that are not secrets though they look random: identifiers, paths, addresses
+# and names in camel case.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"),
-    re.compile(r"(?i:.*(?:example|placeholder|changeme|dummy|sample|test|xxxx|abcdef|123456|qwerty).*)"),
     re.compile(r"[/_-]*(?:[A-Za-z]+[0-9]{0,4}[/_-]+)+[A-Za-z]*[0-9]{0,4}"),
-    re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9:+_-]*"),
     re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+"),
 )
 
+# Parts of a run that are no secret: words that say that it is an example, and dates with
+# a time. They cut the run; what stands before and behind them is measured on its own.
+HARMLESS = re.compile(
+    r"(?i:example|placeholder|changeme|dummy|sample|test|xxxx+|abcdef|123456|qwerty)"
+    r"|(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-]?[0-9]{2}(?:[0-9]{2}){0,2}Z?)?(?![A-Za-z0-9])"
+)
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the fixed patterns as (start, kind, end); what fails its length is left out."""
@@ -84,17 +89,30 @@ def _kinds_in(s: str) -> int:
     return (any("a" <= c <= "z" for c in s)) + (any("A" <= c <= "Z" for c in s)) + (any("0" <= c <= "9" for c in s))
 
 
+def pieces(run: str) -> Iterator[tuple[int, int]]:
+    """What is left of a run without its harmless parts."""
+    at = 0
+    for m in HARMLESS.finditer(run):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(run)
+
+
 def entropy_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> list[tuple[int, int]]:
     """Merged windows of high entropy in the candidate strings of every class."""
     found: list[tuple[int, int]] = []
     for run in _RUN.finditer(text):
         for _, pattern, width, least, kinds in CLASSES:
             for m in pattern.finditer(run[0]):
-                if _kinds_in(m[0]) < kinds or any(a.fullmatch(m[0]) for a in allowed):
+                if _kinds_in(m[0]) < kinds or any(p.fullmatch(m[0]) for p in allowed):
                     continue
-                at = run.start() + m.start()
-                for i, h in enumerate(window_entropies(m[0], width)):
-                    if h >= least and _kinds_in(m[0][i:i + width]) >= min(kinds, 2):
+                for a, b in pieces(m[0]):
+                    piece, at = m[0][a:b], run.start() + m.start() + a
+                    if len(piece) < width or any(p.fullmatch(piece) for p in allowed):
+                        continue
+                    for i, h in enumerate(window_entropies(piece, width)):
+                        if h < least or _kinds_in(piece[i:i + width]) < min(kinds, 2):
+                            continue
                         if found and found[-1][0] <= at + i <= found[-1][1]:
                             found[-1] = (found[-1][0], max(found[-1][1], at + i + width))
                         else:
@@ -125,7 +143,8 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets",
 
     Kinds ``assign``, ``access`` and ``hex`` are fixed patterns. Kind ``entropy`` adds the
     windows over runs of one character class whose Shannon entropy reaches the bound of the
-    class, unless the run is on the allow-list or the window lies inside a fixed span.
+    class, unless the run is on the allow-list, the window overlaps a harmless part of the
+    run, or it lies inside a fixed span.
 
     Null and empty texts have an empty array. Repeated rows are scanned alike, an empty
     table gives an empty one, and a column already named ``out`` is replaced. The work is

@@ -64,6 +64,19 @@ def test_spans_of_several_runs_and_classes():
     assert secrets.entropy_spans(f"{KEY} 9081726354F536271809FACEBD {KEY}") == [(0, 28), (29, 55), (56, 84)]
 
 
+def test_a_harmless_part_hides_itself_and_not_the_rest():
+    for text in (f"releases/latest/{KEY}", f"2024-01-02-{KEY}", f"{KEY}/test/{KEY}", f"2024-01-02T1020Z/{KEY}", f"sample_{KEY}-2024-01-02"):
+        clean = secrets.masked(text)
+        assert KEY not in clean and clean.count("<ENTROPY>") == text.count(KEY), clean
+    r = random.Random(3)
+    run = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(3_000))
+    run = run[:1_000] + "TeSt" + run[1_000:]
+    assert sum(b - a for a, b in secrets.entropy_spans(run)) >= 2_950
+    plain = ["2024-01-02-release-notes-Version2", "2024-01-02T102030Z", "docs/latest/test/Samples/example-Two", "2024-01-02_10-20-30-Backup",
+             "123e4567-E89b-12D3-A456-42abcdef4000"]
+    assert [secrets.entropy_spans(p) for p in plain] == [[]] * len(plain)
+
+
 def test_entropy_inside_a_base_span_is_no_news():
     kinds = [s["kind"] for s in secrets.scan(f"token={KEY} {KEY}")]
     assert kinds == ["assign", "entropy"]
