@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -278,14 +278,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     marked = add_columns(base, ["t"], "word bigint", lambda texts: [[_signed(fingerprint(t)) for t in texts]],
                          keep=["key", "row_key"])
     marked = materialize(marked, "fingerprints")
+    return named(marked, lambda words: components(links_of(words, radius)), key)
+
+
+def named(marked: DataFrame, roots_of: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """Component and representative of rows (key, row_key, word), from the roots of the words."""
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("row_key").alias("row_key"))
     words = materialize(marked.groupBy("word").agg(F.min(order).alias("first")), "words")
-    roots = components(links_of(words.select("word"), radius))
+    roots = roots_of(words.select("word"))
     tree = words.join(roots, words["word"] == roots["node"], "left")
     tree = tree.select("word", "first", F.coalesce("root", "word").alias("root"))
     firsts = tree.groupBy("root").agg(F.min("first").alias("least"))
-    named = tree.join(firsts, "root").select("word", "least")
-    out = marked.join(named, "word")
+    least = tree.join(firsts, "root").select("word", "least")
+    out = marked.join(least, "word")
     return out.select(
         F.col("key").alias(key),
         F.lower(F.lpad(F.hex("word"), 16, "0")).alias("fingerprint"),
@@ -295,14 +300,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     )
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS,
+                found: DataFrame | None = None) -> DataFrame:
     """One row of ``df`` for each component, the same on every run.
 
     Rows with one key and different texts are rows of their own: each stays unless its own
     component has another representative. Of rows equal in key and text stays the one whose
-    other columns, as JSON, come first.
+    other columns, as JSON, come first. ``found`` gives components of another kind.
     """
-    found = near_duplicates(df, key, text, radius)
+    found = near_duplicates(df, key, text, radius) if found is None else found
     chosen = found.filter("representative").select("row_key").distinct()
     mark = fresh(df, "_row_key")
     rows = df.withColumn(mark, row_key(F.col(f"`{key}`"), F.col(f"`{text}`")))
