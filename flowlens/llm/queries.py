@@ -11,6 +11,7 @@ from flowlens.llm import (
     chat,
     compression_quality,
     language,
+    manifest,
     mixing,
     near_duplicates,
     packing,
@@ -135,6 +136,19 @@ def op10_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.nearest(table(spark, folder, "embeddings"))
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every fifth claims a text in lower case."""
+    docs = table(spark, folder, "documents")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = manifest.leaf([low if f == "text" else F.col(f) for f in manifest.FIELDS])
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    rows = manifest.proofs(manifest.manifest(docs, claimed=claimed))
+    rows = rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"),
+                       manifest.fold(F.col("claimed"), F.col("steps")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 # The shares: sources in code point order take 5, 2, 1 in turn; the k sources whose cap is
 # reached first hold their caps, for the least k that leaves no other one above its cap.
 TWINS["op9_mix_sources"] = """
