@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowlens.llm import (
     chat,
     compression_quality,
+    decontamination,
     language,
     manifest,
     mixing,
@@ -149,6 +150,16 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query
+def op13_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie inside a passage of a benchmark item."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = decontamination.contamination(docs, items, keep=["doc_id"])
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 # The shares: sources in code point order take 5, 2, 1 in turn; the k sources whose cap is
 # reached first hold their caps, for the least k that leaves no other one above its cap.
 TWINS["op9_mix_sources"] = """
