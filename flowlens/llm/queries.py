@@ -17,11 +17,13 @@ from flowlens.llm import (
     near_duplicates,
     packing,
     personal_data,
+    prefix_trie,
     quality_rules,
     secrets,
     vector_search,
 )
 from flowlens.llm.common import prepare
+from flowlens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -137,6 +139,16 @@ def op10_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.nearest(table(spark, folder, "embeddings"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Trie of the conversations, each opened by turns of the one that begins its five."""
+    rows = table(spark, folder, "conversations")
+    turns = materialize(prefix_trie.turns_in_order(rows), "ordered-turns")
+    conv = F.col("conv")
+    take = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.trie(*prefix_trie.with_openings(turns, conv - conv % 5, take, 8))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Leaf, roots and proof of every document; every fifth claims a text in lower case."""
