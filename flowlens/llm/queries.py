@@ -20,6 +20,7 @@ from flowlens.llm import (
     prefix_trie,
     quality_rules,
     secrets,
+    twins,
     vector_search,
 )
 from flowlens.llm.common import prepare
@@ -197,3 +198,7 @@ SELECT doc_id, size, n AS source_size, target,
        (whole * size + greatest(least(size, rest - before), 0))::BIGINT AS taken
 FROM o
 """
+
+TWINS["op11_prefix_trie"] = twins.PREFIX_TRIE
+TWINS["op12_merkle_manifest"] = twins.MERKLE_MANIFEST
+TWINS["op13_suffix_decontamination"] = twins.SUFFIX_DECONTAMINATION
