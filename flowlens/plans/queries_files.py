@@ -62,6 +62,52 @@ def s2(t: Tables) -> DataFrame:
     return rows.select("uid", "id_orig_h", "id_orig_p", "proto", F.replace("service", F.lit(',"x"'), F.lit("")).alias("service"))
 
 
+def _quoted_documents(t: Tables, header: str, last: Column) -> str:
+    """Documents as CSV lines: the whole text, with its quotes and line breaks, is a quoted cell."""
+    text = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    return _text_lines(t.table("documents"), header, F.concat(F.col("doc_id").cast("string"), F.lit(","), text, last),
+                       scratch_dir(t.spark, "quoted"))
+
+
+def _source_cell() -> Column:
+    return F.concat(F.lit(","), F.coalesce(F.col("source"), F.lit("")))
+
+
+@query("s2_multiline", "", """
+SELECT doc_id AS uid, md5(coalesce(text, '')) AS text_md5, coalesce(source, '') AS service FROM documents""")
+def s2_multiline(t: Tables) -> DataFrame:
+    """Cells with line breaks: every record comes back whole, whatever block it lies in."""
+    rows = logs.read_conn_csv(t.spark, _quoted_documents(t, "uid,body,service", _source_cell()))
+    return rows.select(F.col("uid").cast("bigint").alias("uid"), F.md5("body").alias("text_md5"), "service")
+
+
+@query("s3_quoted_header", "", """
+SELECT coalesce(source, '') AS source, count(*) AS n, count(*) FILTER (coalesce(text, '') = '') AS empty,
+  CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM documents GROUP BY 1""")
+def s3_quoted(t: Tables) -> DataFrame:
+    """A header with a delimiter, quotes and a line break in its names."""
+    path = _quoted_documents(t, 'Flow ID,"Body, ""raw""\n text",Label', _source_cell())
+    rows = logs.read_cic(t.spark, path, encoding="UTF-8", pattern="*.txt")
+    body = F.col('`Body, "raw" text`')
+    return rows.groupBy(F.coalesce("Label", F.lit("")).alias("source")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(body.isNull()).alias("empty"),
+        F.coalesce(F.sum(F.length(body)), F.lit(0)).cast("bigint").alias("chars"))
+
+
+@query("s9_quoted", "", """
+SELECT 'pad' AS policy, doc_id AS uid, md5(coalesce(text, '')) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(source, '') END AS service
+FROM documents
+UNION ALL
+SELECT 'skip', doc_id, md5(coalesce(text, '')), coalesce(source, '') FROM documents WHERE doc_id % 3 <> 0""")
+def s9_quoted(t: Tables) -> DataFrame:
+    """Every third record is short, and has line breaks in quotes like the others."""
+    last = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(_source_cell())
+    path = _quoted_documents(t, "uid,body,service", last)
+    parts = [files.read_ragged(t.spark, path, short=p).select(
+        F.lit(p).alias("policy"), F.col("uid").cast("bigint").alias("uid"), F.md5("body").alias("text_md5"), "service") for p in ("pad", "skip")]
+    return parts[0].unionByName(parts[1])
+
+
 def _write_flows(t: Tables, sep: str = ",", encoding: str = "UTF-8") -> str:
     """Raw flow files: headers with outer blanks and a repeated name."""
     path = scratch_dir(t.spark, "flows")

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.common import BOM, collapse_blanks, quoted, strip
-
-# Stands for a delimiter outside quotes; a code point that no text may use.
-_CUT = "\ufdd0"
-
+from flowlens.sources.records import QUOTED, cells_of, read_lines, records, split_cells, state_after
 
 def list_files(spark: SparkSession, target: str | Sequence[str], pattern: str | None = None) -> DataFrame:
     """Files under a file, directory (searched recursively) or glob: path, time, size.
@@ -41,10 +37,10 @@ def resolve_inputs(spark: SparkSession, target: str | Sequence[str], newest: boo
 
 def first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     """First line of a file: the read stops after it."""
-    row = spark.read.option("encoding", encoding).text(path).limit(1).first()
+    row = read_lines(spark, path, encoding).limit(1).first()
     if row is None:
         raise ValueError(f"empty file: {path}")
-    return row.value
+    return row.value.split("\r")[0]
 
 
 def delimiter_of(line: str) -> str:
@@ -80,7 +76,7 @@ def unique_names(names: Iterable[str]) -> list[str]:
 
 def header_columns(line: str, sep: str) -> list[str]:
     """Column names of a header line; a leading ``#fields`` cell is dropped."""
-    cells = [c.strip('"') for c in line.split(sep)]
+    cells = cells_of(line, sep)
     if cells and cells[0].replace(BOM, "").startswith("#fields"):
         cells = cells[1:]
     return unique_names(clean_name(c) for c in cells)
@@ -92,33 +88,34 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.select(*[quoted(c) for c in kept]).toDF(*unique_names(clean_name(c) for c in kept))
 
 
-def split_cells(line: Column, sep: str) -> Column:
-    """Cells of a delimited line; quoted cells may hold the delimiter.
+def first_record(spark: SparkSession, path: str, encoding: str, sep: str, lines: int = 16) -> str:
+    """First record of a file whose first line ends inside a quoted cell."""
+    while True:
+        rows = [r.value.removesuffix("\r") for r in read_lines(spark, path, encoding).limit(lines).collect()]
+        state = QUOTED
+        for i, line in enumerate(rows):
+            state = state_after(line, sep, state if i else 0)
+            if state != QUOTED:
+                return "\n".join(rows[:i + 1])
+        if len(rows) < lines:
+            return "\n".join(rows)
+        lines *= 16
+
+
+def header_groups(spark: SparkSession, paths: Sequence[str], encoding: str, sep: str | None = None) -> dict[str, list[str]]:
+    """Files grouped by their header, the first record: by lines first, longer ones file by file."""
+    groups: dict[str, list[str]] = {}
+    for line, files in _line_groups(spark, paths, encoding).items():
+        mark = sep or delimiter_of(line)
+        if state_after(line, mark) != QUOTED:
+            groups.setdefault(line, []).extend(files)
+            continue
+        for file in files:
+            groups.setdefault(first_record(spark, file, encoding, mark), []).append(file)
+    return dict(sorted(groups.items()))
 
-    A delimiter counts when an even number of quotes follows it. The line is cut at its
-    quotes and every second part, counted from the end, is searched: linear in the line.
-    """
-    plain = F.split(line, re.escape(sep), -1)
-
-    def outside(parts: Column) -> Column:
-        """The line again, its delimiters outside quotes marked."""
-        last = F.size(parts) - 1
-        return F.array_join(F.transform(
-            parts, lambda p, i: F.when((last - i) % 2 == 0, F.replace(p, F.lit(sep), F.lit(_CUT))).otherwise(p)), '"')
-
-    # A lambda binds the parts: they are cut once, not once for each of them.
-    marked = F.get(F.transform(F.array(F.split(line, '"', -1)), outside), F.lit(0))
-    careful = F.transform(
-        F.split(marked, _CUT, -1),
-        lambda c: F.when(
-            (F.length(c) >= 2) & F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')),
-            F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
-        ).otherwise(c),
-    )
-    return F.when(line.contains('"'), careful).otherwise(plain)
-
-
-def header_groups(spark: SparkSession, paths: Sequence[str], encoding: str) -> dict[str, list[str]]:
+
+def _line_groups(spark: SparkSession, paths: Sequence[str], encoding: str) -> dict[str, list[str]]:
     """Files grouped by their first line, found in one distributed pass over all files.
 
     Rows of a block keep their order, so the first row of the block at the start of a
@@ -126,17 +123,17 @@ def header_groups(spark: SparkSession, paths: Sequence[str], encoding: str) -> d
     """
     if len(set(paths)) == 1:
         return {first_line(spark, paths[0], encoding): list(paths)}
-    lines = spark.read.option("encoding", encoding).text(list(paths))
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    lines = read_lines(spark, paths, encoding)
+    lines = lines.select(F.substring_index("value", "\r", 1).alias("value"), F.col("_file").alias("file"), F.col("_block").alias("block"),
                          F.monotonically_increasing_id().alias("at"))
     heads = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
     groups = {r["head"]: sorted(r["files"]) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()}
-    return dict(sorted(groups.items()))
+    return groups
 
 
 def header_cells(line: str, sep: str) -> list[str]:
     """Cleaned cells of a header line, as ``parse_ragged`` compares them."""
-    return [clean_name(c.strip().strip('"')) for c in line.split(sep)]
+    return [clean_name(c.replace('"', "")) for c in cells_of(line, sep)]
 
 
 def parse_ragged(lines: DataFrame, columns: Sequence[str], sep: str, short: str,
@@ -164,24 +161,26 @@ def parse_ragged(lines: DataFrame, columns: Sequence[str], sep: str, short: str,
 
 def read_ragged(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
                 sep: str | None = None, short: str = "skip", encoding: str = "UTF-8",
-                provenance: bool = False) -> DataFrame:
-    """Delimited text with a header line per file and rows of uneven length, all strings.
+                provenance: bool = False, multiline: bool | None = None) -> DataFrame:
+    """Delimited text with a header per file and rows of uneven length, all strings.
 
     Files with different headers are read apart and joined by column name. With
-    ``columns`` no header is looked up: lines that repeat the column names are dropped.
+    ``columns`` no header is looked up: rows that repeat the column names are dropped.
+    Quoted cells and headers may hold delimiters and line breaks; ``multiline=False`` says
+    that no cell holds a line break and saves the pass that looks for one.
     """
     files = [paths] if isinstance(paths, str) else list(paths)
     if columns is None:
         files = resolve_inputs(spark, files)
-        groups = header_groups(spark, files, encoding)
+        groups = header_groups(spark, files, encoding, sep)
     else:
         groups = {(sep or ",").join(columns): files}
     result = None
     for line, members in groups.items():
         mark = sep or delimiter_of(line)
         names = list(columns) if columns is not None else header_columns(line, mark)
-        lines = spark.read.option("encoding", encoding).text(members)
-        lines = lines.select("value", *([F.col("_metadata.file_name").alias("source_file")] if provenance else []))
+        lines = records(spark, members, mark, encoding, multiline)
+        lines = lines if provenance else lines.drop("source_file")
         body = F.replace("value", F.lit(BOM), F.lit(""))
         lines = lines.filter(~F.startswith(body, F.lit("#fields")))
         part = parse_ragged(lines, names, mark, short, header_cells(line, mark))

@@ -13,8 +13,6 @@ from flowlens.functions.common import quoted, strip
 from flowlens.functions.numbers import parse_number, safe_double, safe_int
 from flowlens.functions.times import parse_ts
 from flowlens.sources.files import (
-    header_columns,
-    header_groups,
     normalize_columns,
     plain_names,
     read_ragged,
@@ -145,21 +143,14 @@ def read_packet_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
 
 
 def _read_csv(spark: SparkSession, paths: Sequence[str], encoding: str, sep: str = ",") -> DataFrame:
-    """CSV files by header group, all strings, cleaned and unique names."""
-    result = None
-    for line, members in header_groups(spark, paths, encoding).items():
-        names = header_columns(line, sep)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        reader = spark.read.schema(schema).option("header", "true").option("sep", sep).option("escape", '"')
-        part = reader.option("encoding", encoding).csv(list(members))
-        part = part.select("*", F.col("_metadata.file_name").alias("source_file"))
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
-    return result
-
-
-def read_cic(spark: SparkSession, directory: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Flow dataset: the known day files, else all CSV files of the directory."""
-    files = resolve_inputs(spark, directory, pattern="*.csv")
+    """CSV files by header group, all strings, cleaned and unique names; empty cells are NULL."""
+    rows = read_ragged(spark, paths, sep=sep, short="pad", encoding=encoding, provenance=True)
+    return rows.select(*[F.nullif(quoted(c), F.lit("")).alias(c) for c in rows.columns])
+
+
+def read_cic(spark: SparkSession, directory: str, encoding: str = "ISO-8859-1", pattern: str = "*.csv") -> DataFrame:
+    """Flow dataset: the known day files, else all files of the directory with a name like ``pattern``."""
+    files = resolve_inputs(spark, directory, pattern=pattern)
     by_name = {f.rsplit("/", 1)[-1]: f for f in files}
     days = [by_name[n] for n in S.CIC_DAY_FILES if n in by_name]
     return _read_csv(spark, days or files, encoding)
