@@ -81,10 +81,26 @@ class Tree:
         self.conversations: list[dict] = []
         self.path: list[tuple[tuple[str, str], int]] = []  # turn and node, from the root
 
+    def shared(self, turns: list[tuple[str, str]]) -> int:
+        """How many first turns the last conversation has in common with these."""
+        n = 0
+        while n < min(len(turns), len(self.path)) and self.path[n][0] == turns[n]:
+            n += 1
+        return n
+
+    def full(self, turns: list[tuple[str, str]], max_tokens: int) -> bool:
+        """Whether the tree holds ``max_tokens`` besides those that these turns share with it.
+
+        Beside a longer shared path it may hold as many tokens again, so starting a new tree
+        repeats at most as much as the old one added.
+        """
+        k = self.shared(turns)
+        node = self.nodes[self.path[k - 1][1]] if k else None
+        common = node["position"] + node["end"] - node["start"] if node else 0
+        return len(self.ids) - common >= max(max_tokens, common)
+
     def add(self, conv_id: str | None, turns: list[tuple[str, str]]) -> None:
-        shared = 0
-        while shared < min(len(turns), len(self.path)) and self.path[shared][0] == turns[shared]:
-            shared += 1
+        shared = self.shared(turns)
         del self.path[shared:]
         for role, text in turns[shared:]:
             self.path.append(((role, text), self._node(role, text)))
@@ -142,8 +158,10 @@ def prefix_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
     Conversations are sorted by their path across the cluster; each task walks its range
     and keeps only the tree at hand. A tree ends with its first turn, at the end of a range,
-    or when it holds ``max_tokens``, so a first turn that a third of all conversations share
-    gives many trees, which each repeat what they need. A conversation itself stays whole.
+    or when it holds ``max_tokens`` (or the length of the shared path, if that is more)
+    beside the path that the next conversation shares with it. So a first turn that a third
+    of all conversations share gives many trees, and one of any length is still emitted once
+    for many conversations. A conversation itself stays whole.
 
     Turns are ordered by turn, then role, then text, nulls first; repeated turns stay. Null
     roles and texts count as empty, and the rows without a conversation id are one
@@ -162,7 +180,7 @@ def prefix_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         for batch in batches:
             for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pairs = [(t["role"], t["text"]) for t in turns]
-                if tree is not None and (pairs[0] != first or len(tree.ids) >= max_tokens):
+                if tree is not None and (pairs[0] != first or tree.full(pairs, max_tokens)):
                     yield pa.RecordBatch.from_pylist([tree.row()], schema=arrow)
                     tree = None
                 if tree is None:

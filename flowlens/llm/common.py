@@ -93,20 +93,27 @@ def stable_hash(key: object) -> int:
     return xxhash.xxh64_intdigest(str(key).encode(), 42)
 
 
-def bounded_sample(df: DataFrame, group: str, per_group: int, key: str, ties: Sequence[str] = ()) -> DataFrame:
-    """The ``per_group`` rows of each value of ``group`` with the least hash of ``key``.
+def bounded_sample(df: DataFrame, group: str, per_group: int, key: str) -> DataFrame:
+    """One row for each of the ``per_group`` keys with the least hash, of each value of ``group``.
 
-    Group sizes give the share of hashes that holds four times as many rows; only these are
-    ranked, so a task ranks about as many rows of a group whatever its size.
+    The number of distinct keys of a group gives the share of hashes that holds about four
+    times as many keys; only these are ranked, so a task ranks about as many rows of a group
+    whatever its size. Rows of one key count once, however many there are: the one whose
+    other columns come first stays. A group with fewer keys gives all of them.
     """
     names = {n: fresh(df, n) for n in ("_hash", "_share", "_at")}
     hashed, share, at = (F.col(n) for n in names.values())
-    drawn = df.withColumn(names["_hash"], F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)))
-    wanted = F.lit(float(4 * per_group + 100)) / F.count(F.lit(1)) * F.lit(float(1 << 40))
+    by_key = F.xxhash64(F.col(f"`{key}`").cast("string"))
+    drawn = df.withColumn(names["_hash"], F.pmod(by_key, F.lit(1 << 40)))
+    wanted = F.lit(float(4 * per_group + 100)) / F.approx_count_distinct(by_key) * F.lit(float(1 << 40))
     drawn = join_small(drawn, df.groupBy(group).agg(wanted.alias(names["_share"])), [group]).filter(hashed < share)
-    first = Window.partitionBy(group).orderBy(hashed, key, *ties)
-    ranked = drawn.withColumn(names["_at"], F.row_number().over(first)).filter(at <= per_group)
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns])
+    others = [c for c in df.columns if c not in (group, key)]
+    first = [F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_first")] if others else []
+    single = drawn.groupBy(group, key, names["_hash"])
+    single = single.agg(*first) if first else single.agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(group).orderBy(hashed, key)
+    ranked = single.withColumn(names["_at"], F.row_number().over(order)).filter(at <= per_group)
+    return ranked.select(*[F.col("_first").getField(c).alias(c) if c in others else F.col(f"`{c}`") for c in df.columns])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -106,11 +106,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most ``per_label`` rows of each label outside the held-out fold.
 
     The rows are those with the least hash of the key. Rows without key, text or label
-    teach nothing; without both labels every text scores 0.5.
+    teach nothing; without both labels every text scores 0.5. Of rows with one key and label
+    only the least text teaches, however many there are.
     """
     known = labels.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{target}`").cast("int").alias("_y"))
     known = known.filter(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_k")))
-    chosen = bounded_sample(known, "_y", per_label, "_k").distinct()
+    chosen = bounded_sample(known, "_y", per_label, "_k")
     texts = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t")).filter(F.col("_t").isNotNull())
     # Rows of one key teach once, so the sample stays bounded.
     rows = texts.join(F.broadcast(chosen), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t")).collect()

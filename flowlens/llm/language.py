@@ -155,13 +155,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     Only texts and languages are learned from. The rows are those with the least hash of
     the key, which are spread evenly; the first ``landmarks`` of each language become
     landmarks. Rows without text or language teach nothing, and a table without any
-    labelled row gives a model that answers ``und``.
+    labelled row gives a model that answers ``und``. Of rows with one key and language only
+    the least text teaches, however many there are.
     """
     known = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{lang}`").alias("_l"), F.col(f"`{text}`").alias("_t"))
     known = known.filter(F.col("_l").isNotNull() & ~held_out(F.col("_k")) & F.col("_t").isNotNull())
     # The text itself is read only for the chosen rows.
-    lengths = known.select("_k", "_l", F.length("_t").alias("_n"))
-    chosen = bounded_sample(lengths, "_l", per_language, "_k", ["_n"]).select("_k", "_l").distinct()
+    lengths = known.select("_k", "_l")
+    chosen = bounded_sample(lengths, "_l", per_language, "_k")
     # Rows of one key teach once, so the sample stays bounded.
     rows = known.join(F.broadcast(chosen), ["_k", "_l"]).groupBy("_k", "_l").agg(F.min("_t").alias("_t")).collect()
     rows.sort(key=lambda r: (stable_hash(r["_k"]), r["_l"], r["_t"]))

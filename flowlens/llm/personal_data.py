@@ -87,7 +87,7 @@ _SHAPE = re.compile(r"[0-9]+|[A-Za-z]+")
 
 def shape(token: str) -> str:
     """Digits as their number, letters as one sign, the rest as it is, in at most 24 characters."""
-    made = _SHAPE.sub(lambda m: f"d{min(m.end() - m.start(), 20)}" if m[0][0].isdigit() else "a", token[:200])
+    made = _SHAPE.sub(lambda m: f"d{min(m.end() - m.start(), 20)}" if m[0][0].isdigit() else "a", token)
     return made if len(made) <= 24 else "long"
 
 

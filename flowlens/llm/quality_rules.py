@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     The rows are those with the smallest hash of the key outside fold 1 of 3, which stays
     for tests. Rows without key or label teach nothing. Without labelled rows the trees
-    give every text the probability 0.5.
+    give every text the probability 0.5. Of rows with one key and label only the least text
+    teaches, however many there are.
     """
     known = labels.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{target}`").cast("int").alias("_y"))
     known = known.filter(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & (folds(F.col("_k"), 3) != 1))

@@ -37,11 +37,16 @@ CLASSES = (
     ("one_case", re.compile(r"[a-z]{20,}|[A-Z]{20,}"), 20, 3.85, 1),
 )
 
+# A word of a path or name: in one case, with a capital, or in camel case, whose later
+# words have three letters or more, or two with a vowel; up to four digits behind it.
+_HUMP = r"(?:[A-Z][a-z]{2,}|[A-Z][aeiouy]|[AEIOU][a-z]|[A-Z])"
+_NAME = rf"(?:[A-Z]?[a-z]+{_HUMP}*|{_HUMP}+)[0-9]{{0,4}}"
+
 # Candidates that are not secrets though they look random: identifiers, paths, addresses
 # and names in camel case.
 ALLOWED = (
     re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"),
-    re.compile(r"[/_-]*(?:[A-Za-z]+[0-9]{0,4}[/_-]+)+[A-Za-z]*[0-9]{0,4}"),
+    re.compile(rf"[/_-]*(?:{_NAME}[/_-]+)+(?:{_NAME}|[0-9]{{0,4}})"),
     re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+"),
 )
 

@@ -1,7 +1,12 @@
+import os
+import sys
+
 import pytest
 
 from flowlens.llm.common import prepare
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 

@@ -89,6 +89,18 @@ def test_a_hot_first_turn_is_cut_into_trees(spark):
     assert read(chat.prefix_trees(spark.createDataFrame(rows, ROWS), max_tokens=500)) == digests(rows)
 
 
+def test_a_long_first_turn_is_emitted_once_in_a_task(spark):
+    long = "x" * 80_000
+    rows = [(c, t, "user", long if t == 0 else f"{c}") for c in range(40) for t in range(2)]
+    trees = chat.prefix_trees(spark.createDataFrame(rows, ROWS).coalesce(1)).collect()
+    assert sum(len(t["token_ids"]) > 80_000 for t in trees) == len(trees) <= 8  # one for each range of paths at most
+    assert sum(len(t["conversations"]) for t in trees) == 40
+    assert read(chat.prefix_trees(spark.createDataFrame(rows, ROWS))) == digests(rows)
+    # A longer conversation beside the shared path closes the tree again.
+    few = chat.prefix_trees(spark.createDataFrame(rows, ROWS), max_tokens=100).collect()
+    assert len(few) <= 8
+
+
 def test_empty(spark):
     assert chat.conversations_of(chat.prefix_trees(spark.createDataFrame([], ROWS))).count() == 0
 

@@ -106,3 +106,8 @@ def test_query_against_the_definition(spark, folder):
         assert [r[f"n_{k}"] for k in pd.KINDS] == [sum(x == i for x, _, _ in spans) for i in range(4)]
         assert r["base_sha256"] == hashlib.sha256(listing.encode()).hexdigest()
         assert set(listing.split(",")) <= set(r["spans"].split(",")) or not spans
+
+
+def test_shapes_read_whole_tokens():
+    assert pd.shape("a" * 250) == "a" and pd.shape("a" * 250 + "7@b") == "ad1@a"
+    assert pd.shape("1" * 100_000) == "d20" and pd.shape("a1" * 50) == "long"

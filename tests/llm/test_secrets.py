@@ -108,3 +108,11 @@ def test_query_against_the_definition(spark, folder):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in spans) for i in range(3)]
         assert r["base_sha256"] == hashlib.sha256(listing.encode()).hexdigest()
         assert set(listing.split(",")) <= set(r["spans"].split(",")) or not spans
+
+
+def test_keys_in_dashed_parts_are_found_and_names_are_not():
+    for key in ("AbCdEf12-GhIjKl34-MnOpQr56-StUvWx78", "kQzX12_pLmN34_vBtR56_wYcD78_hJfG90"):
+        assert secrets.entropy_spans(f"see {key} there"), key
+    for name in ("src/main/java/HTMLParserFactory2/TestCase01", "Is-A-Very-Long-Title-Of-Chapter-12", "some_long_variable_name_2024",
+                 "CONSTANT_NAMES_IN_UPPER_CASE_9", "path/to/readMeFirst/index2/fileName"):
+        assert not secrets.entropy_spans(f"see {name} there"), name
