@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +83,8 @@ def merge_sums(parts: DataFrame) -> DataFrame:
     )
 
 
-def flow_record(flows: DataFrame, connections: DataFrame | None = None) -> DataFrame:
-    """Flow record from per-flow sums; a side without packets gives zeros."""
+def flow_record(flows: DataFrame, connections: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Flow record from per-flow sums; a side without packets gives zeros. Columns of ``keep`` stay."""
     zero = F.lit(0.0)
     if connections is not None:
         flows = flows.join(connections, "uid", "inner")
@@ -140,4 +142,4 @@ def flow_record(flows: DataFrame, connections: DataFrame | None = None) -> DataF
         "min_seg_size_forward": mean(fsum, fn),
         "init_win_bytes_bwd": zero,
     }
-    return flows.select(*[c.alias(n) for n, c in columns.items()])
+    return flows.select(*[c.alias(n) for n, c in columns.items()], *keep)

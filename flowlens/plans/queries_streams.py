@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSystem, FileType
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ _LOG_COLUMNS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p",
                 "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts"]
 
 
-def _run(df: DataFrame, sink, mode: str = "append", checkpoint: str | None = None) -> int:
+def _run(df: DataFrame, sink, mode: str = "append", checkpoint: str | None = None, only_data: bool = False) -> int:
     """Run a stream over the files that are there; gives the number of its last batch."""
-    job = live.start(df, sink, checkpoint or scratch_dir(df.sparkSession, "checkpoint"), mode)
+    job = live.start(df, sink, checkpoint or scratch_dir(df.sparkSession, "checkpoint"), mode, only_data=only_data)
     job.awaitTermination()
     return max((p["batchId"] for p in job.recentProgress), default=0)
 
@@ -89,6 +91,65 @@ def st3(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).groupBy("attack_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _append_lines(rows: DataFrame, folder: str, header: str) -> None:
+    """Append rows to one log file a partition, as a sensor does; new files begin with the header."""
+    cells = [F.coalesce(F.col(c.replace(".", "_")).cast("string"), F.lit("-")) for c in _LOG_COLUMNS]
+    lines = rows.select(F.concat_ws("\t", *cells).alias("value"))
+
+    def append(part) -> None:
+        fs, base = FileSystem.from_uri(folder)
+        fs.create_dir(base)
+        file = f"{base}/conn-{TaskContext.get().partitionId()}.log"
+        new = fs.get_file_info(file).type == FileType.NotFound
+        with fs.open_append_stream(file) as out:
+            if new:
+                out.write(header.encode() + b"\n")
+            for row in part:
+                out.write(row["value"].encode() + b"\n")
+
+    lines.foreachPartition(append)
+
+
+@query("st3_growing_file", "alerts", """
+SELECT attack_type, CASE attack_type WHEN 'BENIGN' THEN 'Low' ELSE 'Critical' END AS severity, count(*) AS n FROM alerts GROUP BY 1, 2""")
+def st3_growing(t: Tables) -> DataFrame:
+    """Logs that grow between three starts of one query: each line is scored once."""
+    rows = t.conn().drop("ts").withColumnRenamed("ts_epoch", "ts").coalesce(8)
+    training = X.conn_features(t.conn(), "serve").withColumn("cls", L.label_to_attack("label"))
+    bundle = M.train_dt(training, [*CONN_FEATURES, "id_resp_p"], "cls", CLASS_NAMES, depth=6)
+    feed, out, checkpoint = (scratch_dir(t.spark, n) for n in ("logs", "scored", "checkpoint"))
+    for i in range(3):
+        _append_lines(rows.filter(F.col("event_id") % 3 == i), feed, "\t".join(["#fields", *_LOG_COLUMNS]))
+        _run(live.score_followed(t.spark, feed, _LOG_COLUMNS, bundle), live.batch_writer(out), checkpoint=checkpoint)
+    return t.spark.read.parquet(out).groupBy("attack_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _flow_states(t: Tables, rows: DataFrame) -> DataFrame:
+    """Flows from keyed state, after three deliveries that do not follow the time of the packets."""
+    feed, out, checkpoint = (scratch_dir(t.spark, n) for n in ("packets", "flows", "checkpoint"))
+    for i in range(3):
+        rows.filter(F.pmod(F.xxhash64("uid", "ts", "is_orig", "len"), F.lit(3)) == i).write.mode("append").parquet(feed)
+        stream = t.spark.readStream.schema(rows.schema).parquet(feed)
+        _run(packets.flow_states(stream, idle_seconds=1e9), live.batch_writer(out), "update", checkpoint, only_data=True)
+    return shown_flows(packets.last_records(t.spark, out))
+
+
+@query("st4_flow_states", "packets", FLOWS_SQL.format(idle=", idle AS idle_min"))
+def st4_states(t: Tables) -> DataFrame:
+    return _flow_states(t, t.packets())
+
+
+@query("st4_wrong_date", "packets", FLOWS_SQL.format(idle=", idle AS idle_min").replace("FROM packets)", """FROM (
+  SELECT uid, ts, is_orig, flags, len FROM packets UNION ALL
+  SELECT uid, CASE WHEN min(len) % 2 = 0 THEN TIMESTAMP '2200-01-01' ELSE TIMESTAMP '1980-01-01' END, true, 'A', 7 FROM packets GROUP BY uid) p)"""))
+def st4_wrong(t: Tables) -> DataFrame:
+    """A packet of every flow is dated far ahead or far back."""
+    rows = t.packets().select("uid", F.col("ts").cast("timestamp").alias("ts"), "is_orig", "flags", F.col("len").cast("bigint").alias("len"))
+    wrong = rows.groupBy("uid").agg(F.when(F.min("len") % 2 == 0, F.lit("2200-01-01")).otherwise(F.lit("1980-01-01")).cast("timestamp").alias("ts"))
+    wrong = wrong.select("uid", "ts", F.lit(True).alias("is_orig"), F.lit("A").alias("flags"), F.lit(7).cast("bigint").alias("len"))
+    return _flow_states(t, rows.unionByName(wrong))
+
+
 @query("st4_flows_from_packets", "packets", FLOWS_SQL.format(idle=", idle AS idle_min"))
 def st4(t: Tables) -> DataFrame:
     # No flow is closed by idleness here, so that flows equal those of the batch operator.
@@ -113,7 +174,7 @@ def st4_late(t: Tables) -> DataFrame:
     return shown_flows(sink.flows(t.spark, last).filter("uid <> 'wrong'"), idle=False)
 
 
-_SESSIONS_SQL = FLOWS_SQL.format(idle="").replace(
+_SESSIONS_SQL = FLOWS_SQL.format(idle=", idle AS idle_min").replace("FILTER (gap > 0)", "FILTER (gap BETWEEN 1 AND 7776000000000)").replace(
     "WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY uid ORDER BY ts) AS gap FROM packets),",
     """WITH b AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY uid ORDER BY ts) AS gap FROM packets),
 g AS (SELECT *, sum(CASE WHEN gap > 7776000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY ts) AS part FROM b),"""
@@ -131,7 +192,7 @@ def st4_sessions(t: Tables) -> DataFrame:
     end.write.mode("append").parquet(feed)
     stream = t.spark.readStream.schema(packets.PACKET_SCHEMA).parquet(feed)
     _run(packets.flow_sessions(stream, "90 days", "36500 days"), live.batch_writer(out))
-    return shown_flows(t.spark.read.parquet(out).filter("uid <> 'end'"), idle=False)
+    return shown_flows(t.spark.read.parquet(out).filter("uid <> 'end'"))
 
 
 @query("st5_latest_page", "alerts", "SELECT id, epoch_us(timestamp) AS micros FROM alerts ORDER BY timestamp DESC, id LIMIT 25")

@@ -40,8 +40,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _OWNED.pop():
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            remove(spark, path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -90,6 +89,12 @@ def join_small(df: DataFrame, side: DataFrame, on, how: str = "inner",
     return df.join(side if table is None else table, on, how)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there, on whatever file system the path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or directory exists, on whatever file system the path names."""
     jvm = spark.sparkContext._jvm

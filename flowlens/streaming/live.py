@@ -15,6 +15,7 @@ from flowlens.operators.features import conn_features
 from flowlens.operators.models import Bundle, keep_raw, score_to_alerts
 from flowlens.schemas import ALERT_SCHEMA
 from flowlens.sources.logs import parse_zeek_lines
+from flowlens.streaming.follow import follow_log, followed_columns
 
 
 def stream_alerts(spark: SparkSession, path: str, schema: StructType = ALERT_SCHEMA,
@@ -24,11 +25,22 @@ def stream_alerts(spark: SparkSession, path: str, schema: StructType = ALERT_SCH
 
 
 def start(df: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
-          mode: str = "append", every: str | None = None) -> StreamingQuery:
-    """Run ``handler`` on each micro-batch; without ``every`` stop after what is there."""
+          mode: str = "append", every: str | None = None, only_data: bool = False) -> StreamingQuery:
+    """Run ``handler`` on each micro-batch; without ``every`` stop after what is there.
+
+    ``only_data`` runs no batch without new rows. State with timers of the wall clock asks for
+    such batches for ever, so a query over it stops by itself only with this.
+    """
+    conf, setting = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(setting, "true")
     writer = df.writeStream.foreachBatch(handler).outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    # A query keeps the settings of its start.
+    conf.set(setting, "false" if only_data else before)
+    try:
+        return writer.start()
+    finally:
+        conf.set(setting, before)
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -73,6 +85,13 @@ def score_stream(spark: SparkSession, path: str, columns: Sequence[str], bundle:
     return score_to_alerts(rows, bundle, "conn")
 
 
+def score_followed(spark: SparkSession, path: str, columns: Sequence[str], bundle: Bundle, mode: str = "serve",
+                   skip_existing: bool = False) -> DataFrame:
+    """Alerts of the rows appended to growing logs, each scored once; see ``follow.follow_log``."""
+    rows = followed_columns(follow_log(spark, path, skip_existing), columns)
+    return score_to_alerts(conn_features(keep_raw(rows), mode), bundle, "conn")
+
+
 def counts_per_hour(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
     """Running alert counts per hour and severity, for a query in update mode."""
     hour = F.window("timestamp", "1 hour")

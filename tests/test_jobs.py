@@ -10,8 +10,8 @@ from flowlens.functions import alerts as A
 from flowlens.operators import flows
 from flowlens.operators import models as M
 from flowlens.operators import features as X
-from flowlens.session import scratch_dir
-from flowlens.streaming import live, packets, sync
+from flowlens.session import folder_names, scratch_dir
+from flowlens.streaming import follow, live, packets, sync
 
 
 @pytest.fixture(scope="module")
@@ -199,6 +199,97 @@ def test_a_wrong_date_closes_no_flow(spark):
     assert {r.uid for r in closed} == {"a", "b"}
 
 
+def test_a_wrong_dated_flow_is_closed_and_old_state_deleted(spark):
+    out = scratch_dir(spark, "wrong")
+    sink = packets.FlowSink(out, idle_seconds=60)
+    day = dt.datetime(2024, 5, 1, 10)
+    for i in range(6):
+        rows = [("live", day + dt.timedelta(seconds=40 * i), True, "A", 10)]
+        rows += [("x", dt.datetime(2200, 1, 1), True, "A", 1), ("x", day, True, "A", 1)] if i == 1 else []
+        sink(spark.createDataFrame(rows, packets.PACKET_SCHEMA), i)
+    assert [(r.uid, r.batch) for r in spark.read.parquet(f"{out}/closed").select("uid", "batch").collect()] == [("x", 5)]
+    assert sorted(folder_names(spark, f"{out}/open")) == ["batch=4", "batch=5"]
+    assert {r.uid for r in sink.flows(spark, 5).collect()} == {"x", "live"}
+
+
+def _packets(rows, spark):
+    return spark.createDataFrame([(u, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=m), o, f, n) for u, m, o, f, n in rows],
+                                 packets.PACKET_SCHEMA)
+
+
+def test_flow_states_touch_only_their_flows_and_close_by_arrival(spark):
+    feed, out, checkpoint = (scratch_dir(spark, n) for n in ("packets", "states", "checkpoint"))
+    steps = [[("a", 500, True, "PA", 3), ("b", 0, False, None, None), ("a", 0, True, "S", 0)],
+             [("a", 200, False, "A", 9), (None, 1, True, "A", 1)], [("c", 1, True, "A", 1), ("a", 480, True, "A", 4)]]
+
+    def run(idle):
+        stream = packets.flow_states(spark.readStream.schema(packets.PACKET_SCHEMA).parquet(feed), idle)
+        live.start(stream, live.batch_writer(out), checkpoint, "update", only_data=True).awaitTermination()
+
+    for step in steps:
+        _packets(step, spark).write.mode("append").parquet(feed)
+        run(3600)
+    written = {(r.batch, r.uid) for r in spark.read.parquet(out).collect()}
+    assert written == {(0, "a"), (0, "b"), (1, "a"), (2, "a"), (2, "c")}
+    whole = _packets([r for s in steps for r in s if r[0]], spark)
+    got = packets.last_records(spark, out).drop("opened", "closed")
+    assert sorted(map(str, got.collect())) == sorted(map(str, flows.packets_to_flows(whole).collect()))
+    assert {r.uid: r.idle_min for r in got.collect()} == {"a": 0.02, "b": 0.0, "c": 0.0}
+
+
+def test_idle_flows_are_closed_once(spark):
+    feed, out, checkpoint = (scratch_dir(spark, n) for n in ("packets", "states", "checkpoint"))
+    for i, step in enumerate([[("a", 0, True, "S", 1)], [("b", 5, True, "S", 1)], [("a", 9, True, "S", 1)]]):
+        _packets(step, spark).write.mode("append").parquet(feed)
+        stream = packets.flow_states(spark.readStream.schema(packets.PACKET_SCHEMA).parquet(feed), 0.001, late_seconds=1.0)
+        live.start(stream, live.batch_writer(out), checkpoint, "update", only_data=True).awaitTermination()
+        __import__("time").sleep(0.2)
+    rows = [(r.uid, r.closed, r.total_fwd_pkts) for r in packets.last_records(spark, out).collect()]
+    assert sorted(rows) == [("a", False, 1), ("a", True, 1), ("b", True, 1)]
+
+
+# --- growing logs --------------------------------------------------------------------
+
+
+def _follow(spark, path, checkpoint, out, **how):
+    live.start(follow.follow_log(spark, str(path), **how), live.batch_writer(out), checkpoint).awaitTermination()
+    return sorted((r.file.rsplit("/", 1)[-1], r.position, r.header, r.value) for r in spark.read.schema(f"{follow.SCHEMA}, batch int").parquet(out).collect())
+
+
+def test_appended_lines_are_read_once_across_restarts(spark, tmp_path):
+    folder, (checkpoint, out) = tmp_path / "logs", (scratch_dir(spark, n) for n in ("checkpoint", "out"))
+    folder.mkdir()
+    log = folder / "conn.log"
+    log.write_bytes(b"#separator x\n#fields\tts\tuid\n1\ta\n2\tb\n3\thal")
+    first = _follow(spark, folder, checkpoint, out)
+    assert [(r[2], r[3]) for r in first] == [("#fields\tts\tuid", "1\ta"), ("#fields\tts\tuid", "2\tb")]
+    with log.open("ab") as f:
+        f.write(b"f\n#close\n#fields\tuid\r\n4\r\n")
+    (folder / "other.log").write_bytes(b"0\n#fields\tx\n\xff\n")
+    rows = _follow(spark, folder, checkpoint, out)
+    assert [(r[0], r[2], r[3]) for r in rows] == [("conn.log", "#fields\tts\tuid", "1\ta"), ("conn.log", "#fields\tts\tuid", "2\tb"),
+                                                 ("conn.log", "#fields\tts\tuid", "3\thalf"), ("conn.log", "#fields\tuid", "4"),
+                                                 ("other.log", "", "0"), ("other.log", "#fields\tx", "\ufffd")]
+    assert _follow(spark, folder, checkpoint, out) == rows  # nothing new, nothing twice
+    log.write_bytes(b"#fields\tz\nnew\n")  # shorter: begun anew
+    assert set(_follow(spark, folder, checkpoint, out)) - set(rows) == {("conn.log", 10, "#fields\tz", "new")}
+    parsed = follow.followed_columns(spark.read.parquet(out), ["ts", "uid"])
+    assert sorted(map(str, parsed.select("ts", "uid").collect())) == sorted(map(str, spark.createDataFrame(
+        [("1", "a"), ("2", "b"), ("3", "half"), (None, "4"), (None, None), (None, None)], "ts string, uid string").collect()))
+
+
+def test_pieces_of_a_large_addition_and_skipping(spark, tmp_path):
+    log, (checkpoint, out) = tmp_path / "big.log", (scratch_dir(spark, n) for n in ("checkpoint", "out"))
+    lines = [f"{i}\t{'x' * (i % 37)}" for i in range(400)]
+    log.write_text("old\n" * 5)
+    assert _follow(spark, log, checkpoint, out, skip_existing=True) == []
+    with log.open("a") as f:
+        f.write("".join(("#fields\ta\tb\n" if i == 100 else "#fields\tc\td\n" if i == 300 else "") + x + "\n" for i, x in enumerate(lines)))
+    got = _follow(spark, log, checkpoint, out, skip_existing=True, piece_bytes=64)
+    assert [r[3] for r in got] == lines
+    assert [r[2] for r in got] == [""] * 100 + ["#fields\ta\tb"] * 200 + ["#fields\tc\td"] * 100
+
+
 def test_only_files_after_an_instant_are_scored(spark, training, tmp_path):
     bundle = M.train_dt(training, S.CONN_FEATURES, "cls", S.CLASS_NAMES, depth=3)
     columns = ["ts", "uid", "duration", "resp_bytes"]
