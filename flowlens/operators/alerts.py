@@ -5,17 +5,21 @@ Time-relative operators take ``as_of`` instead of reading the clock.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlens import schemas as S
 from flowlens.functions import alerts as A
 from flowlens.functions.common import quoted, round_half_up
 from flowlens.functions.times import latency_ms, range_start
+from flowlens.session import join_small, materialize
+
 
 def _count() -> Column:
     return F.count(F.lit(1))
@@ -185,6 +189,50 @@ def next_page_key(page: DataFrame, filters: AlertFilters, after: PageKey | None
     return PageKey(last["v"], last["id"], shown)
 
 
+# Pages in one folder of a page directory.
+PAGES_A_FOLDER = 1_000
+_IN_PARTITION = (1 << 33) - 1  # the part of monotonically_increasing_id() that numbers rows
+
+
+def write_pages(df: DataFrame, filters: AlertFilters, path: str, per_folder: int = PAGES_A_FOLDER) -> int:
+    """Write the filtered alerts as numbered pages in the order of ``filters.sort``; gives their total.
+
+    Rows are sorted by range over the cluster, each range is numbered where it is, and the
+    counts of the ranges, one row each, give the offsets. Pages lie in folders of
+    ``per_folder`` pages, so ``read_page`` opens page n without the ones before it. Rows that
+    tie in value and id keep the order of their hashes.
+    """
+    kept = filter_alerts(df, filters)
+    order = [*sort_order(filters.sort), F.xxhash64(*[quoted(c) for c in kept.columns])]
+    ranged = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(ranged, "ordered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(_count().alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = materialize(counts.select("_part", "_n", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
+    row = F.col("_before") + F.col("_at").bitwiseAND(F.lit(_IN_PARTITION))
+    numbered = join_small(placed.withColumn("_part", part), offsets, "_part").withColumn("row", row)
+    page = F.expr(f"row div {filters.page_size}") + 1
+    paged = numbered.withColumn("page", page).withColumn("folder", F.expr(f"(page - 1) div {per_folder}"))
+    paged.drop("_at", "_part", "_n", "_before").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/pages")
+    total = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"), F.lit(filters.page_size).alias("page_size"),
+                        F.lit(per_folder).alias("per_folder"), F.lit(kept.schema.json()).alias("columns"))
+    total.coalesce(1).write.mode("overwrite").parquet(f"{path}/total")
+    return df.sparkSession.read.parquet(f"{path}/total").first().total
+
+
+def read_page(spark: SparkSession, path: str, page: int) -> DataFrame:
+    """Page ``page`` (from 1) of a page directory, in order; an empty frame behind the last one.
+
+    Only the folder of the page is listed and read, and of its files the parts with the page.
+    """
+    facts = spark.read.parquet(f"{path}/total").first()
+    if page < 1 or (page - 1) * facts.page_size >= facts.total:
+        return spark.createDataFrame([], StructType.fromJson(json.loads(facts.columns)))
+    rows = spark.read.parquet(f"{path}/pages/folder={(page - 1) // facts.per_folder}")
+    return rows.filter(F.col("page") == page).orderBy("row").drop("page", "row")
+
+
 def recent(df: DataFrame, n: int = 5) -> DataFrame:
     return sort_alerts(df, "-timestamp").limit(n)
 

@@ -445,16 +445,23 @@ def run_training(df: DataFrame, cfg: TrainingConfig, path: str, run: str, featur
     """One whole run: load the saved model of the run or train and save it; log and give its result line.
 
     ``path`` holds the model, the model register and the result log. A model that is already
-    there is not trained again; it is evaluated on the same test rows.
+    there is not trained again; it is evaluated on the same test rows. It must have been
+    trained with the same configuration: another one under the same run name is an error.
     """
     spark, place = df.sparkSession, f"{path}/models/{run}"
+    asked = json.loads(json.dumps({**asdict(cfg), "features": list(features) if features else None, "top_n": top_n, "ranker": ranker}))
     if path_exists(spark, f"{place}/sidecar/_SUCCESS"):
         bundle = load_model(spark, place)
+        stored = bundle.meta.get("run")
+        if stored != asked:
+            differ = sorted(k for k in asked if (stored or {}).get(k) != asked[k])
+            raise ValueError(f"run {run} was trained with other settings: {differ}")
         data, _, _, key = prepare_features(df, cfg, bundle.features, row_key)
         test = mark_split(data, "target", cfg.test, cfg.seed, key).filter("is_test")
         result = _test_result(bundle, test, cfg, True)
     else:
         bundle, result = train_and_evaluate(df, cfg, features, row_key, top_n, ranker)
+        bundle.meta["run"] = asked
         save_model(spark, bundle, place)
         record_model(spark, f"{path}/register", run, place)
     result = materialize(result, "result")

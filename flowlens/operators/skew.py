@@ -160,24 +160,20 @@ def repeated(df: DataFrame, times: Column, per_task: int = 10_000) -> DataFrame:
 def number_copies(df: DataFrame, name: str = "_copy", per_task: int = 100_000) -> DataFrame:
     """Number each row among the rows that are equal to it in every column, from 0.
 
-    Only rows whose hash occurs twice take part in a shuffle. They are reduced to one row
-    and a count, map-side first, and written out again in chunks, so a row that is repeated
-    any number of times stays spread. Columns of maps are not compared.
+    One pass over the input and one shuffle: equal rows become one counted row where they
+    are read, so a row that a third of the table repeats travels once for each task. Counted
+    rows are written out again in chunks of ``per_task``, which many tasks share. Doubles are
+    equal as in a group: the two zeros are one, and so are all NaN. Maps are compared by
+    their JSON.
     """
-    whole = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    hashed = df.withColumn("_hash", F.xxhash64(*whole))
-    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
-    known = small_table(twice)
-    if known is not None and known.isEmpty():
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    marked = hashed.join(twice if known is None else known, "_hash", "left_semi").drop("_hash")
-    single = hashed.join(twice if known is None else known, "_hash", "left_anti").drop("_hash")
-    counted = marked.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    parts = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(per_task).cast("bigint"))))
-    parts = parts.repartition(*[quoted(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)], "_from")
+    maps = [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+    rows = df.select(*[F.to_json(quoted(c)).alias(c) if c in maps else quoted(c) for c in df.columns])
+    counted = rows.groupBy(*[quoted(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(per_task).cast("bigint"))
+    parts = counted.withColumn("_from", F.explode(starts))
     upto = F.least(F.col("_from") + per_task, F.col("_n")) - 1
-    copies = parts.withColumn(name, F.explode(F.sequence("_from", upto))).drop("_n", "_from")
-    return single.withColumn(name, F.lit(0).cast("bigint")).unionByName(copies)
+    out = parts.withColumn(name, F.explode(F.sequence("_from", upto)))
+    return out.select(*[F.from_json(quoted(c), df.schema[c].dataType).alias(c) if c in maps else quoted(c) for c in df.columns], name)
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], row_key: Sequence[str],

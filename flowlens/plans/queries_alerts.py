@@ -123,6 +123,16 @@ def l2(t: Tables) -> DataFrame:
     return _shown(items).withColumn("total", F.lit(total.first().total).cast("bigint"))
 
 
+@query("l2_page_directory", "alerts", f"""
+SELECT {_SHOWN}, (SELECT count(*) FROM alerts WHERE severity IN ('High', 'Critical')) AS total
+FROM alerts WHERE severity IN ('High', 'Critical') ORDER BY timestamp DESC, id LIMIT 10 OFFSET 150""")
+def l2_directory(t: Tables) -> DataFrame:
+    """Page 16 by its number, from a directory that lists every page."""
+    path = scratch_dir(t.spark, "pages")
+    total = Q.write_pages(t.alerts(), Q.AlertFilters(page_size=10, severity=["High", "Critical"]), path, per_folder=4)
+    return _shown(Q.read_page(t.spark, path, 16)).withColumn("total", F.lit(total).cast("bigint"))
+
+
 @query("l2_page_after", "alerts", f"SELECT {_SHOWN} FROM alerts ORDER BY timestamp DESC, id LIMIT 25 OFFSET 25")
 def l2_after(t: Tables) -> DataFrame:
     alerts, filters = t.alerts(), Q.AlertFilters(page_size=25)

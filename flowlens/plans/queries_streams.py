@@ -209,3 +209,16 @@ def st6(t: Tables) -> DataFrame:
     _feed(t.alerts(), "timestamp", 2, lambda feed: live.counts_per_hour(live.stream_alerts(t.spark, feed), "60 days"),
           live.batch_writer(out), mode="update")
     return live.current_counts(t.spark, out).select(F.unix_micros("bucket").alias("micros"), "severity", "count")
+
+
+@query("st6_reused_counts", "alerts", """
+SELECT severity, count(*) AS "count", round(coalesce(avg(model_score), 0), 6) AS avg_score,
+  round(count(*) FILTER (model_label = 'malicious') * 100.0::DOUBLE / count(*), 6) AS malicious_ratio FROM alerts GROUP BY 1""")
+def st6_reused(t: Tables) -> DataFrame:
+    """Sums kept by batch: the last call reads the batch that came after the first one."""
+    out, reuse = scratch_dir(t.spark, "live"), scratch_dir(t.spark, "reuse")
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    for i in range(2):
+        live.batch_writer(out)(t.alerts().filter(half == i), i)
+        counts = live.reused_counts(t.spark, out, reuse)
+    return counts.select("severity", "count", F.round("avg_score", 6).alias("avg_score"), F.round("malicious_ratio", 6).alias("malicious_ratio"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
@@ -14,6 +15,7 @@ from flowlens.operators.alerts import sort_order
 from flowlens.operators.features import conn_features
 from flowlens.operators.models import Bundle, keep_raw, score_to_alerts
 from flowlens.schemas import ALERT_SCHEMA
+from flowlens.session import folder_names, path_exists, remove
 from flowlens.sources.logs import parse_zeek_lines
 from flowlens.streaming.follow import follow_log, followed_columns
 
@@ -103,3 +105,55 @@ def current_counts(spark: SparkSession, path: str) -> DataFrame:
     """Counts written by a query in update mode: the latest batch wins per bucket."""
     rows = spark.read.parquet(path)
     return rows.groupBy("bucket", "severity").agg(F.max_by("count", "batch").alias("count"))
+
+
+# --- reused results --------------------------------------------------------------------
+
+# Sums that add up over batches; means and ratios follow from them.
+_FACTS = ("n", "malicious", "scored", "score")
+
+
+def _facts(alerts: DataFrame) -> DataFrame:
+    return alerts.groupBy("batch", F.date_trunc("hour", "timestamp").alias("hour"), "severity", "attack_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("model_label") == "malicious").alias("malicious"),
+        F.count("model_score").alias("scored"), F.coalesce(F.sum("model_score"), F.lit(0.0)).alias("score"))
+
+
+def refreshed_facts(spark: SparkSession, path: str, reuse: str, every: int = 50) -> DataFrame:
+    """Sums per hour, severity and attack type of a table written in batches (``batch_writer``).
+
+    The result is kept under ``reuse`` by batch: a call reads only the batches that were
+    written since the one before, so without a write it reads no alert. A batch is known by
+    its folder, and a batch that is written again under its number is the same by
+    contract. Sums are added as one folder a call and count only when that is complete;
+    every ``every`` folders they are merged into one.
+    """
+    def complete() -> list[str]:
+        return [f"{reuse}/{f}" for f in sorted(folder_names(spark, reuse)) if path_exists(spark, f"{reuse}/{f}/_SUCCESS")]
+
+    schema = "batch int, hour timestamp, severity string, attack_type string, n bigint, malicious bigint, scored bigint, score double"
+    parts = complete()
+    known = {f"batch={r.batch}" for r in spark.read.schema(schema).parquet(*parts).select("batch").distinct().collect()} if parts else set()
+    new = [f for f in folder_names(spark, path) if f.startswith("batch=") and f not in known]
+    if new:
+        rows = spark.read.option("basePath", path).schema(ALERT_SCHEMA).parquet(*[f"{path}/{f}" for f in new])
+        # A batch without rows is known, too.
+        marks = spark.createDataFrame([(int(f[6:]),) for f in new], "batch int")
+        facts = _facts(rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"batch=(\d+)/[^/]*$", 1).cast("int")))
+        marks.join(facts, "batch", "left").select(*[c.split()[0] for c in schema.split(", ")]).write.parquet(f"{reuse}/{uuid.uuid4().hex}")
+        parts = complete()
+    if len(parts) > every:
+        merged = f"{reuse}/{uuid.uuid4().hex}"
+        spark.read.schema(schema).parquet(*parts).coalesce(8).write.parquet(merged)
+        for old in parts:
+            remove(spark, old)
+        parts = [merged]
+    facts = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    return facts.filter("n is not null").groupBy("hour", "severity", "attack_type").agg(*[F.sum(c).alias(c) for c in _FACTS])
+
+
+def reused_counts(spark: SparkSession, path: str, reuse: str) -> DataFrame:
+    """Alerts of every severity with mean score and share of malicious ones, from the kept sums."""
+    facts = refreshed_facts(spark, path, reuse).groupBy("severity").agg(*[F.sum(c).alias(c) for c in _FACTS])
+    return facts.select("severity", F.col("n").alias("count"), F.coalesce(F.try_divide("score", F.col("scored")), F.lit(0.0)).alias("avg_score"),
+                        (F.col("malicious") * F.lit(100.0) / F.col("n")).alias("malicious_ratio"))

@@ -212,6 +212,33 @@ def test_a_wrong_dated_flow_is_closed_and_old_state_deleted(spark):
     assert {r.uid for r in sink.flows(spark, 5).collect()} == {"x", "live"}
 
 
+def test_reused_sums_read_only_new_batches(spark):
+    out, reuse = scratch_dir(spark, "live"), scratch_dir(spark, "reuse")
+    rows = [(f"a{i}", dt.datetime(2024, 1, 1, i % 5), ["Low", "High"][i % 2], "DOS", "malicious" if i % 3 else "benign", i / 10) for i in range(10)]
+    df = spark.createDataFrame(rows, "id string, timestamp timestamp, severity string, attack_type string, model_label string, model_score double")
+    for f in S.ALERT_SCHEMA:
+        df = df if f.name in df.columns else df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    df = df.select([F.col(f.name).cast(f.dataType) for f in S.ALERT_SCHEMA])
+    write = live.batch_writer(out)
+
+    def counts(every=50):
+        return {(r.hour.hour, r.severity): r.n for r in live.refreshed_facts(spark, out, reuse, every).collect()}
+
+    assert counts() == {}
+    write(df.limit(6), 0)
+    write(df.limit(0), 1)
+    first = counts()
+    assert sum(first.values()) == 6
+    # What was summed is not read again: its files are spoilt, yet the sums come back.
+    for name in folder_names(spark, f"{out}/batch=0"):
+        if name.endswith(".parquet"):
+            open(f"{out}/batch=0/{name}", "wb").write(b"spoilt")
+    assert counts() == first
+    write(df.filter("id >= 'a6'"), 2)
+    assert sum(counts().values()) == 10 and sum(counts(every=1).values()) == 10
+    assert len(folder_names(spark, reuse)) == 1 and sum(counts().values()) == 10
+
+
 def _packets(rows, spark):
     return spark.createDataFrame([(u, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=m), o, f, n) for u, m, o, f, n in rows],
                                  packets.PACKET_SCHEMA)
@@ -248,6 +275,15 @@ def test_idle_flows_are_closed_once(spark):
     assert sorted(rows) == [("a", False, 1), ("a", True, 1), ("b", True, 1)]
 
 
+def test_a_run_with_other_settings_is_an_error(spark, training):
+    path = scratch_dir(spark, "runs")
+    bundle = M.train_dt(training, S.CONN_FEATURES, "cls", S.CLASS_NAMES, depth=2)
+    bundle.meta["run"] = {"model": "RF"}
+    M.save_model(spark, bundle, f"{path}/models/r")
+    with pytest.raises(ValueError, match="other settings.*model"):
+        M.run_training(training, M.TrainingConfig(model="DT"), path, "r")
+
+
 # --- growing logs --------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from flowlens.operators import alerts as Q
 from flowlens.operators import evaluation as E
 from flowlens.operators import features as X
 from flowlens.operators import flows, labeling, neighbors, sampling, skew, smote
+from flowlens.session import scratch_dir
 
 NOW = dt.datetime(2024, 3, 1, 12, 30)
 
@@ -297,6 +298,23 @@ def test_page_walk_loses_no_row(spark):
         assert sorted(walked) == list(range(60)), (key, size)
 
 
+def test_pages_of_a_directory_equal_numbered_pages(spark, alerts):
+    for key, size in (("-timestamp", 7), ("severity", 5), ("model_score", 500)):
+        filters = Q.AlertFilters(page_size=size, sort=key, attack_type=["DDOS", "BENIGN"])
+        path = scratch_dir(spark, "pages")
+        want = [r.id for r in Q.sort_alerts(Q.filter_alerts(alerts, filters), key).collect()]
+        assert Q.write_pages(alerts, filters, path, per_folder=3) == len(want)
+        for page in (1, 2, 4, -(-len(want) // size)):
+            assert [r.id for r in Q.read_page(spark, path, page).collect()] == want[(page - 1) * size:page * size]
+        assert Q.read_page(spark, path, len(want)).count() == Q.read_page(spark, path, 0).count() == 0
+        assert Q.read_page(spark, path, 1).columns == alerts.columns
+    plan = Q.read_page(spark, path, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Offset" not in plan and "PushedFilters: [IsNotNull(page), EqualTo(page,1)]" in plan
+    assert all("folder=0" in f for f in Q.read_page(spark, path, 1).inputFiles())
+    empty = scratch_dir(spark, "pages")
+    assert Q.write_pages(alerts.limit(0), Q.AlertFilters(), empty) == 0 and Q.read_page(spark, empty, 1).count() == 0
+
+
 def test_means_leave_missing_scores_out(spark, alerts):
     half = alerts.limit(4).withColumn("model_score", F.when(F.monotonically_increasing_id() % 2 == 0, 1.0))
     as_of = half.agg(F.max("timestamp")).first()[0]
@@ -340,6 +358,14 @@ def test_copies_of_rows_get_numbers(spark):
     got = sorted((r.x, r.y or 0, r["_copy"]) for r in number_copies(df, per_task=4).collect())
     assert got == sorted([("a", 1, i) for i in range(25)] + [("a", 0, 0), ("a", 0, 1), ("b", 2, 0)])
     assert number_copies(df.filter("y = 2")).collect()[0]["_copy"] == 0
+    mapped = df.withColumn("m", F.create_map("x", "y"))
+    again = number_copies(mapped, per_task=4)
+    assert again.schema["m"].dataType == mapped.schema["m"].dataType and again.filter("m[x] <=> y").count() == df.count()
+    # One scan of the input and one shuffle.
+    path = scratch_dir(spark, "copies")
+    df.write.parquet(path)
+    plan = number_copies(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
 
 
 def test_scratch_scope_deletes_its_tables(spark):
