@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import materialize
+from flowlens.session import join_small, materialize
 
 _LAST = (1 << 63) - 1  # stands for a null id
 
@@ -230,6 +230,19 @@ def _mapped(batches: Iterator[pa.RecordBatch], names: list[str], make) -> Iterat
         yield pa.RecordBatch.from_arrays([*take.columns, *extra], names=names)
 
 
+def in_blocks(sent: DataFrame, vectors: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Deal the queries of a shard to blocks of about ``block``, and the shard's vectors to each of them.
+
+    A shard has as many blocks as its own queries fill, so its vectors are copied by what
+    is asked of it and not by the number of all queries; one that nobody asks goes nowhere.
+    """
+    asks = sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    asks = materialize(asks, "asks")
+    queries = join_small(sent, asks, ["shard"]).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    copied = join_small(vectors, asks, ["shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return queries.drop("blocks"), copied.drop("blocks")
+
+
 def every_fiftieth(key: Column) -> Column:
     return key % 50 == 0
 
@@ -244,7 +257,7 @@ def nearest(df: DataFrame, queries: Callable[[Column], Column] = every_fiftieth,
     centroids are at most ``copy_ratio`` times as far. A query walks the graph of centroids
     and searches the 16 nearest lists and all up to ``search_ratio`` times as far as the nearest. Lists are
     dealt to shards of about ``shard_rows`` rows, large ones to several, and a shard meets
-    its queries in blocks of ``block``, so no task grows with a list.
+    the queries that ask for it in blocks of about ``block``, so no task grows with a list.
 
     ``queries`` gives the condition on the key that makes a row a query. Nearness is the cosine in double precision; ties
     go to the smaller id, null ids last. Vectors that are null, zero, of another length
@@ -282,13 +295,11 @@ def nearest(df: DataFrame, queries: Callable[[Column], Column] = every_fiftieth,
             at, room = at + 1, shard_rows
         first[i] = at
         at, room = (at + p, shard_rows) if p > 1 else (at, room - n)
-    blocks = -(-n_asked // block)
     plan = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts))],
                                  "list int, first bigint, parts bigint")
     vectors = posted.join(F.broadcast(plan), "list")
     vectors = vectors.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("uid"), F.col("parts")))
     vectors = vectors.withColumn("id", F.coalesce("id", F.lit(_LAST))).drop("first", "parts")
-    vectors = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def choose(batches):
         def make(x, uid):
@@ -307,7 +318,7 @@ def nearest(df: DataFrame, queries: Callable[[Column], Column] = every_fiftieth,
 
     spread = asked.select("uid", "id", "v").repartition(F.col("uid"))
     sent = spread.mapInArrow(choose, "uid bigint, id bigint, v array<double>, shard bigint, lists array<int>")
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
+    sent, vectors = in_blocks(materialize(sent, "routed"), vectors, block)
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         return nearest_in_shard(q, v, k)

@@ -60,6 +60,19 @@ def test_shards_and_blocks_change_nothing(spark):
     assert recall(one, exact(rows)) >= 0.9
 
 
+def test_vectors_are_copied_by_what_is_asked_of_their_shard(spark):
+    vectors = spark.range(1_000).selectExpr("id as uid", "id % 10 as shard")
+    hot = spark.range(900).selectExpr("id as uid", "0L as shard")
+    queries_ = hot.unionByName(spark.range(900, 940).selectExpr("id as uid", "1 + id % 4 as shard"))
+    for block, copies in ((10_000, 1), (45, 20)):
+        sent, copied = vs.in_blocks(queries_, vectors, block)
+        assert sent.count() == 940
+        got = {r["shard"]: r["count"] for r in copied.groupBy("shard").count().collect()}
+        assert got == {0: 100 * copies, **{s: 100 for s in range(1, 5)}}
+        meets = sent.select("shard", "block").distinct().join(copied.select("shard", "block").distinct(), ["shard", "block"])
+        assert meets.count() == copies + 4
+
+
 def test_ties_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(1, 120)]
