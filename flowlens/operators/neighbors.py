@@ -2,8 +2,12 @@
 
 Vectors are cut into axis-parallel cells of bounded size. A query first searches its own
 cell, which gives a radius; it is then sent only to the cells whose bounding box lies
-within that radius. The cells come from a sample, which affects the balance of the work
+within that radius. The cuts come from samples, which affect the balance of the work
 but not the result. Equal vectors are collapsed first and carry their multiplicity.
+
+The tree of cells is a table: each round cuts every cell that is too large into up to 64,
+in the tasks, and the boxes of all rounds are rows that queries are joined to, level by
+level. Neither the cells nor their boxes pass through the driver.
 """
 
 from __future__ import annotations
@@ -14,153 +18,127 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.skew import take_first
 from flowlens.session import materialize
 
 # Executors get the helpers of this module with the task; nothing needs installing there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _FOUND = "array<struct<d:double,key:string,m:bigint,vec:array<double>>>"
+_FAN_DEPTH = 6  # a round cuts a cell into at most 2 ** 6
+_SAMPLE = 4096  # about as many vectors of a cell decide its cuts
 
 
-class Cells:
-    """Split planes per class as flat arrays: a vector walks down to its cell."""
-
-    def __init__(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.axis: list[int] = []
-        self.cut: list[float] = []
-        self.child: list[tuple[int, int]] = []
-
-    def _leaf(self) -> int:
-        self.axis.append(-1)
-        self.cut.append(0.0)
-        self.child.append((-1, -1))
-        return len(self.axis) - 1
+def plan_cuts(points: np.ndarray, pieces: int) -> tuple[list[int], list[float]]:
+    """Cuts of a cell at medians of its widest axes, as a heap: node 1 is the cell, the
+    children of node i are 2i and 2i + 1, and axis -1 marks a part that stays whole."""
+    axes, cuts = [-1] * (2 << _FAN_DEPTH), [0.0] * (2 << _FAN_DEPTH)
 
-    def root(self, name: str) -> int:
-        if name not in self.roots:
-            self.roots[name] = self._leaf()
-        return self.roots[name]
-
-    def split(self, node: int, points: np.ndarray, pieces: int) -> None:
-        """Cut a cell at medians of its widest axis until it has ``pieces`` parts."""
-        if pieces < 2 or len(points) < 2:
+    def cut(node: int, part: np.ndarray, pieces: int) -> None:
+        if pieces < 2 or len(part) < 2 or node >= 1 << _FAN_DEPTH:
             return
-        spread = points.max(axis=0) - points.min(axis=0)
+        spread = part.max(axis=0) - part.min(axis=0)
         axis = int(spread.argmax())
-        if spread[axis] <= 0:
+        if not spread[axis] > 0:
             return
-        values = np.sort(points[:, axis])
-        cut = float(values[(len(values) - 1) // 2])
-        if cut >= values[-1]:
-            cut = float(values[values < values[-1]][-1])
-        low = points[:, axis] <= cut
-        left, right = self._leaf(), self._leaf()
-        self.axis[node], self.cut[node], self.child[node] = axis, cut, (left, right)
-        self.split(left, points[low], pieces // 2)
-        self.split(right, points[~low], pieces - pieces // 2)
-
-    def arrays(self) -> dict:
-        return {"roots": self.roots, "axis": np.array(self.axis), "cut": np.array(self.cut),
-                "child": np.array(self.child)}
-
-
-def _locate(cells: dict, names: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Cell of each point: all points walk down one level at a time."""
-    node = np.array([cells["roots"][n] for n in names], dtype=np.int64)
-    while True:
-        inner = np.flatnonzero(cells["axis"][node] >= 0)
-        if not len(inner):
-            return node
-        at = node[inner]
-        right = points[inner, cells["axis"][at]] > cells["cut"][at]
-        node[inner] = cells["child"][at, right.astype(int)]
-
-
-def _with_cell(df: DataFrame, cells: Cells) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(cells.arrays())
-
-    @F.pandas_udf("long")
-    def cell(names: pd.Series, vectors: pd.Series) -> pd.Series:
-        return pd.Series(_locate(shared.value, names.to_numpy(), np.vstack(vectors.to_numpy())))
-
-    return df.withColumn("cell", cell("cls", "vec"))
-
-
-def _boxes(located: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest corner of the points of every cell, by cell number."""
-    sample = located.select("vec").first()
-    width = len(sample.vec) if sample else 0
-    corners = located.groupBy("cell").agg(
-        *[F.min(F.get("vec", F.lit(i))).alias(f"lo{i}") for i in range(width)],
-        *[F.max(F.get("vec", F.lit(i))).alias(f"hi{i}") for i in range(width)],
+        values = np.sort(part[:, axis])
+        at = float(values[(len(values) - 1) // 2])
+        if at >= values[-1]:
+            at = float(values[values < values[-1]][-1])
+        axes[node], cuts[node] = axis, at
+        low = part[:, axis] <= at
+        cut(2 * node, part[low], pieces // 2)
+        cut(2 * node + 1, part[~low], pieces - pieces // 2)
+
+    cut(1, points, pieces)
+    return axes, cuts
+
+
+def _below(vec: str, axes: str, cuts: str) -> Column:
+    """Number of the part that a vector falls into, walking down the heap of its cell."""
+    def step(node: Column, _: Column) -> Column:
+        axis = F.get(axes, node)
+        right = F.get(vec, axis) > F.get(cuts, node)
+        return F.when(axis < 0, node).otherwise(node * 2 + right.cast("int"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_FAN_DEPTH)), F.lit(1), step)
+
+
+def _boxes(points: DataFrame, width: int, max_cell: int) -> DataFrame:
+    """Rows and lowest and highest corner of the points of every cell, and whether it is final:
+    small enough, or a part 1, which is a cell without a cut."""
+    n = F.count(F.lit(1))
+    return points.groupBy("cell").agg(
+        n.alias("n"), ((n <= max_cell) | F.endswith("cell", F.lit("/1"))).alias("final"),
+        F.array(*[F.min(F.get("vec", F.lit(i))) for i in range(width)]).alias("low"),
+        F.array(*[F.max(F.get("vec", F.lit(i))) for i in range(width)]).alias("high"),
     )
-    low, high = np.full((nodes, width), np.inf), np.full((nodes, width), -np.inf)
-    for row in corners.toLocalIterator():
-        low[row.cell], high[row.cell] = row[1:1 + width], row[1 + width:]
-    return low, high
-
-
-def _reached(tree: dict, names: np.ndarray, points: np.ndarray, own: np.ndarray,
-             radius: np.ndarray) -> list[list[int]]:
-    """Other cells within the radius of each query: queries walk down the tree together
-    and take both sides of a cut only when their ball crosses it."""
-    out: list[list[int]] = [[] for _ in range(len(points))]
-    stack = [(tree["roots"][n], np.flatnonzero(names == n)) for n in set(names)]
-    while stack:
-        node, who = stack.pop()
-        if not len(who):
-            continue
-        axis = tree["axis"][node]
-        if axis < 0:
-            outside = np.maximum(np.maximum(tree["low"][node] - points[who], points[who] - tree["high"][node]), 0.0)
-            near = ((outside ** 2).sum(axis=1) <= radius[who]) & (own[who] != node)
-            for i in who[near]:
-                out[i].append(int(node))
-            continue
-        gap = points[who, axis] - tree["cut"][node]
-        crosses = gap ** 2 <= radius[who]
-        left, right = tree["child"][node]
-        stack.append((left, who[(gap <= 0) | crosses]))
-        stack.append((right, who[(gap > 0) | crosses]))
-    return out
 
 
-def build_cells(points: DataFrame, max_cell: int = 4096, budget: int = 200_000) -> tuple[Cells, DataFrame]:
-    """Cells of at most ``max_cell`` points and the points with their cell.
+def _root(cls: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.hex(cls)), F.lit(""))
 
-    Every round samples oversized cells, the largest first, and cuts them further, until
-    none is left. At most ``budget`` sampled vectors reach the driver per round.
+
+def build_cells(points: DataFrame, max_cell: int = 4096) -> tuple[DataFrame, list[DataFrame]]:
+    """The points (``cls, vec, key, m``) with their ``cell`` of at most ``max_cell`` rows, and
+    the boxes of each level.
+
+    A level is a table ``parent, cell, n, final, low, high``; cells of the first level are
+    whole classes. A final cell has no rows in the levels below it. Vectors are finite and of
+    one length; as they are distinct, a cell that is too large can be cut.
     """
-    cells = Cells()
-    for row in points.select("cls").distinct().collect():
-        cells.root(row.cls)
-    whole: set[int] = set()  # cells whose sample could not be cut
-    while True:
-        located = _with_cell(points, cells)
-        sizes = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        big = sizes.filter((F.col("n") > max_cell) & ~F.col("cell").isin(list(whole))).orderBy(F.desc("n")).limit(budget // 64).collect()
-        if not big:
-            break
-        size = {r.cell: r.n for r in big}
-        each = max(64, min(4096, budget // len(big)))
-        chosen = located.join(F.broadcast(points.sparkSession.createDataFrame(
-            [(c,) for c in size], "cell long")), "cell", "left_semi")
-        chosen = take_first(chosen, ["cell"], F.lit(each), F.col("key"), ["key"])
-        drawn: dict[int, list] = {}
-        for row in chosen.select("cell", "vec").toLocalIterator():
-            drawn.setdefault(row.cell, []).append(row.vec)
-        for node, vectors in drawn.items():
-            pieces = min(-(-2 * size[node] // max_cell), max(2, len(vectors) // 8))
-            before = len(cells.axis)
-            cells.split(node, np.array(vectors), pieces)
-            if len(cells.axis) == before:
-                whole.add(node)
-    return cells, _with_cell(points, cells)
+    first = points.select(F.size("vec").alias("width")).first()
+    width = first.width if first else 0
+    located = points.withColumn("cell", _root("cls"))
+    boxes = materialize(_boxes(located, width, max_cell), "boxes")
+    levels = [boxes.withColumn("parent", F.lit(""))]
+    while not (big := boxes.filter(~F.col("final")).select("cell", "n")).isEmpty():
+        wanted = F.xxhash64("key", F.lit(len(levels))).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+        drawn = located.join(big, "cell").filter(wanted * F.col("n") < F.lit(_SAMPLE)).select("cell", "n", "vec")
+
+        def cuts_of(part: pd.DataFrame) -> pd.DataFrame:
+            pieces = min(1 << _FAN_DEPTH, -(-2 * int(part["n"].iloc[0]) // max_cell))
+            axes, cuts = plan_cuts(np.vstack(part["vec"].to_numpy()), pieces)
+            return pd.DataFrame({"cell": [part["cell"].iloc[0]], "axes": [axes], "cuts": [cuts]})
+
+        trees = materialize(drawn.groupBy("cell").applyInPandas(
+            cuts_of, "cell string, axes array<int>, cuts array<double>"), "cuts")
+        walked = located.join(trees, "cell", "left").withColumn("parent", F.col("cell")).withColumn(
+            "cell", F.when(F.col("axes").isNull(), F.col("cell"))
+            .otherwise(F.concat("cell", F.lit("/"), _below("vec", "axes", "cuts").cast("string"))))
+        located = materialize(walked.drop("axes", "cuts"), "cells")
+        moved = located.filter("cell <> parent")
+        parents = moved.groupBy("cell").agg(F.first("parent").alias("parent"))
+        boxes = materialize(_boxes(moved, width, max_cell).join(parents, "cell"), "boxes")
+        levels.append(boxes)
+        located = located.drop("parent")
+    return located, levels
+
+
+def _gap(low: str, high: str, vec: str) -> Column:
+    """Squared distance from a vector to a box."""
+    outside = F.zip_with(F.zip_with(low, vec, lambda a, x: F.greatest(a - x, F.lit(0.0))),
+                         F.zip_with(high, vec, lambda b, x: F.greatest(x - b, F.lit(0.0))), lambda a, b: a + b)
+    return F.aggregate(outside, F.lit(0.0), lambda total, x: total + x * x)
+
+
+def reached_cells(asked: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Other cells within the radius of each query (``cls, key, vec, cell, radius``), as
+    ``cls, qkey, qvec, cell``: queries go down level by level to the boxes their ball meets. The first level has only their own class."""
+    at = asked.select("cls", F.col("key").alias("qkey"), F.col("vec").alias("qvec"), F.col("cell").alias("own"),
+                      # A little more than the radius, for sums that were rounded in another order.
+                      (F.col("radius") * F.lit(1 + 1e-9)).alias("reach"), _root("cls").alias("parent"))
+    out = None
+    for level in levels[1:]:
+        met = at.join(level, "parent").filter(_gap("low", "high", "qvec") <= F.col("reach"))
+        met = materialize(met.select("cls", "qkey", "qvec", "own", "reach", F.col("cell").alias("parent"), "final"), "met")
+        here = met.filter(F.col("final") & (F.col("parent") != F.col("own")))
+        here = here.select("cls", "qkey", "qvec", F.col("parent").alias("cell"))
+        out = here if out is None else out.unionByName(here)
+        at = met.filter(~F.col("final")).drop("final")
+    return out
 
 
 def _nearest(query: np.ndarray, points: np.ndarray, keys: np.ndarray, mult: np.ndarray,
@@ -201,8 +179,7 @@ def nearest_in_class(rows: DataFrame, k: int, queries: DataFrame | None = None,
     points = rows.groupBy("cls", "vec").agg(F.count(F.lit(1)).alias("m"))
     points = points.withColumn("key", F.md5(F.concat_ws("|", "cls", F.to_json("vec"))))
     points = materialize(points, "points")
-    cells, located = build_cells(points, max_cell)
-    located = materialize(located, "cells")
+    located, levels = build_cells(points, max_cell)
     wanted = located
     if queries is not None:
         # Queries are a subset of the points, matched by their key.
@@ -210,10 +187,6 @@ def nearest_in_class(rows: DataFrame, k: int, queries: DataFrame | None = None,
             F.md5(F.concat_ws("|", "cls", F.to_json("vec"))).alias("key")).distinct()
         wanted = located.join(asked, "key", "left_semi")
 
-    tree = cells.arrays()
-    tree["low"], tree["high"] = _boxes(located, len(cells.axis))
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
-
     # 1. Search the own cell. The radius is infinite when the cell holds too few rows.
     def own_cell(points_pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.vstack(points_pdf["vec"].to_numpy())
@@ -234,24 +207,15 @@ def nearest_in_class(rows: DataFrame, k: int, queries: DataFrame | None = None,
         marked = located.join(wanted.select("key", F.lit(True).alias("asked")), "key", "left")
         marked = marked.withColumn("asked", F.coalesce("asked", F.lit(False)))
     local = marked.groupBy("cls", "cell").applyInPandas(
-        own_cell, f"cls string, vec array<double>, key string, cell long, radius double, found {_FOUND}"
+        own_cell, f"cls string, vec array<double>, key string, cell string, radius double, found {_FOUND}"
     )
-    if all(x < 0 for x in cells.axis):
+    if len(levels) == 1:
         # Every class is a single cell: nothing lies elsewhere.
         return _merged(local.select("cls", "vec", "key", "found"), k)
     local = materialize(local, "local")
 
     # 2. Send each query to the other cells its radius reaches.
-    @F.pandas_udf("array<long>")
-    def reached(names: pd.Series, vectors: pd.Series, own: pd.Series, radius: pd.Series) -> pd.Series:
-        return pd.Series(_reached(shared.value, names.to_numpy(), np.vstack(vectors.to_numpy()),
-                                  own.to_numpy(), radius.to_numpy()))
-
-    trips = local.select(
-        "cls", F.col("key").alias("qkey"), F.col("vec").alias("qvec"),
-        F.explode(reached("cls", "vec", "cell", "radius")).alias("cell"),
-    )
-    trips = materialize(trips, "trips")
+    trips = materialize(reached_cells(local, levels), "trips")
     # A cell asked by very many queries is copied, one copy per block of queries.
     load = trips.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(20_000.0)).alias("blocks"))
     trips = trips.join(load, "cell").withColumn(

@@ -183,6 +183,22 @@ def test_nearest_neighbours_equal_brute_force(spark):
             assert np.allclose(near, want)
 
 
+@pytest.mark.parametrize("width", [20, 78])
+def test_wide_neighbours_over_many_cells_equal_brute_force(spark, width):
+    rng = np.random.default_rng(width)
+    points = rng.normal(size=(260, 3)) @ rng.normal(size=(3, width)) + 0.01 * rng.normal(size=(260, width))
+    rows = [("a/1", p.tolist()) for p in points] + [("a", p.tolist()) for p in points[:5]]
+    df = spark.createDataFrame(rows, "cls string, vec array<double>")
+    located, levels = neighbors.build_cells(
+        df.withColumn("key", F.md5(F.concat_ws("|", "cls", F.to_json("vec")))).withColumn("m", F.lit(1)), max_cell=3)
+    assert len(levels) > 2 and max(r["count"] for r in located.groupBy("cell").count().collect()) <= 3
+    got = {tuple(r.vec): r.neighbours for r in neighbors.nearest_in_class(df.filter("cls = 'a/1'"), 5, max_cell=3).collect()}
+    assert len(got) == 260
+    for p in points[::7]:
+        dist = ((points - p) ** 2).sum(axis=1)
+        assert np.allclose(got[tuple(p)], points[np.argsort(dist)[1:6]])
+
+
 def test_smote_sizes_and_positions(spark):
     rng = np.random.default_rng(1)
     rows = [(f"u{i}", "big" if i < 60 else "tiny", float(rng.normal()), float(rng.normal())) for i in range(70)]
