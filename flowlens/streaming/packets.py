@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -55,9 +56,11 @@ _COUNTS, _TOTALS = ("fn", "bn", "data", "psh"), ("fsum", "bsum", "bsq")
 _LEAST, _MOST = ("fmin", "bmin"), ("bmax",)
 _SUMS = ", ".join([*[f"{c} bigint" for c in _COUNTS], *[f"{c} double" for c in (*_TOTALS, *_LEAST, *_MOST)]])
 _PART = f"uid string, {_SUMS}, instants array<bigint>"
-_STATE = f"{_SUMS}, first bigint, last bigint, gap double, recent array<bigint>, opened bigint"
+_STATE = f"{_SUMS}, first bigint, last bigint, gap double, recent array<bigint>, opened bigint, heard bigint"
 _OUT = f"uid string, {_SUMS}, first bigint, last bigint, gap double, opened bigint, closed boolean"
 _NAMES = (*_COUNTS, *_TOTALS, *_LEAST, *_MOST)
+_KEPT = [c.split()[0] for c in _STATE.split(", ")]
+_OUT_ROW = Row(*[c.split()[0] for c in _OUT.split(", ")])
 
 
 def _packet_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,10 +71,14 @@ def _packet_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.DataFrame({
             "uid": b["uid"], "fn": fwd.notna().astype("int64"), "bn": bwd.notna().astype("int64"),
             "data": (fwd > 0).astype("int64"), "psh": b["flags"].fillna("").str.contains("P", regex=False).astype("int64"),
-            "fsum": fwd, "bsum": bwd, "bsq": bwd * bwd, "fmin": fwd, "bmin": bwd, "bmax": bwd, "instants": b["micros"]})
+            "fsum": fwd, "bsum": bwd, "bsq": bwd * bwd, "fmin": fwd, "bmin": bwd, "bmax": bwd})
         groups = rows.groupby("uid", sort=False)
         made = groups.agg({**{c: "sum" for c in (*_COUNTS, *_TOTALS)}, **{c: "min" for c in _LEAST}, **{c: "max" for c in _MOST}})
-        made["instants"] = groups["instants"].agg(lambda x: sorted({int(v) for v in x.dropna()}))
+        codes, uids = pd.factorize(b["uid"])  # in order of first appearance, as the groups are
+        seen = pd.DataFrame({"code": codes, "micros": b["micros"]}).dropna().drop_duplicates().sort_values(["code", "micros"])
+        micros = seen["micros"].astype("int64").to_numpy()
+        edges = np.searchsorted(seen["code"].to_numpy(), np.arange(len(uids) + 1))
+        made["instants"] = [micros[i:j] for i, j in zip(edges, edges[1:])]
         yield made.reset_index()
 
 
@@ -87,6 +94,9 @@ class FlowProcessor(StatefulProcessor):
     The flow is emitted whenever packets touch it, and once more, as closed, when none has
     arrived for ``idle_ms``. The clock is that of arrival, so no date, however wrong, closes
     a flow or keeps it open.
+
+    A flow has one timer. When that runs out, it is set again for as long as the last arrival
+    asks for, so that packets need not move it.
     """
 
     def __init__(self, idle_ms: int, late_micros: int | None) -> None:
@@ -101,23 +111,21 @@ class FlowProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentProcessingTimeInMs()
-        old = self.flow.get() if self.flow.exists() else None
-        names = [c.split()[0] for c in _STATE.split(", ")]
-        state = dict(zip(names, old)) if old else {**{c: 0 for c in _COUNTS}, **{c: None for c in names if c not in _COUNTS}, "opened": now}
+        old = self.flow.get()
+        state = dict(zip(_KEPT, old)) if old else {**{c: 0 if c in _COUNTS else None for c in _KEPT}, "opened": now}
         instants = set(state["recent"] or ())
-        for part in rows:
-            for row in part.to_dict("records"):
-                for c in _COUNTS:
-                    state[c] = int(state[c]) + int(row[c])
-                for names_, take in ((_TOTALS, lambda a, b: a + b), (_LEAST, min), (_MOST, max)):
-                    for c in names_:
-                        state[c] = _merged(state[c], row[c], take)
-                instants.update(int(v) for v in row["instants"])
+        for row in rows:
+            for c in _COUNTS:
+                state[c] += row[c]
+            for names, take in ((_TOTALS, add), (_LEAST, min), (_MOST, max)):
+                for c in names:
+                    state[c] = _merged(state[c], row[c], take)
+            instants.update(row["instants"])
         self._order(state, sorted(instants))
-        self.flow.update(tuple(state[c] for c in (*_NAMES, "first", "last", "gap", "recent", "opened")))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(now + self.idle_ms)
+        state["heard"] = now
+        self.flow.update(tuple(state[c] for c in _KEPT))
+        if not old:
+            self.handle.registerTimer(now + self.idle_ms)
         yield self._row(key, state, False)
 
     def _order(self, state: dict, instants: list[int]) -> None:
@@ -127,20 +135,23 @@ class FlowProcessor(StatefulProcessor):
             state["first"] = instants[0] if state["first"] is None else min(state["first"], instants[0])
             state["last"] = instants[-1] if state["last"] is None else max(state["last"], instants[-1])
         if len(instants) > 1:
-            state["gap"] = _merged(state["gap"], float(np.diff(np.array(instants, np.int64)).min()) / 1e6, min)
+            state["gap"] = _merged(state["gap"], min(b - a for a, b in zip(instants, instants[1:])) / 1e6, min)
         keep = 0 if self.late is None or not instants else max(0, bisect_left(instants, instants[-1] - self.late) - 1)
         state["recent"] = instants[keep:]
 
-    def _row(self, key, state: dict, closed: bool) -> pd.DataFrame:
-        values = {"uid": key[0], **{c: state[c] for c in (*_NAMES, "first", "last", "gap", "opened")}, "closed": closed}
-        return pd.DataFrame({c: pd.Series([v], dtype="float64" if c in (*_TOTALS, *_LEAST, *_MOST, "gap") else
-                                          "Int64" if c not in ("uid", "closed") else None) for c, v in values.items()})
+    def _row(self, key, state: dict, closed: bool) -> Row:
+        return _OUT_ROW(key[0], *[state[c] for c in (*_NAMES, "first", "last", "gap", "opened")], closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.flow.exists():
-            names = [c.split()[0] for c in _STATE.split(", ")]
-            yield self._row(key, dict(zip(names, self.flow.get())), True)
-            self.flow.clear()
+        old = self.flow.get()
+        if old:
+            state = dict(zip(_KEPT, old))
+            until = state["heard"] + self.idle_ms
+            if until > timerValues.getCurrentProcessingTimeInMs():
+                self.handle.registerTimer(until)
+            else:
+                yield self._row(key, state, True)
+                self.flow.clear()
 
 
 def flow_states(packets: DataFrame, idle_seconds: float, late_seconds: float | None = None) -> DataFrame:
@@ -166,7 +177,7 @@ def flow_states(packets: DataFrame, idle_seconds: float, late_seconds: float | N
     rows = packets.filter("uid is not null").select("uid", "is_orig", "flags", "len", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     parts = rows.mapInPandas(_packet_sums, _PART)
     late = None if late_seconds is None else int(late_seconds * 1e6)
-    flows = parts.groupBy("uid").transformWithStateInPandas(
+    flows = parts.groupBy("uid").transformWithState(
         FlowProcessor(int(idle_seconds * 1000), late), _OUT, "update", "ProcessingTime")
     flows = flows.withColumns({**{f"_{c}": F.col(c) for c in _NAMES}, "_first": F.timestamp_micros("first"), "_last": F.timestamp_micros("last"), "_gap": F.col("gap")})
     return flow_record(flows, keep=["opened", "closed"])

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from flowlens import schemas as S
@@ -275,6 +276,48 @@ def test_idle_flows_are_closed_once(spark):
     assert sorted(rows) == [("a", False, 1), ("a", True, 1), ("b", True, 1)]
 
 
+class _Handle:
+    """A state handle that notes what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value = [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+
+def test_a_packet_costs_one_read_and_one_write_of_state_and_timers_follow_the_last_arrival():
+    handle, now = _Handle(), [1000]
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: now[0]})()
+    job = packets.FlowProcessor(500, None)
+    job.init(handle)
+    part = {"fn": 1, "bn": 0, "data": 1, "psh": 0, "fsum": 2.0, "bsum": 0.0, "bsq": 0.0, "fmin": 2.0, "bmin": None, "bmax": None}
+    first = list(job.handleInputRows(("a",), iter([Row(**part, instants=[7])]), clock))
+    now[0] = 1400
+    second = list(job.handleInputRows(("a",), iter([Row(**part, instants=[5]), Row(**part, instants=[])]), clock))
+    assert handle.calls == ["get", "update", 1500, "get", "update"]
+    assert [(r.uid, r.fn, r.fsum, r.bmin, r.first, r.gap, r.opened, r.closed) for r in first + second] == [
+        ("a", 1, 2.0, None, 7, None, 1000, False), ("a", 3, 6.0, None, 5, 2e-6, 1000, False)]
+    now[0] = 1501
+    assert list(job.handleExpiredTimer(("a",), clock, None)) == [] and handle.calls[-1] == 1900
+    now[0] = 1900
+    assert [(r.fn, r.closed) for r in job.handleExpiredTimer(("a",), clock, None)] == [(3, True)] and handle.value is None
+
+
 def test_a_run_with_other_settings_is_an_error(spark, training):
     path = scratch_dir(spark, "runs")
     bundle = M.train_dt(training, S.CONN_FEATURES, "cls", S.CLASS_NAMES, depth=2)
