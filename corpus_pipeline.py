@@ -26,6 +26,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more.
 
+    SimHash fingerprints and MinHash bands give the pairs, and the whole sets of shingles decide.
     Equal texts are near copies, and so are all texts without a word, null ones included. Of
     rows that tie, the one whose other columns come first as JSON stays.
     """

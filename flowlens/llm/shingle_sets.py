@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles; MinHash bands give the pairs."""
+"""Near copies by the exact Jaccard similarity of word shingles; SimHash and MinHash bands give the pairs."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import add_columns
-from flowlens.llm.near_duplicates import components, named, row_key
+from flowlens.llm.near_duplicates import _signed, components, fingerprint, named, row_key
+from flowlens.llm.near_duplicates import links_of as simhash_links
 from flowlens.session import join_small, materialize
 
 SHINGLE, SEED, SIMILAR = 5, 42, 0.8
@@ -145,12 +146,22 @@ def links_of(texts: DataFrame, bucketed: DataFrame, least: float = SIMILAR, max_
     return _bucket_links(dealt, least)
 
 
+def simhash_buckets(marked: DataFrame) -> DataFrame:
+    """Rows (band, value, node, n): texts whose SimHash fingerprints hang together are one bucket of the band after the last."""
+    texts = marked.filter("n > 0").select("word", "n", "simhash")
+    words = materialize(texts.select(F.col("simhash").alias("word")).distinct(), "fingerprints")
+    roots = components(simhash_links(words)).withColumnRenamed("node", "simhash")
+    return texts.join(roots, "simhash", "left").select(
+        F.lit(BANDS).alias("band"), F.coalesce("root", "simhash").alias("value"), F.col("word").alias("node"), "n")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """Key, ``component_id``, ``representative`` and ``row_key`` of every row.
 
     Texts whose sets of five-word shingles have a Jaccard similarity of ``least`` or more are
-    linked, and a component is what can be reached over links. The pairs compared are those
-    that agree on a MinHash band; each is checked by its whole sets. Equal texts are one node,
+    linked, and a component is what can be reached over links. The pairs compared are those of
+    a SimHash component and those that agree on a MinHash band, which finds the copies too far
+    apart for a fingerprint; each is checked by its whole sets. Equal texts are one node,
     and all texts without a word are another one. Keys, nulls and representatives are as
     those of the SimHash components.
     """
@@ -161,10 +172,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
 
     def work(texts: list) -> list[list]:
         sets = [shingles(t) for t in texts]
-        return [[len(s) for s in sets], [bands(s) if len(s) else [] for s in sets]]
+        return [[len(s) for s in sets], [bands(s) if len(s) else [] for s in sets],
+                [_signed(fingerprint(t)) for t in texts]]
 
-    marked = materialize(add_columns(base, ["t"], "n bigint, bands array<bigint>", work, keep=["key", "row_key", "word"]), "bands")
+    marked = materialize(add_columns(base, ["t"], "n bigint, bands array<bigint>, simhash bigint", work, keep=["key", "row_key", "word"]), "bands")
     each = marked.select(F.col("word").alias("node"), "n", F.posexplode("bands").alias("band", "value"))
-    bucketed = each.groupBy("band", "value", "node").agg(F.max("n").alias("n"))
+    bucketed = each.unionByName(simhash_buckets(marked)).groupBy("band", "value", "node").agg(F.max("n").alias("n"))
     texts = base.select(F.col("word").alias("node"), "t")
     return named(marked.select("key", "row_key", "word"), lambda words: components(links_of(texts, bucketed, least)), key).drop("fingerprint")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -97,3 +98,18 @@ def test_stage_leaves_one_document_of_each_exact_group(spark, folder):
     for r, w in zip(rows, want):
         least[w] = min(least.get(w, r["doc_id"]), r["doc_id"])
     assert kept == set(least.values())
+
+
+def test_fingerprints_give_pairs_too(docs_of, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "nothing like it at all here")]
+    seen, whole = [], shingle_sets.links_of
+
+    def links_of(texts, bucketed, *more):
+        seen.extend(bucketed.filter(F.col("band") == shingle_sets.BANDS).collect())
+        return whole(texts, bucketed, *more)
+
+    monkeypatch.setattr(shingle_sets, "links_of", links_of)
+    found = {r["doc_id"]: r["component_id"] for r in shingle_sets.near_duplicates(docs_of(rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    assert sorted(Counter(r["value"] for r in seen).values()) == [1, 2]
