@@ -75,6 +75,7 @@ def fit(df: DataFrame, estimator, features: Sequence[str], label: str,
     data, inputs = _inputs(df, features, scale or {})
     data = data.withColumn("_code", X.class_code(quoted(label), order).cast("double"))
     data = data.filter(F.col("_code").isNotNull())
+    data = _dealt(data.select(*inputs, "_code", *_weights(estimator)))
     assembler = VectorAssembler(inputCols=inputs, outputCol="_vector")
     started = time.monotonic()
     fitted = Pipeline(stages=[assembler, estimator]).fit(data)
@@ -85,6 +86,19 @@ def fit(df: DataFrame, estimator, features: Sequence[str], label: str,
     return Bundle(model, list(features), order, dict(scale or {}), info)
 
 
+def _weights(estimator) -> list[str]:
+    """The weight column of an estimator, if it has one."""
+    named = estimator.hasParam("weightCol") and estimator.isDefined("weightCol")
+    return [estimator.getOrDefault("weightCol")] if named else []
+
+
+def _dealt(data: DataFrame, per_task: int = 25_000) -> DataFrame:
+    """Training rows in equal parts. A fit holds a part in memory and passes over it many times;
+    files of few or repeated values are small, so their parts would be as few as they are long."""
+    rows = materialize(data, "training")
+    return rows.repartition(max(1, -(-rows.count() // per_task)))
+
+
 def _inputs(df: DataFrame, features: Sequence[str], scale: dict[str, float]) -> tuple[DataFrame, list[str]]:
     """Model input columns: cleaned features, divided by their scale when there is one."""
     columns = {

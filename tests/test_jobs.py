@@ -318,6 +318,20 @@ def test_a_packet_costs_one_read_and_one_write_of_state_and_timers_follow_the_la
     assert [(r.fn, r.closed) for r in job.handleExpiredTimer(("a",), clock, None)] == [(3, True)] and handle.value is None
 
 
+def test_training_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    rows = spark.range(60_000, numPartitions=1).select((F.col("id") % 2).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("cls"))
+    parts, whole = [], M.Pipeline.fit
+
+    def fit(self, data):
+        parts.append(data.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
+        return whole(self, data)
+
+    monkeypatch.setattr(M.Pipeline, "fit", fit)
+    bundle = M.fit(rows, M.decision_tree(depth=2), ["x"], "cls")
+    assert sorted(r["count"] for r in parts[0]) == [20_000] * 3
+    assert M.predict(rows, bundle).filter("predicted <> cls").count() == 0
+
+
 def test_a_run_with_other_settings_is_an_error(spark, training):
     path = scratch_dir(spark, "runs")
     bundle = M.train_dt(training, S.CONN_FEATURES, "cls", S.CLASS_NAMES, depth=2)
