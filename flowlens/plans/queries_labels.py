@@ -263,13 +263,13 @@ def w7(t: Tables) -> DataFrame:
     rows = t.conn().select("uid", "label", *_SMOTE_FEATURES)
     both, _ = smote.smote(rows, "label", _SMOTE_FEATURES, "full")
     # Synthetic points lie between two rows, so inside the range of their class.
-    ranges = rows.groupBy("label").agg(
+    ranges = rows.groupBy(F.col("label").alias("of")).agg(
         *[F.min(f).cast("double").alias(f"lo_{f}") for f in _SMOTE_FEATURES],
         *[F.max(f).cast("double").alias(f"hi_{f}") for f in _SMOTE_FEATURES])
     inside = F.lit(True)
     for f in _SMOTE_FEATURES:
         inside = inside & F.col(f).between(F.col(f"lo_{f}") - 1e-6, F.col(f"hi_{f}") + 1e-6)
-    checked = both.join(F.broadcast(ranges), "label")
+    checked = both.join(F.broadcast(ranges), F.col("label").eqNullSafe(F.col("of")))
     return checked.groupBy("label").agg(
         F.count_if(~F.col("synthetic")).alias("real_rows"), F.count_if("synthetic").alias("synthetic_rows"),
         F.count_if(~inside).cast("int").alias("outside"))

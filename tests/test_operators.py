@@ -217,6 +217,20 @@ def test_smote_sizes_and_positions(spark):
     assert sorted((r.x, r.y) for r in again.filter("synthetic").collect()) == sorted((r.x, r.y) for r in new)
 
 
+def test_smote_draws_from_complete_rows_of_every_class(spark):
+    nan, rng = float("nan"), np.random.default_rng(2)
+    rows = [(f"b{i}", "big", float(rng.normal()), float(rng.normal())) for i in range(40)]
+    for cls in (None, "tiny"):
+        rows += [(f"{cls}{i}", cls, [None, nan, float("inf"), -0.0, 1.0, 2.0, 3.0, 4.0][i], float(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "uid string, cls string, x double, y double")
+    out, _ = smote.smote(df, "cls", ["x", "y"], "full", max_cell=3)
+    new = [r for r in out.collect() if r.synthetic]
+    assert sorted((r.cls or "") for r in new) == [""] * 32 + ["tiny"] * 32
+    assert all(0 <= r.x <= 4 and 3 <= r.y <= 7 for r in new)
+    with pytest.raises(ValueError, match="complete"):
+        smote.smote(df.filter("cls = 'big' or x is null or x <= 0"), "cls", ["x", "y"], "full")
+
+
 # --- evaluation --------------------------------------------------------------------
 
 
