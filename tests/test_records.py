@@ -2,9 +2,14 @@
 
 import csv
 import io
+import os
 import random
+import subprocess
+import sys
 
+import pyspark
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from flowlens.sources import files, logs, records
@@ -113,3 +118,13 @@ def test_single_line_files_are_read_without_python(spark, tmp_path):
     assert "InArrow" not in plan and "InPython" not in plan
     told = files.read_ragged(spark, path, multiline=False)
     assert sorted(map(tuple, told.collect())) == [("1", "x,y"), ("2", "z")]
+
+
+def test_tasks_carry_the_readers_helpers(tmp_path):
+    """A worker that does not have this repository can cut records."""
+    task = tmp_path / "task"
+    task.write_bytes(cloudpickle.dumps(records.state_after))
+    code = f"import pickle; print(pickle.load(open({str(task)!r}, 'rb'))('a,\"b', ','))"
+    env = {"PATH": os.environ["PATH"], "PYTHONPATH": os.path.dirname(os.path.dirname(pyspark.__file__))}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.strip() == str(records.QUOTED), done.stderr
