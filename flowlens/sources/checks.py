@@ -12,7 +12,7 @@ from flowlens.functions import labels as L
 from flowlens.functions.alerts import first_present
 from flowlens.functions.numbers import parse_number, safe_double, safe_int
 from flowlens.functions.times import epoch_seconds, parse_ts
-from flowlens.operators.skew import number_copies
+from flowlens.operators.skew import dealt, number_copies
 from flowlens.sources.files import clean_name
 
 
@@ -92,6 +92,11 @@ def staged_flows(df: DataFrame) -> DataFrame:
 _STAGED = [f"_{k}" for k in S.FLOW_COLUMNS] + ["_time", "_sport", "_dport"]
 
 
+def numbered_flows(df: DataFrame) -> DataFrame:
+    """Staged flow rows with their number among equal rows, in parts of as many rows."""
+    return staged_flows(dealt(number_copies(df), df.count()))
+
+
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flow rows that can be converted, and the others with ``reject_reason``.
 
@@ -104,7 +109,7 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def convert_cic_to_conn(df: DataFrame, dataset_name: str) -> tuple[DataFrame, DataFrame]:
     """Flow rows to conn rows (text columns as in the file format) and the rejected rows."""
-    staged = staged_flows(number_copies(df))
+    staged = numbered_flows(df)
     rejected = staged.filter("reject_reason is not null").drop("_copy", *_STAGED)
     return conn_rows(staged, dataset_name, df.columns), rejected
 

@@ -14,8 +14,7 @@ from flowlens.functions.common import quoted
 from flowlens.operators.alerts import AlertFilters, filter_alerts, sort_alerts
 from flowlens.operators.features import conn_features
 from flowlens.operators.sampling import sample_per_class
-from flowlens.operators.skew import number_copies
-from flowlens.sources.checks import conn_rows, staged_flows
+from flowlens.sources.checks import conn_rows, numbered_flows
 
 # Quotes inside a quoted cell are doubled and blanks around values are kept.
 _CSV_TEXT = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -95,7 +94,7 @@ def convert_and_write(df: DataFrame, path: str, dataset_name: str) -> dict[str,
     seen = Observation()
     wrong = F.count_if(F.col("reject_reason").isNotNull())
     total = F.count(F.lit(1))
-    staged = staged_flows(number_copies(df)).observe(
+    staged = numbered_flows(df).observe(
         seen, (total - wrong).alias("written"), wrong.alias("skipped"), total.alias("input"))
     write_conn_csv(conn_rows(staged, dataset_name, df.columns), path)
     return seen.get

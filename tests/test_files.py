@@ -194,3 +194,21 @@ def test_conversion_without_rows_can_be_read(spark, tmp_path):
     counts = sinks.convert_and_write(rows, str(tmp_path / "out"), "a name of more than fifty characters that is kept as it is")
     assert counts["written"] == 0 and counts["input"] == 1
     assert logs.read_conn_csv(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_conversion_is_dealt_by_rows(spark, tmp_path):
+    """A part of the conversion is bounded by its rows, however few parts the shuffle before it has."""
+    rows = spark.range(45_000).select(
+        F.lit("1.2.3.4").alias("Source IP"), F.col("id").cast("string").alias("Source Port"), F.lit("5.6.7.8").alias("Destination IP"),
+        F.lit("80").alias("Destination Port"), F.lit("6").alias("Protocol"), F.lit("2017-07-05 09:30:00").alias("Timestamp"),
+        F.lit("a").alias("Flow ID"), F.lit("1").alias("Flow Duration"), F.lit("BENIGN").alias("Label"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert sinks.convert_and_write(rows, str(tmp_path / "out"), "lab") == {"written": 45_000, "skipped": 0, "input": 45_000}
+        good, _ = checks.convert_cic_to_conn(rows, "lab")
+        assert good.rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    lines = [sum(1 for _ in open(p)) - 1 for p in (tmp_path / "out").glob("part-*")]
+    assert sum(lines) == 45_000 and max(lines) <= 15_001
