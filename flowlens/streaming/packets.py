@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections.abc import Iterator
 from operator import add
@@ -55,16 +56,17 @@ def _least_gap(instants: Column) -> Column:
 _COUNTS, _TOTALS = ("fn", "bn", "data", "psh"), ("fsum", "bsum", "bsq")
 _LEAST, _MOST = ("fmin", "bmin"), ("bmax",)
 _SUMS = ", ".join([*[f"{c} bigint" for c in _COUNTS], *[f"{c} double" for c in (*_TOTALS, *_LEAST, *_MOST)]])
-_PART = f"uid string, {_SUMS}, instants array<bigint>"
+_PART = "uid string, part string"
 _STATE = f"{_SUMS}, first bigint, last bigint, gap double, recent array<bigint>, opened bigint, heard bigint"
 _OUT = f"uid string, {_SUMS}, first bigint, last bigint, gap double, opened bigint, closed boolean"
 _NAMES = (*_COUNTS, *_TOTALS, *_LEAST, *_MOST)
+_TAKEN = (*_NAMES, "instants")
 _KEPT = [c.split()[0] for c in _STATE.split(", ")]
 _OUT_ROW = Row(*[c.split()[0] for c in _OUT.split(", ")])
 
 
 def _packet_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row of sums for each flow of a batch, with the distinct instants of its packets."""
+    """One row for each flow of a batch: its sums and the distinct instants of its packets, as a JSON array."""
     for b in batches:
         size, orig = b["len"].astype("float64"), b["is_orig"].astype("boolean")
         fwd, bwd = size.where(orig.fillna(False)), size.where(~orig.fillna(True))
@@ -78,14 +80,16 @@ def _packet_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = pd.DataFrame({"code": codes, "micros": b["micros"]}).dropna().drop_duplicates().sort_values(["code", "micros"])
         micros = seen["micros"].astype("int64").to_numpy()
         edges = np.searchsorted(seen["code"].to_numpy(), np.arange(len(uids) + 1))
-        made["instants"] = [micros[i:j] for i, j in zip(edges, edges[1:])]
-        yield made.reset_index()
+        columns = [made[c].tolist() for c in _NAMES]
+        instants = [micros[i:j].tolist() for i, j in zip(edges, edges[1:])]
+        yield pd.DataFrame({"uid": made.index, "part": [json.dumps(values) for values in zip(*columns, instants)]})
 
 
 def _merged(a: float | None, b: float | None, take) -> float | None:
-    if a is None or pd.isna(a):
-        return None if b is None or pd.isna(b) else float(b)
-    return float(a) if b is None or pd.isna(b) else float(take(a, b))
+    # Only NaN differs from itself.
+    if a is None or a != a:
+        return None if b is None or b != b else float(b)
+    return float(a) if b is None or b != b else float(take(a, b))
 
 
 class FlowProcessor(StatefulProcessor):
@@ -112,21 +116,28 @@ class FlowProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentProcessingTimeInMs()
         old = self.flow.get()
-        state = dict(zip(_KEPT, old)) if old else {**{c: 0 if c in _COUNTS else None for c in _KEPT}, "opened": now}
-        instants = set(state["recent"] or ())
+        state, instants = self._begun(old, now)
         for row in rows:
-            for c in _COUNTS:
-                state[c] += row[c]
-            for names, take in ((_TOTALS, add), (_LEAST, min), (_MOST, max)):
-                for c in names:
-                    state[c] = _merged(state[c], row[c], take)
-            instants.update(row["instants"])
+            self._add(state, instants, row.asDict())
         self._order(state, sorted(instants))
-        state["heard"] = now
         self.flow.update(tuple(state[c] for c in _KEPT))
         if not old:
             self.handle.registerTimer(now + self.idle_ms)
-        yield self._row(key, state, False)
+        yield self._row(key[0], state, False)
+
+    def _begun(self, old, now: int) -> tuple[dict, set]:
+        """The state of a flow that is heard of now, and its instants, to which packets are added."""
+        state = dict(zip(_KEPT, old)) if old else {**{c: 0 if c in _COUNTS else None for c in _KEPT}, "opened": now}
+        state["heard"] = now
+        return state, set(state["recent"] or ())
+
+    def _add(self, state: dict, instants: set, part: dict) -> None:
+        for c in _COUNTS:
+            state[c] += part[c]
+        for names, take in ((_TOTALS, add), (_LEAST, min), (_MOST, max)):
+            for c in names:
+                state[c] = _merged(state[c], part[c], take)
+        instants.update(part["instants"])
 
     def _order(self, state: dict, instants: list[int]) -> None:
         """Take in sorted instants, among them those kept. A gap that a late packet divides only gets
@@ -139,8 +150,8 @@ class FlowProcessor(StatefulProcessor):
         keep = 0 if self.late is None or not instants else max(0, bisect_left(instants, instants[-1] - self.late) - 1)
         state["recent"] = instants[keep:]
 
-    def _row(self, key, state: dict, closed: bool) -> Row:
-        return _OUT_ROW(key[0], *[state[c] for c in (*_NAMES, "first", "last", "gap", "opened")], closed)
+    def _row(self, uid: str, state: dict, closed: bool) -> Row:
+        return _OUT_ROW(uid, *[state[c] for c in (*_NAMES, "first", "last", "gap", "opened")], closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         old = self.flow.get()
@@ -150,15 +161,67 @@ class FlowProcessor(StatefulProcessor):
             if until > timerValues.getCurrentProcessingTimeInMs():
                 self.handle.registerTimer(until)
             else:
-                yield self._row(key, state, True)
+                yield self._row(key[0], state, True)
                 self.flow.clear()
 
 
-def flow_states(packets: DataFrame, idle_seconds: float, late_seconds: float | None = None) -> DataFrame:
-    """Flow records of a packet stream from state keyed by flow; for a query in update mode.
+class FlowGroupProcessor(FlowProcessor):
+    """State of the flows of one group, read and written at once.
 
-    A micro-batch reads and writes only the state of the flows that it touches, and gives
-    one record for each: all columns of a flow record, ``opened`` (arrival of its first
+    Messages between a task and its state cost far more than the sums of a flow, so the flows
+    of a group share them, and rows come and go as JSON texts (``uid, part`` in, ``records`` out).
+    The state is a JSON object of the values of each flow by its uid. A group has one timer,
+    never later than the first of its flows may have to be closed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.group = handle.getValueState("flows", "flows string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        old = self.group.get()
+        flows = json.loads(old[0]) if old else {}
+        heard: dict[str, tuple[dict, set]] = {}
+        for row in rows:
+            uid = row["uid"]
+            if uid not in heard:
+                heard[uid] = self._begun(flows.get(uid), now)
+            self._add(*heard[uid], dict(zip(_TAKEN, json.loads(row["part"]))))
+        for uid, (state, instants) in heard.items():
+            self._order(state, sorted(instants))
+            flows[uid] = [state[c] for c in _KEPT]
+        self.group.update((json.dumps(flows),))
+        if not old:
+            self.handle.registerTimer(now + self.idle_ms)
+        yield from self._records([self._row(uid, state, False) for uid, (state, _) in heard.items()])
+
+    def _records(self, rows: list[Row], at_once: int = 1000) -> Iterator[Row]:
+        for i in range(0, len(rows), at_once):
+            yield Row(records=json.dumps([r.asDict() for r in rows[i:i + at_once]]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, old = timerValues.getCurrentProcessingTimeInMs(), self.group.get()
+        if not old:
+            return
+        flows = {uid: dict(zip(_KEPT, values)) for uid, values in json.loads(old[0]).items()}
+        opened = {uid: state for uid, state in flows.items() if state["heard"] + self.idle_ms > now}
+        if opened:
+            self.handle.registerTimer(min(state["heard"] for state in opened.values()) + self.idle_ms)
+        if len(opened) < len(flows):
+            if opened:
+                self.group.update((json.dumps({uid: [state[c] for c in _KEPT] for uid, state in opened.items()}),))
+            else:
+                self.group.clear()
+        yield from self._records([self._row(uid, state, True) for uid, state in flows.items() if uid not in opened])
+
+
+def flow_states(packets: DataFrame, idle_seconds: float, late_seconds: float | None = None,
+                groups: int = 32_768) -> DataFrame:
+    """Flow records of a packet stream from keyed state; for a query in update mode.
+
+    The state is keyed by ``groups`` hash groups of flows. A micro-batch reads and writes only the
+    groups that it touches, and gives one record for each flow that it touches: all columns of a flow record, ``opened`` (arrival of its first
     packet, which tells the records of one uid apart) and ``closed``. The last record of
     (uid, opened) counts (``last_records``). A flow is closed when no packet arrived for
     ``idle_seconds``; later ones are a record of their own.
@@ -169,16 +232,21 @@ def flow_states(packets: DataFrame, idle_seconds: float, late_seconds: float | N
     read first, so a flow with very many of them reaches its task as a few rows. Packets
     without a uid are left out.
 
+    With few open flows a group has one of them at most. With very many, more ``groups`` make
+    batches cheaper that touch few flows, and fewer make those cheaper that touch most. Their
+    number belongs to the checkpoint: a query goes on with the one that it began with.
+
     Sets the session's state store to RocksDB, which keyed state with timers needs.
     """
     spark = packets.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = packets.filter("uid is not null").select("uid", "is_orig", "flags", "len", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    parts = rows.mapInPandas(_packet_sums, _PART)
+    parts = rows.mapInPandas(_packet_sums, _PART).withColumn("group", F.pmod(F.xxhash64("uid"), F.lit(groups)))
     late = None if late_seconds is None else int(late_seconds * 1e6)
-    flows = parts.groupBy("uid").transformWithState(
-        FlowProcessor(int(idle_seconds * 1000), late), _OUT, "update", "ProcessingTime")
+    flows = parts.groupBy("group").transformWithState(
+        FlowGroupProcessor(int(idle_seconds * 1000), late), "records string", "update", "ProcessingTime")
+    flows = flows.select(F.inline(F.from_json("records", f"array<struct<{_OUT.replace(' ', ':').replace(',:', ',')}>>")))
     flows = flows.withColumns({**{f"_{c}": F.col(c) for c in _NAMES}, "_first": F.timestamp_micros("first"), "_last": F.timestamp_micros("last"), "_gap": F.col("gap")})
     return flow_record(flows, keep=["opened", "closed"])
 

@@ -1,6 +1,7 @@
 """Models, incremental sync and streaming jobs."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import Row
@@ -318,6 +319,37 @@ def test_a_packet_costs_one_read_and_one_write_of_state_and_timers_follow_the_la
     assert [(r.fn, r.closed) for r in job.handleExpiredTimer(("a",), clock, None)] == [(3, True)] and handle.value is None
 
 
+def test_flows_of_a_group_share_reads_and_writes_of_state_and_close_each_in_its_time():
+    handle, now = _Handle(), [1000]
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: now[0]})()
+    job = packets.FlowGroupProcessor(500, None)
+    job.init(handle)
+
+    def hear(*flows):
+        sums = "1, 0, 1, 0, 2.0, 0.0, 0.0, 2.0, NaN, NaN"
+        rows = [Row(group=3, uid=uid, part=f"[{sums}, [{at}]]") for uid, at in flows]
+        return shown(job.handleInputRows((3,), iter(rows), clock))
+
+    def shown(found):
+        rows = [r for text in found for r in json.loads(text["records"])]
+        return [(r["uid"], r["fn"], r["fsum"], r["bmin"], r["first"], r["gap"], r["opened"], r["closed"]) for r in rows]
+
+    assert hear(("a", 7), ("b", 4), ("a", 5)) == [("a", 2, 4.0, None, 5, 2e-6, 1000, False), ("b", 1, 2.0, None, 4, None, 1000, False)]
+    now[0] = 1400
+    assert hear(("b", 9), ("c\u00e9\"", 1)) == [("b", 2, 4.0, None, 4, 5e-6, 1000, False), ("c\u00e9\"", 1, 2.0, None, 1, None, 1400, False)]
+    assert handle.calls == ["get", "update", 1500, "get", "update"]
+    now[0] = 1500
+    assert [(r[0], r[-1]) for r in shown(job.handleExpiredTimer((3,), clock, None))] == [("a", True)]
+    assert handle.calls[5:] == ["get", 1900, "update"]
+    now[0] = 1600
+    assert [r[:2] for r in hear(("a", 8))] == [("a", 1)]
+    now[0] = 1900
+    assert [(r[0], r[-1]) for r in shown(job.handleExpiredTimer((3,), clock, None))] == [("b", True), ("c\u00e9\"", True)]
+    now[0] = 2100
+    assert [(r[0], r[-1]) for r in shown(job.handleExpiredTimer((3,), clock, None))] == [("a", True)]
+    assert handle.value is None and list(job.handleExpiredTimer((3,), clock, None)) == []
+
+
 def test_training_rows_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     rows = spark.range(60_000, numPartitions=1).select((F.col("id") % 2).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("cls"))
     parts, whole = [], M.Pipeline.fit
