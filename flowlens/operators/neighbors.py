@@ -198,7 +198,9 @@ def nearest_in_class(rows: DataFrame, k: int, queries: DataFrame | None = None,
             found.append(_as_found(picked, keys, vectors))
             radius.append(picked[-1][0] if full else float("inf"))
         out = points_pdf.iloc[ask][["cls", "vec", "key", "cell"]].copy()
-        out["radius"], out["found"] = radius, found
+        # Named types: a cell in which nothing is asked gives empty columns, which have none of their own.
+        out["radius"] = pd.Series(radius, index=out.index, dtype="float64")
+        out["found"] = pd.Series(found, index=out.index, dtype="object")
         return out
 
     if queries is None:

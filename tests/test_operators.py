@@ -217,6 +217,19 @@ def test_smote_sizes_and_positions(spark):
     assert sorted((r.x, r.y) for r in again.filter("synthetic").collect()) == sorted((r.x, r.y) for r in new)
 
 
+def test_cells_in_which_nothing_is_asked(spark):
+    rng = np.random.default_rng(7)
+    points = [("a", [float(x), float(y)]) for x, y in rng.normal(size=(200, 2))]
+    df = spark.createDataFrame(points, "cls string, vec array<double>")
+    asked = spark.createDataFrame(points[:2], df.schema)
+    got = {tuple(r.vec): r.neighbours for r in neighbors.nearest_in_class(df, 3, asked, max_cell=10).collect()}
+    vectors = np.array([v for _, v in points])
+    assert set(got) == {tuple(v) for _, v in points[:2]}
+    for i in range(2):
+        order = np.argsort(((vectors - vectors[i]) ** 2).sum(axis=1))
+        assert got[tuple(points[i][1])] == [points[j][1] for j in order[1:4]]
+
+
 def test_smote_draws_from_complete_rows_of_every_class(spark):
     nan, rng = float("nan"), np.random.default_rng(2)
     rows = [(f"b{i}", "big", float(rng.normal()), float(rng.normal())) for i in range(40)]
